@@ -21,8 +21,8 @@ from cinequery.llm.common import bounded_sample, cut
 
 #: Vectors to fit on at most, vectors a list aims at, lists at most, copies of a vector at most.
 SAMPLE, LIST, LISTS, COPIES = 20_000, 512, 4096, 4
-#: A vector also stands in lists whose centroid is within this ratio of its nearest one's distance.
-BORDER = 1.08
+#: Lists of a sample vector on average, besides its nearest: sets how much farther a list's centroid may be to hold it too.
+EXTRA = 1.0
 #: Share of the sample's true neighbours that the query ratio must cover.
 COVER = 0.985
 #: Vectors and queries of a block.
@@ -37,7 +37,8 @@ class Centroids:
     links: np.ndarray
     entries: np.ndarray
     radius: float  # the greatest norm, for the extra dimension that turns products into distances
-    ratio: float = 1.0
+    border: float = 1.0  # a vector stands in lists whose centroid is within this ratio of its nearest one's distance
+    ratio: float = 1.0  # a query visits such lists
 
     @classmethod
     def build(cls, points: np.ndarray, radius: float, near: int = 24, far: int = 8, seed: int = 3) -> Centroids:
@@ -102,21 +103,28 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
-def balanced_centres(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """k-means whose distances grow with a cluster's size, so that clusters end near equal."""
+def balanced_centres(x: np.ndarray, k: int, rounds: int = 3, seed: int = 1) -> np.ndarray:
+    """``k`` cluster means of near equal size: sets are halved again and again between two means, each half taking its share of the rows, and the means then settle in a few rounds."""
     rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), k, replace=False)].copy()
-    load = np.zeros(k)
+    parts, centres = [(np.arange(len(x)), k)], []
+    while parts:
+        rows, n = parts.pop()
+        if n == 1 or len(rows) < 2:
+            centres += [x[rows].mean(0)] * n
+            continue
+        pair = x[rng.choice(rows, 2, replace=False)]
+        share = (n + 1) // 2
+        for _ in range(8):
+            d = _squares(x[rows], pair)
+            order = np.argsort(d[:, 0] - d[:, 1], kind="stable")
+            cut_at = min(max(1, round(len(rows) * share / n)), len(rows) - 1)
+            pair = np.stack([x[rows[order[:cut_at]]].mean(0), x[rows[order[cut_at:]]].mean(0)])
+        parts += [(rows[order[:cut_at]], share), (rows[order[cut_at:]], n - share)]
+    centres = np.stack(centres)
     for _ in range(rounds):
-        which = np.concatenate([(_squares(x[at : at + 2048], centres) + load).argmin(1) for at in range(0, len(x), 2048)])
-        size = np.bincount(which, minlength=k)
-        spread = ((x - centres[which]) ** 2).sum() / len(x)
-        load += 0.2 * spread * (size - len(x) / k) / (len(x) / k)
-        load = np.clip(load, -spread, spread)
-        for c in np.flatnonzero(size):
+        which = np.concatenate([_squares(x[at : at + 2048], centres).argmin(1) for at in range(0, len(x), 2048)])
+        for c in np.flatnonzero(np.bincount(which, minlength=k)):
             centres[c] = x[which == c].mean(0)
-        for c in np.flatnonzero(size == 0):
-            centres[c] = x[rng.integers(len(x))]
     return centres
 
 
@@ -144,6 +152,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE, list_size: int = LIST) -> Centroi
     lifted = Centroids(np.zeros((1, 1)), np.zeros((1, 1), int), np.zeros(1, int), radius).lift(x)
     k = int(np.clip(round(stats.n / list_size), 1, min(LISTS, max(1, len(x) // 8))))
     centroids = Centroids.build(balanced_centres(lifted, k), radius)
+    _, d = _nearest(centroids, lifted)
+    further = d[:, 1:] / d[:, :1]
+    centroids.border = float(np.quantile(further, EXTRA / further.shape[1])) if further.size else 1.0
     centroids.ratio = _query_ratio(centroids, x, lifted)
     return centroids
 
@@ -164,11 +175,16 @@ def _query_ratio(centroids: Centroids, x: np.ndarray, lifted: np.ndarray, top: i
     return float(np.quantile(needed, COVER)) + 1e-9 if len(needed) else 1.0
 
 
-def _lists(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each vector COPIES centroids, nearest first, and which of them are within BORDER."""
+def _nearest(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector COPIES centroids and their distances, nearest first."""
     parts = [centroids.search(lifted[at : at + 1024], 4 * COPIES) for at in range(0, len(lifted), 1024)]
-    ids, d = (np.concatenate([p[i] for p in parts])[:, :COPIES] for i in (0, 1))
-    return ids, (d <= BORDER * d[:, :1]) & (ids >= 0)
+    return tuple(np.concatenate([p[i] for p in parts])[:, :COPIES] for i in (0, 1))
+
+
+def _lists(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector COPIES centroids, nearest first, and which of them hold it."""
+    ids, d = _nearest(centroids, lifted)
+    return ids, (d <= centroids.border * d[:, :1]) & (ids >= 0)
 
 
 def _assign(batches: Iterator[pa.RecordBatch], centroids: Centroids) -> Iterator[pa.RecordBatch]:

@@ -90,8 +90,8 @@ def _digits(x: str) -> str:
 
 def _luhn(x: str) -> str:
     d = f"reverse({_digits(x)})"
-    return f"""(aggregate(sequence(1, char_length({d})), 0, (s, i) -> s + (CASE WHEN i % 2 = 1 THEN CAST(substring({d}, i, 1) AS INT)
-        ELSE (2 * CAST(substring({d}, i, 1) AS INT)) div 10 + (2 * CAST(substring({d}, i, 1) AS INT)) % 10 END)) % 10 = 0)"""
+    # Twice a digit, its own digits added, modulo ten: 0 2 4 6 8 1 3 5 7 9.
+    return f"""(aggregate(transform(split({d}, ''), (c, i) -> IF(i % 2 = 0, CAST(c AS INT), CAST(substring('0246813579', CAST(c AS INT) + 1, 1) AS INT))), 0, (s, x) -> s + x) % 10 = 0)"""
 
 
 #: Whether a base match passes its filter.
