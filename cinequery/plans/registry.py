@@ -29,3 +29,6 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from cinequery.plans import container_queries, frame_queries, media_queries, scan_queries  # noqa: E402, F401
