@@ -95,13 +95,13 @@ class Walker:
         self.split = regex.compile(bpe.pattern).findall
         self.apart = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")").split
         self.library = Sequence([NFC(), Replace(Regex(r"\s+"), " "), Lowercase()])
+        self.words: dict[str, tuple[list[int], str]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict = {}
         self.ids: list[list[int]] = []
         self.text: list[str] = []
-        self.words: dict[str, list[int]] = {}
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether BPE keeps the border between two tokens."""
@@ -117,40 +117,44 @@ class Walker:
             known = self.alone[token] = len(self.bpe.merge(self.bpe.symbols(token))) == 1
         return known
 
-    def last(self, path: str, end: int, states: list[str]) -> str:
-        """The last token of the encoding of path[:end]; states[i]: that of path[:i]."""
-        for i in range(end - 1, -1, -1):
-            token = path[i:end]
-            if token not in self.bpe.tails:
-                break
-            if token in self.entry and (self.compatible(states[i], token) if i else self.own(token)):
-                return token
-        raise AssertionError(f"no token ends {path[:end][-40:]!r}")
-
     def learn(self, new: Iterable[str]) -> None:
         """Walks the trie of ``new`` words in order: sorted words that follow each other share their longest common prefix, whose states stay on the stack."""
         letters = {"".join([LETTERS[b] for b in word.encode()]): word for word in new}
-        states, path = [""], ""
+        entry, tails, fits = self.entry, self.bpe.tails, self.fits
+        states, path = [""], ""  # states[i]: the last token of the encoding of the path's first i letters
         for mapped in sorted(letters):
-            stem = mapped[:-1]
-            shared = 0
-            for a, b in zip(stem, path, strict=False):
-                if a != b:
-                    break
+            size = len(mapped)
+            shared, most = 0, min(size - 1, len(path))
+            while shared < most and mapped[shared] == path[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for i in range(shared + 1, len(stem) + 1):
-                states.append(self.last(stem, i, states))
-            path = stem
-            token = self.last(mapped + " ", len(mapped) + 1, states)
-            ids, at = [], len(mapped)
-            while True:
-                ids.append(self.entry[token])
-                at -= len(token) - token.endswith(" ")
-                if at <= 0:
-                    break
-                token = states[at]
-            self.words[letters[mapped]] = ids[::-1]
+            path = mapped[:-1]
+            signs = mapped + " "
+            for end in [*range(shared + 1, size), size + 1]:
+                i = end - 1 if end < size else size - 1
+                while True:
+                    token = signs[i:end]
+                    if token in entry:
+                        if i:
+                            ok = fits.get((states[i], token))
+                            if ok is None:
+                                ok = self.compatible(states[i], token)
+                        else:
+                            ok = self.own(token)
+                        if ok:
+                            break
+                    elif token not in tails:
+                        raise AssertionError(f"no token ends {signs[:end][-40:]!r}")
+                    i -= 1
+                if end < size:
+                    states.append(token)
+            ids = [entry[token]]
+            while i:
+                token = states[i]
+                ids.append(entry[token])
+                i -= len(token)
+            ids.reverse()
+            self.words[letters[mapped]] = ids, self.decode(ids)
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -178,15 +182,19 @@ class Walker:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """ids of all texts in one array, their offsets, and the decoded texts."""
         parts = [self.chunks(t) for t in texts]
-        if len(self.number) > self.limit or len(self.words) > self.limit:
+        if len(self.number) > self.limit:
             self.forget()
+        if len(self.words) > self.limit:
+            self.words.clear()
         fresh = [c for c in dict.fromkeys(chain.from_iterable(parts)) if c not in self.number]
         split = {c: self.split(c) if isinstance(c, str) else [] for c in fresh}
         self.learn({w for ws in split.values() for w in ws if w not in self.words})
         for c in fresh:
             self.number[c] = len(self.ids)
-            self.ids.append([i for w in split[c] for i in self.words[w]] if isinstance(c, str) else [self.bpe.special[c[0]]])
-            self.text.append(self.decode(self.ids[-1]))
+            found = [self.words[w] for w in split[c]] if isinstance(c, str) else [([self.bpe.special[c[0]]], c[0])]
+            ids, text = found[0] if len(found) == 1 else ([i for f in found for i in f[0]], " ".join([f[1] for f in found]))
+            self.ids.append(ids)
+            self.text.append(text)
         get = self.number.__getitem__
         numbers = [list(map(get, p)) for p in parts]
         flat = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
