@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,12 @@ CUES = {
 }
 AGAINST = "version|release|isbn|serial|token|sku|build|section|chapter"
 #: Ends of mail domains, and first digits of card issuers.
-DOMAINS = r"\\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+DOMAINS = r"(\\.|dot.)\\x20?(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 CONTEXT = 40
 #: Rounds of expectation-maximisation and of gradient steps.
-ROUNDS, STEPS = 40, 400
+ROUNDS, STEPS = 40, 150
+#: Share of proposed spans that are true before any vote, and votes (right, wrong) that a labeler starts with.
+PRIOR, TRUST = 0.2, (8.0, 2.0)
 
 
 def _quoted(pattern: str) -> str:
@@ -117,7 +120,7 @@ def _votes(kind: str, base: bool) -> str:
         "card": "IF(m.match rlike '^[3-6]', 1, 0)",
         "phone": r"IF(m.match rlike '^\\+(1|33|34|44|49)[^0-9]', 1, 0)",
     }[kind]
-    return f"""array({1 if base else 0}, {form}, {gazetteer}, IF(m.before rlike '({CUES[kind]})[^a-z]{{0,12}}$', 1, 0), IF(m.before rlike '({AGAINST})[^a-z]{{0,6}}$', -1, 0))"""
+    return f"""array({1 if base else 0}, {form}, {gazetteer}, IF(m.before rlike '({CUES[kind]})[^.;!?]{{0,16}}$', 1, 0), IF(m.before rlike '({AGAINST})[^a-z]{{0,6}}$', -1, 0))"""
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -151,60 +154,58 @@ class SpanClassifier:
         return f"(CASE {s}.kind {' '.join(cases)} ELSE -1D END > 0)" if cases else "false"
 
 
-def _posteriors(patterns: list[tuple[tuple[int, ...], int]]) -> list[float]:
-    """Expectation-maximisation over vote patterns and their counts: a hidden truth, labelers independent given it. Returns P(true) of each pattern."""
-    width = len(patterns[0][0])
-    p = [1 / (1 + math.exp(-sum(v))) for v, _ in patterns]
+def _posteriors(patterns: list[tuple[tuple[int, ...], int]], grid: list[tuple[int, ...]]) -> list[float]:
+    """Expectation-maximisation over vote patterns and their counts: a hidden truth with PRIOR, labelers right with a reliability each, apart from what they abstain on. Returns P(true) of each pattern of ``grid``."""
+    width = len(grid[0])
+    right = [TRUST[0] / sum(TRUST)] * width
+
+    def belief(votes: tuple[int, ...]) -> float:
+        odds = math.log(PRIOR / (1 - PRIOR)) + sum(v * math.log(right[i] / (1 - right[i])) for i, v in enumerate(votes))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
     for _ in range(ROUNDS):
-        mass = [1.0, 1.0]
-        share = [[{-1: 0.5, 0: 0.5, 1: 0.5} for _ in range(width)] for _ in (0, 1)]
-        for (votes, n), q in zip(patterns, p, strict=True):
-            for truth, w in ((1, n * q), (0, n * (1 - q))):
-                mass[truth] += w
-                for i, v in enumerate(votes):
-                    share[truth][i][v] += w
-        for truth in (0, 1):
-            for i in range(width):
-                total = sum(share[truth][i].values())
-                share[truth][i] = {v: x / total for v, x in share[truth][i].items()}
-        p = []
-        for votes, _ in patterns:
-            odds = math.log(mass[1] / mass[0]) + sum(math.log(share[1][i][v] / share[0][i][v]) for i, v in enumerate(votes))
-            p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-    return p
-
-
-def _logistic(patterns: list[tuple[tuple[int, ...], int]], target: list[float]) -> tuple[list[float], list[float], float]:
-    """Gradient steps on the weighted log loss against the posteriors, with a small penalty."""
-    width = len(patterns[0][0])
+        hits, all_ = [TRUST[0]] * width, [sum(TRUST)] * width
+        for votes, n in patterns:
+            q = belief(votes)
+            for i, v in enumerate(votes):
+                if v:
+                    hits[i] += n * (q if v > 0 else 1 - q)
+                    all_[i] += n
+        right = [min(0.99, h / a) for h, a in zip(hits, all_, strict=True)]
+    return [belief(votes) for votes in grid]
+
+
+def _logistic(grid: list[tuple[int, ...]], weights: list[float], target: list[float]) -> tuple[list[float], list[float], float]:
+    """Gradient steps on the weighted log loss against the posteriors."""
+    width = len(grid[0])
     yes, no, constant = [0.0] * width, [0.0] * width, 0.0
-    total = sum(math.sqrt(n) for _, n in patterns)
+    total = sum(weights)
     for _ in range(STEPS):
-        gy, gn, gc = [0.001 * w for w in yes], [0.001 * w for w in no], 0.0
-        for (votes, n), t in zip(patterns, target, strict=True):
+        gy, gn, gc = [0.0] * width, [0.0] * width, 0.0
+        for votes, w, t in zip(grid, weights, target, strict=True):
             z = constant + sum(yes[i] if v > 0 else no[i] if v < 0 else 0.0 for i, v in enumerate(votes))
-            e = (1 / (1 + math.exp(-z)) - t) * math.sqrt(n) / total
+            e = (1 / (1 + math.exp(-z)) - t) * w / total
             gc += e
             for i, v in enumerate(votes):
                 if v > 0:
                     gy[i] += e
                 elif v < 0:
                     gn[i] += e
-        yes = [w - 2 * g for w, g in zip(yes, gy, strict=True)]
-        no = [w - 2 * g for w, g in zip(no, gn, strict=True)]
-        constant -= 2 * gc
+        yes = [w - 4 * g for w, g in zip(yes, gy, strict=True)]
+        no = [w - 4 * g for w, g in zip(no, gn, strict=True)]
+        constant -= 4 * gc
     return yes, no, constant
 
 
 def fit(spans: DataFrame) -> SpanClassifier:
     """Learns from all spans of ``spans`` (as ``candidates`` gives them); what reaches the driver is a row for each kind and vote pattern, 3^5 a kind at most."""
     counts = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
+    grid = [*product((-1, 0, 1), repeat=5)]
     weights = {}
     for kind in sorted({r.kind for r in counts}):
-        patterns = sorted((tuple(r.votes), r["count"]) for r in counts if r.kind == kind)
-        # Two patterns of which one is known: a strict, well-formed match is true, a vote against without support is not.
-        patterns += [((1, 1, 1, 1, 0), 1), ((0, -1, 0, 0, -1), 1)]
-        weights[kind] = _logistic(patterns, _posteriors(patterns))
+        seen = {tuple(r.votes): r["count"] for r in counts if r.kind == kind}
+        # Patterns not seen weigh a little, so that the classifier is defined on them too.
+        weights[kind] = _logistic(grid, [0.2 + math.log1p(seen.get(v, 0)) for v in grid], _posteriors(sorted(seen.items()), grid))
     return SpanClassifier(weights)
 
 
