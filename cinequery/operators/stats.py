@@ -26,8 +26,10 @@ def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def sniff_rate(files: DataFrame, key: str, tag_hex: str, window: int = 2 << 20) -> DataFrame:
     """The first rational after a tag in the file's first bytes that is a rate of 1 to 240; null where none is."""
-    text = F.lower(F.hex(F.substring("payload", 1, window)))
-    hits = F.regexp_extract_all(text, F.lit(f"(?<=^(?:..){{0,{window}}}){tag_hex}([0-9a-f]{{16}})"), 1)
+    # One character a byte, so that the search stays on byte borders.
+    text = F.decode(F.substring("payload", 1, window), "ISO-8859-1")
+    tag = "".join(f"\\x{tag_hex[i : i + 2]}" for i in range(0, len(tag_hex), 2))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(f"(?s){tag}(.{{8}})"), 1), lambda h: F.hex(F.encode(h, "ISO-8859-1")))
     number = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
     good = F.filter(hits, lambda h: (number(h, 1) > 0) & (number(h, 9) > 0) & (number(h, 1) / F.greatest(number(h, 9), F.lit(1)) >= 1) & (number(h, 1) / F.greatest(number(h, 9), F.lit(1)) <= 240))
     first = F.get(good, 0)

@@ -317,7 +317,7 @@ def count_per_track(spark, sf_dir):
 
 @query("packet_count", f"SELECT t.body_sid, t.number, count(e.ord) AS n FROM (SELECT b AS body_sid, k AS number FROM unnest(range(1, 4)) x(b), unnest(range(0, 20)) y(k)) t LEFT JOIN ({ESS}) e ON e.body_sid = t.body_sid AND e.number = t.number GROUP BY ALL")
 def packet_count(spark, sf_dir):
-    tracks = spark.range(1, 4).select(F.col("id").alias("body_sid"), F.explode(F.sequence(F.lit(0), F.lit(19))).cast("long").alias("number"))
+    tracks = spark.range(1, 4).select(F.col("id").alias("body_sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("number"))
     counts = essence(spark, sf_dir).groupBy(*C.TRACK).agg(F.count("*").alias("n"))
     return tracks.join(counts, C.TRACK, "left").fillna(0, ["n"])
 

@@ -15,7 +15,7 @@ from cinequery.sources.tables import read
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{'+'.join(v)}'" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v) for v in p) + ")" for p in H.PROFILES)
 #: The synthetic headers' fields and their profile, by arithmetic on the part table.
 FIELDS = f"""SELECT *, {frames.cid_sql()} AS hcid FROM (SELECT p_partkey, {", ".join(f"{sql} AS {name}" for name, sql in frames.FIELDS.items())} FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 13 <> 0)"""
-JOINED = f"""SELECT f.*, p.*, CASE depth_code WHEN 1 THEN 8 WHEN 2 THEN 10 ELSE 12 END AS depth, coalesce(pw, hwidth) AS width, CASE WHEN hinterlaced = 1 THEN coalesce(ph, hfield) ELSE hfield END AS height,
+JOINED = f"""SELECT f.*, p.*, CASE depth_code WHEN 1 THEN 8 WHEN 2 THEN 10 ELSE 12 END AS depth, CAST(coalesce(pw, hwidth) AS BIGINT) AS width, CASE WHEN hinterlaced = 1 THEN CAST(coalesce(ph, hfield) AS BIGINT) ELSE CAST(hfield AS BIGINT) END AS height,
 CASE hcolor WHEN 0 THEN 'bt709' WHEN 1 THEN 'bt2020-ncl' WHEN 2 THEN 'bt2020-cl' ELSE 'unspecified' END AS space
 FROM ({FIELDS}) f LEFT JOIN (VALUES {_VALUES}) p(cid, profile, pw, ph, fsize, usize, pdepth, flags, snum, sden) ON p.cid = f.hcid"""
 SIZED = f"""SELECT *, CASE WHEN h444 = 1 THEN CASE WHEN depth IN (10, 12) THEN CASE WHEN hact = 1 THEN 'yuv444p' || depth ELSE 'gbrp' || depth END ELSE 'unknown' END WHEN depth = 8 THEN 'yuv422p8' WHEN depth = 10 THEN 'yuv422p10' ELSE 'yuv422p12' END AS pixfmt,
@@ -255,7 +255,7 @@ def samples(spark, sf_dir):
     return read(spark, sf_dir, "events").selectExpr("event_id", "event_id % 1024 AS a", "user_id * 13 % 1024 AS b", "event_id * 7 % 1024 AS c")
 
 
-@query("chroma_420", "SELECT pair, (sum(s) + 1) >> 1 AS s FROM (SELECT event_id // 2 AS pair, event_id * 13 % 256 AS s FROM events) GROUP BY pair HAVING count(*) = 2")
+@query("chroma_420", "SELECT pair, CAST((sum(s) + 1) AS BIGINT) >> 1 AS s FROM (SELECT event_id // 2 AS pair, event_id * 13 % 256 AS s FROM events) GROUP BY pair HAVING count(*) = 2")
 def chroma_420(spark, sf_dir):
     rows = read(spark, sf_dir, "events").selectExpr("event_id div 2 AS pair", "event_id", "event_id * 13 % 256 AS s")
     below = F.lead("s").over(Window.partitionBy("pair").orderBy("event_id"))
@@ -283,10 +283,10 @@ def yuv_to_rgba(spark, sf_dir):
     return samples(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in S.yuv_to_rgb(F.col("a"), F.col("b"), F.col("c"), 10).items()), F.lit(255).alias("a"))
 
 
-@query("yuv_to_rgb_float", f"SELECT event_id, {', '.join(f'round(CAST(least(255, greatest(0, {e})) AS DOUBLE), 6) AS {n}' for n, e in _CHANNELS.items())} FROM ({_RGB})")
+@query("yuv_to_rgb_float", f"SELECT event_id, {', '.join(f'CAST(least(255, greatest(0, {e})) AS DOUBLE) AS {n}' for n, e in _CHANNELS.items())} FROM ({_RGB})")
 def yuv_to_rgb_float(spark, sf_dir):
     rgb = S.yuv_to_rgb(F.col("a"), F.col("b"), F.col("c"), 10, rounded=False)
-    return samples(spark, sf_dir).select("event_id", *(F.round(c, 6).alias(n) for n, c in rgb.items()))
+    return samples(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in rgb.items()))
 
 
 @query("yuv_to_rgb_native", f"SELECT event_id, CAST(least(255, greatest(0, (298 * (a - 16) + 459 * (c - 128) + 128) >> 8)) AS INTEGER) AS r, CAST(least(255, greatest(0, (298 * (a - 16) - 55 * (b - 128) - 136 * (c - 128) + 128) >> 8)) AS INTEGER) AS g, CAST(least(255, greatest(0, (298 * (a - 16) + 541 * (b - 128) + 128) >> 8)) AS INTEGER) AS b FROM (SELECT event_id, a % 256 AS a, b % 256 AS b, c % 256 AS c FROM ({SAMPLE}))")

@@ -227,7 +227,7 @@ def bench_summary(spark, sf_dir):
     return stats.summary(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
 
 
-@query("edit_rate_sniff", "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN page_id % 3 * 30000 END AS numerator, CASE WHEN page_id % 3 > 0 THEN 1001 END AS denominator FROM pages")
+@query("edit_rate_sniff", "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN page_id % 3 * 30000 END AS numerator, CASE WHEN page_id % 3 > 0 THEN CAST(1001 AS BIGINT) END AS denominator FROM pages")
 def edit_rate_sniff(spark, sf_dir):
     from cinequery.functions import binary as B
 
