@@ -38,7 +38,7 @@ def test_odd_rows_ties_and_varied_norms(spark):
     rng = np.random.default_rng(0)
     f32 = lambda v: [float(np.float32(x)) for x in v]
     rows = [(i, f32(rng.normal(size=8) * rng.uniform(0.1, 3))) for i in range(400)]
-    hot = f32(rng.normal(size=8))
+    hot = f32(5 * rng.normal(size=8))
     rows += [(1000 + i, hot) for i in range(300)]
     rows += [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [1.0, None] + [0.0] * 6), (2080, [float("inf")] + [0.0] * 7), (2100, [1.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
