@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinequery.functions.binary import le_uint
-
 
 def resolve(planes: DataFrame, key: str) -> DataFrame:
     """Packed places of planes (key, plane, row_bytes, height): each begins where the one before ends; ``overlaps`` marks planes that begin before another ends."""
@@ -39,9 +37,10 @@ def place(block: str, macroblock: str, mb_row: str, i: str) -> dict[str, Column]
 def deinterleave(packets: DataFrame, key: str, channels: int, partial: str) -> DataFrame:
     """key, frame, channel, v of 16-bit little-endian packets (key, payload). A partial last frame either rejects the packet or is dropped ("floor")."""
     width = 2 * channels
-    rows = packets.withColumn("n", F.expr(f"octet_length(payload) div {width} * {channels}"))
-    if partial == "reject":
-        rows = rows.where(F.octet_length("payload") % width == 0)
-    rows = rows.where("n > 0").select(key, "payload", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i"))
-    raw = le_uint("payload", F.col("i") * 2, 2)
-    return rows.select(key, F.expr(f"i div {channels}").alias("frame"), (F.col("i") % channels).alias("channel"), (F.when(raw >= 32768, raw - 65536).otherwise(raw).cast("double") / 32768).alias("v"))
+    rows = packets.where(F.octet_length("payload") % width == 0) if partial == "reject" else packets
+    # The payload is cut into words before it is exploded, so no row carries it along.
+    words = F.slice(F.regexp_extract_all(F.hex("payload"), F.lit(".{4}"), 0), 1, F.expr(f"CAST(octet_length(payload) div {width} * {channels} AS INT)"))
+    words = rows.select(key, F.posexplode(words).alias("i", "word"))
+    raw = F.conv(F.concat(F.substring("word", 3, 2), F.substring("word", 1, 2)), 16, 10).cast("int")
+    v = F.when(raw >= 32768, raw - 65536).otherwise(raw).cast("double") / 32768
+    return words.select(key, F.expr(f"i div {channels}").alias("frame"), (F.col("i").cast("long") % channels).alias("channel"), v.alias("v"))

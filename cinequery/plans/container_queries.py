@@ -203,11 +203,11 @@ def join_descriptor(spark, sf_dir):
 
 @query(
     "join_container_data",
-    "SELECT n.n_nationkey AS container, r.r_name AS package, c.c_custkey AS track FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE n.n_nationkey % 4 <> 0",
+    "SELECT n.n_nationkey AS container, r.r_name AS package, c.c_custkey AS track FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey",
 )
 def join_container_data(spark, sf_dir):
     tracks = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set("c_custkey").alias("refs"))
-    data = read(spark, sf_dir, "nation").where("n_nationkey % 4 <> 0").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    data = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return data.join(tracks, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_nationkey").alias("container"), F.col("r_name").alias("package"), F.explode("refs").alias("track"))
 
 
@@ -333,9 +333,9 @@ def contiguous_duration(spark, sf_dir):
     return I.contiguous(segments(spark, sf_dir), "length")
 
 
-@query("contiguous_entries", "SELECT user_id AS body_sid, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS entries FROM events WHERE user_id % 2 = 0 GROUP BY user_id")
+@query("contiguous_entries", "SELECT user_id AS body_sid, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS entries FROM events GROUP BY user_id")
 def contiguous_entries(spark, sf_dir):
-    parts = events(spark, sf_dir).where("user_id % 2 = 0").groupBy("user_id", F.expr("event_id div 500").alias("segment")).agg(F.sort_array(F.collect_list("event_id")).alias("entries"))
+    parts = events(spark, sf_dir).groupBy("user_id", F.expr("event_id div 500").alias("segment")).agg(F.sort_array(F.collect_list("event_id")).alias("entries"))
     joined = parts.groupBy(F.col("user_id").alias("body_sid")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment", "entries"))), lambda s: s["entries"])).alias("e"))
     return joined.select("body_sid", F.size("e").cast("long").alias("n"), F.array_join(F.col("e").cast("array<string>"), ",").alias("entries"))
 

@@ -106,10 +106,10 @@ def container_par(spark, sf_dir):
 @query(
     "row_spans",
     f"""SELECT p_partkey, CAST(i AS INTEGER) AS "row", CAST(640 + i * 3 AS BIGINT) AS first, CAST(CASE WHEN i + 1 < hmb THEN 640 + (i + 1) * 3 ELSE 640 + 180 END AS BIGINT) AS past, CAST(CASE WHEN i + 1 < hmb THEN 3 ELSE 180 - i * 3 END AS BIGINT) AS length, true AS valid
-    FROM ({FIELDS}), unnest(range(0, hmb)) t(i) WHERE p_partkey % 3 = 0""",
+    FROM ({FIELDS}), unnest(range(0, hmb)) t(i)""",
 )
 def row_spans(spark, sf_dir):
-    h = frames.headers(spark, sf_dir).where("p_partkey % 3 = 0").withColumn("packet", F.when(F.octet_length("packet") == 640, F.concat("packet", F.unhex(F.lit("5a" * 180)))).otherwise(F.col("packet")))
+    h = frames.headers(spark, sf_dir).select("p_partkey", F.explode(F.array(F.when(F.octet_length("packet") == 640, F.concat("packet", F.unhex(F.lit("5a" * 180)))).otherwise(F.col("packet")))).alias("packet"))
     return H.row_spans(H.parse(h), "p_partkey")
 
 
@@ -199,9 +199,9 @@ def zigzag_position(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", pos.alias("pos"), (pos > 63).alias("error"))
 
 
-@query("qscale_weights", "SELECT event_id, i AS pos, (event_id % 1024) * (32 + i * 3) AS weight FROM events, unnest(range(0, 8)) t(i) WHERE event_id % 4 = 0")
+@query("qscale_weights", "SELECT event_id, i AS pos, (event_id % 1024) * (32 + i * 3) AS weight FROM events, unnest(range(0, 8)) t(i)")
 def qscale_weights(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id % 4 = 0").select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("pos"))
+    e = read(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("pos"))
     return e.select("event_id", "pos", (F.col("event_id") % 1024 * (32 + F.col("pos") * 3)).alias("weight"))
 
 
@@ -329,26 +329,24 @@ def pcm_layout(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", S.pcm_layout(F.col("user_id") % 33, stored).alias("l")).select("event_id", "l.bytes")
 
 
-_FRAME = "SELECT doc_id, left(text, 64) AS t FROM documents WHERE regexp_full_match(left(text, 64), '[ -~\\n]*') AND length(text) > 3"
+#: Two-byte little-endian words of the whole texts, as hex.
+_WORDS = "SELECT doc_id, strlen(text) AS n, regexp_extract_all(hex(encode(text)), '.{4}') AS ws FROM documents"
+_RAW = f"SELECT doc_id, n, i, CAST('0x' || w[3:4] || w[1:2] AS INTEGER) AS raw FROM (SELECT doc_id, n, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM ({_WORDS}))"
+_PCM = f"SELECT doc_id, i // 2 AS frame, i % 2 AS channel, CAST(CASE WHEN raw >= 32768 THEN raw - 65536 ELSE raw END AS DOUBLE) / 32768 AS v FROM ({_RAW})"
 
 
-@query("pcm_deinterleave", f"SELECT doc_id, i // 2 AS frame, i % 2 AS channel, (CAST(ascii(t[i * 2 + 1]) AS DOUBLE) + 256 * ascii(t[i * 2 + 2])) / 32768 AS v FROM ({_FRAME}), unnest(range(0, length(t) // 2)) x(i) WHERE length(t) % 4 = 0")
+@query("pcm_deinterleave", f"{_PCM} WHERE n % 4 = 0")
 def pcm_deinterleave(spark, sf_dir):
     from cinequery.operators.layout import deinterleave
 
-    return deinterleave(_ascii(read(spark, sf_dir, "documents")), "doc_id", 2, partial="reject")
+    return deinterleave(read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload")), "doc_id", 2, partial="reject")
 
 
-@query("pcm_unpack_native", f"SELECT doc_id, i // 2 AS frame, i % 2 AS channel, (CAST(ascii(t[i * 2 + 1]) AS DOUBLE) + 256 * ascii(t[i * 2 + 2])) / 32768 AS v FROM ({_FRAME}), unnest(range(0, length(t) // 4 * 2)) x(i)")
+@query("pcm_unpack_native", f"{_PCM} WHERE i < n // 4 * 2")
 def pcm_unpack_native(spark, sf_dir):
     from cinequery.operators.layout import deinterleave
 
-    return deinterleave(_ascii(read(spark, sf_dir, "documents")), "doc_id", 2, partial="floor")
-
-
-def _ascii(docs):
-    head = F.left("text", F.lit(64))
-    return docs.where(head.rlike(r"^[ -~\n]*$") & (F.length("text") > 3)).select("doc_id", F.encode(head, "utf-8").alias("payload"))
+    return deinterleave(read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload")), "doc_id", 2, partial="floor")
 
 
 ALLOWED = "CASE p_partkey % 4 WHEN 0 THEN ['yuv444p8', 'yuv420p8'] WHEN 1 THEN ['yuv420p8', 'yuv420p10'] WHEN 2 THEN ['yuv444p10', 'yuv444p12'] ELSE ['yuv422p8', 'gbrp12'] END"

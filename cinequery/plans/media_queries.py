@@ -45,11 +45,11 @@ def seek_timing(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", (F.col("event_id") * M.frame_duration_us(F.lit(None).cast("double"), num, den)).alias("timestamp_us"))
 
 
-@query("frame_duration", "SELECT event_id, CAST(CASE WHEN user_id % 4 = 0 THEN floor(value + 0.5) WHEN user_id % 4 = 1 THEN floor(1001.0::DOUBLE * 1000000 / 24000 + 0.5) ELSE 33333 END AS BIGINT) AS us FROM events WHERE value > 0")
+@query("frame_duration", "SELECT event_id, CAST(CASE WHEN user_id % 4 = 0 AND value > 0 THEN floor(value + 0.5) WHEN user_id % 4 = 1 THEN floor(1001.0::DOUBLE * 1000000 / 24000 + 0.5) ELSE 33333 END AS BIGINT) AS us FROM events")
 def frame_duration(spark, sf_dir):
     u = F.col("user_id") % 4
     override, num = F.when(u == 0, F.col("value")), F.when(u == 1, 24000).otherwise(0)
-    return events(spark, sf_dir).where("value > 0").select("event_id", M.frame_duration_us(override, num, F.lit(1001)).alias("us"))
+    return events(spark, sf_dir).select("event_id", M.frame_duration_us(override, num, F.lit(1001)).alias("us"))
 
 
 @query("edit_rate_timing", 'SELECT event_id, event_id * (1001.0::DOUBLE / 30000) AS "timestamp", 1001.0::DOUBLE / 30000 AS duration, event_id AS sequence_number FROM events')
@@ -69,19 +69,16 @@ def clock_sample(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", M.clock_time(F.col("event_id") % 3 > 0, user, user, F.lit(20.0), F.col("value"), F.lit(100.0)).alias("t"))
 
 
-#: A clock's events: in each session of 12 the first starts at 3, the eighth seeks to 50, the tenth pauses; the rest only ask.
+#: A clock's events: in each session of 12 the first starts at 3, the eighth seeks to 50, the tenth pauses; the rest only ask. A session whose start is missing never runs.
 @query(
     "clock_fold",
-    """SELECT event_id // 12 AS session, event_id AS ord, CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN k < 8 THEN least(60.0::DOUBLE, 3 + (event_id - first) * 0.5::DOUBLE) WHEN k <= 10 THEN least(60.0::DOUBLE, 50 + greatest(0, event_id - s7) * 0.5::DOUBLE) ELSE least(60.0::DOUBLE, 50 + (s10 - s7) * 0.5::DOUBLE) END AS media_time
-    FROM (SELECT *, min(event_id) OVER (PARTITION BY event_id // 12) AS first, min(event_id) FILTER (k = 7) OVER (PARTITION BY event_id // 12) AS s7, min(event_id) FILTER (k = 10) OVER (PARTITION BY event_id // 12) AS s10
-    FROM (SELECT event_id, event_id % 12 AS k FROM events WHERE event_id // 12 < (SELECT max(event_id) // 12 FROM events) AND event_id // 12 > 0))""",
+    """SELECT event_id // 12 AS session, event_id AS ord, CASE WHEN first IS NULL THEN CASE WHEN k < 8 THEN 0.0::DOUBLE ELSE 50.0::DOUBLE END WHEN k = 0 THEN 0.0::DOUBLE WHEN k < 8 THEN least(60.0::DOUBLE, 3 + (event_id - first) * 0.5::DOUBLE) WHEN k <= 10 THEN least(60.0::DOUBLE, 50 + (event_id - s7) * 0.5::DOUBLE) ELSE least(60.0::DOUBLE, 50 + (s10 - s7) * 0.5::DOUBLE) END AS media_time
+    FROM (SELECT *, min(event_id) FILTER (k = 0) OVER s AS first, min(event_id) FILTER (k = 7) OVER s AS s7, min(event_id) FILTER (k = 10) OVER s AS s10 FROM (SELECT event_id, event_id % 12 AS k FROM events) WINDOW s AS (PARTITION BY event_id // 12))""",
 )
 def clock_fold(spark, sf_dir):
-    e = events(spark, sf_dir)
-    whole = e.join(F.broadcast(e.agg(F.expr("max(event_id) div 12").alias("last"))), F.expr("event_id div 12 < last AND event_id div 12 > 0"))
     k = F.col("event_id") % 12
     kind = F.when(k == 0, "start").when(k == 7, "seek").when(k == 10, "pause").otherwise("tick")
-    rows = whole.select(F.expr("event_id div 12").alias("session"), F.col("event_id").alias("ord"), (F.col("event_id") * F.lit(0.5)).alias("at"), kind.alias("kind"), F.when(k == 0, 3.0).otherwise(50.0).alias("value"))
+    rows = events(spark, sf_dir).select(F.expr("event_id div 12").alias("session"), F.col("event_id").alias("ord"), (F.col("event_id") * F.lit(0.5)).alias("at"), kind.alias("kind"), F.when(k == 0, 3.0).otherwise(50.0).alias("value"))
     return P.clock_fold(rows, 60.0)
 
 

@@ -122,9 +122,9 @@ def signed_byte(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", B.signed_byte(B.be_uint(B.be_bytes(F.col("event_id"), 1), 0, 1)).alias("v"))
 
 
-@query("utf16be", "SELECT doc_id, left(text, 40) AS t FROM documents")
+@query("utf16be", "SELECT doc_id, text AS t FROM documents")
 def utf16be(spark, sf_dir):
-    padded = F.concat(F.encode(F.left("text", F.lit(40)), "UTF-16BE"), F.unhex(F.lit("0000")))
+    padded = F.concat(F.encode("text", "UTF-16BE"), F.unhex(F.lit("0000")))
     return read(spark, sf_dir, "documents").select("doc_id", B.utf16be(padded).alias("t"))
 
 
