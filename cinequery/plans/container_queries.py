@@ -7,7 +7,7 @@ from cinequery.operators import container as C
 from cinequery.operators import index as I
 from cinequery.operators import klv, validate
 from cinequery.plans.registry import query
-from cinequery.sources.tables import read
+from cinequery.sources.tables import held, read
 
 #: Essence elements out of the events table; the same text runs in Spark and in the counterpart.
 ESS = "SELECT event_id AS ord, CAST(ascii(event_type) % 3 + 1 AS BIGINT) AS body_sid, user_id % 16 AS number, 20 + event_id % 4 AS item_type, CAST(floor(abs(value) * 100) AS BIGINT) AS value_length FROM events"
@@ -68,7 +68,8 @@ def partition_decode(spark, sf_dir):
     label = F.unhex(F.lpad(F.hex(k), 32, "0"))
     count = k % 3
     pack = F.concat(B.be_bytes(count, 2), zero(2), B.be_bytes(F.lit(512), 4), B.be_bytes(k * 1024, 8), zero(32), B.be_bytes(k % 9, 4), zero(8), B.be_bytes(k % 5, 4), label, B.be_bytes(count, 4), B.be_bytes(F.when(k % 6 == 0, 15).otherwise(16), 4), F.when(count > 0, label).otherwise(zero(0)), F.when(count > 1, label).otherwise(zero(0)))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", C.partition_kind(k % 4).alias("kind"), C.partition_pack(pack).alias("p"))
+    packs = read(spark, sf_dir, "orders").select("o_orderkey", held(pack))
+    rows = packs.select("o_orderkey", C.partition_kind(k % 4).alias("kind"), F.explode(F.array(C.partition_pack("value"))).alias("p"))
     return rows.select("o_orderkey", "kind", F.col("p.major").cast("long").alias("major"), "p.this_partition", "p.index_sid", "p.body_sid", F.size("p.essence_containers").cast("long").alias("containers"), F.get("p.essence_containers", F.lit(0)).alias("first_container"))
 
 
@@ -79,7 +80,7 @@ def partition_decode(spark, sf_dir):
 )
 def primer_map(spark, sf_dir):
     value = F.concat(B.be_bytes(F.lit(1), 4), B.be_bytes(F.lit(18), 4), B.be_bytes(32768 + F.col("user_id") % 40, 2), F.unhex(F.lpad(F.hex("event_id"), 32, "0")))
-    primers = events(spark, sf_dir).select("event_id", F.expr("event_id div 100").alias("file"), F.explode(C.primer_entries(value)).alias("e"))
+    primers = events(spark, sf_dir).select("event_id", F.expr("event_id div 100").alias("file"), held(value)).select("event_id", "file", F.explode(C.primer_entries("value")).alias("e"))
     return primers.groupBy("file", F.col("e.tag").alias("tag")).agg(F.max_by("e.label", "event_id").alias("label"))
 
 
@@ -123,7 +124,7 @@ def index_decode(spark, sf_dir):
     entry = lambda i: F.concat(B.be_bytes(k + i, 1), B.be_bytes(F.lit(0), 1), B.be_bytes(F.lit(128), 1), B.be_bytes(k * 4096 + i, 8))
     none = F.unhex(F.lit(""))
     value = F.concat(B.be_bytes(k % 4, 4), B.be_bytes(F.lit(11), 4), *(F.when(k % 4 > i, entry(i)).otherwise(none) for i in range(3)))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(C.index_entries(value)).alias("pos", "e"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", held(value)).select("o_orderkey", F.posexplode(C.index_entries("value")).alias("pos", "e"))
     return rows.select("o_orderkey", F.col("pos").cast("long").alias("pos"), "e.temporal", "e.flags", "e.stream_offset")
 
 
@@ -132,7 +133,7 @@ def rip_decode(spark, sf_dir):
     k = F.col("o_orderkey")
     none = F.unhex(F.lit(""))
     value = F.concat(*(F.when(k % 4 > i, F.concat(B.be_bytes(F.lit(i), 4), B.be_bytes(k * 100 + i, 8))).otherwise(none) for i in range(3)), B.be_bytes(F.lit(0), 4))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(C.random_index(value)).alias("e")).select("o_orderkey", "e.body_sid", "e.byte_offset")
+    return read(spark, sf_dir, "orders").select("o_orderkey", held(value)).select("o_orderkey", F.explode(C.random_index("value")).alias("e")).select("o_orderkey", "e.body_sid", "e.byte_offset")
 
 
 @query("ref_array", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 0 ELSE o_orderkey % 3 END AS n, CASE WHEN o_orderkey % 5 NOT IN (0, 1) AND o_orderkey % 3 > 0 THEN lpad(lower(hex(o_orderkey)), 32, '0') END AS first FROM orders")
@@ -142,7 +143,7 @@ def ref_array(spark, sf_dir):
     none = F.unhex(F.lit(""))
     n = F.when(k % 5 == 1, 9).otherwise(k % 3)
     value = F.concat(B.be_bytes(n, 4), B.be_bytes(F.when(k % 5 == 0, 12).otherwise(16), 4), F.when(k % 3 > 0, ref).otherwise(none), F.when(k % 3 > 1, ref).otherwise(none))
-    return read(spark, sf_dir, "orders").select("o_orderkey", C.reference_array(value).alias("r")).select("o_orderkey", F.size("r").cast("long").alias("n"), F.get("r", F.lit(0)).alias("first"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", held(value)).select("o_orderkey", F.explode(F.array(C.reference_array("value"))).alias("r")).select("o_orderkey", F.size("r").cast("long").alias("n"), F.get("r", F.lit(0)).alias("first"))
 
 
 @query("op_classify", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'op1a' WHEN 1 THEN 'opatom' END AS pattern FROM orders")

@@ -28,3 +28,8 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.groupBy(F.expr(f"doc_id div {FILE_DOCUMENTS}").alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "triplet"))).alias("parts"))
     joined = F.aggregate(F.transform("parts", lambda p: F.hex(p["triplet"])), F.array().cast("array<string>"), lambda all_, p: F.array_append(all_, p))
     return files.select("file", F.unhex(F.array_join(joined, "")).alias("payload"))
+
+
+def held(value: Column) -> Column:
+    """A synthetic value as the column ``value``, exploded from a single element, so that what reads its fields doesn't construct it anew for each."""
+    return F.explode(F.array(value)).alias("value")
