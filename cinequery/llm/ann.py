@@ -197,12 +197,15 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: Centroids) -> Iterator
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ids[row, col].astype(np.int32))], names=[*part.schema.names, "list"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], centroids: Centroids) -> Iterator[pa.RecordBatch]:
+def _probe(batches: Iterator[pa.RecordBatch], centroids: Centroids, sizes: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
+    """The lists within the ratio, and the next ones while those before hold fewer than ``enough`` postings."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             ids, d = centroids.search(centroids.flat(_matrix(part.column(1))), len(centroids.points))
-            row, col = np.nonzero((d <= centroids.ratio * d[:, :1]) & (ids >= 0))
+            held = np.where(ids >= 0, sizes[ids], 0)
+            before = np.cumsum(held, axis=1) - held
+            row, col = np.nonzero(((d <= centroids.ratio * d[:, :1]) | (before < enough)) & (ids >= 0))
             taken = part.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ids[row, col].astype(np.int32))], names=[*part.schema.names, "list"])
 
@@ -224,10 +227,9 @@ def _best(queries: pa.Table, vectors: pa.Table, top: int) -> pa.Table:
     return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
 
-def _blocked(postings: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides keyed by (list, piece, block), each key with about BLOCK vectors and QUERIES queries: vectors and queries of a list are dealt by id, and repeated for each part of the other side."""
+def _blocked(postings: DataFrame, probes: DataFrame, n: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides keyed by (list, piece, block), each key with about BLOCK vectors and QUERIES queries (``n``: vectors of each list): vectors and queries of a list are dealt by id, and repeated for each part of the other side."""
     spark = postings.sparkSession
-    n = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # LISTS rows at most
     m = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     sizes = F.broadcast(spark.createDataFrame([(k, -(-n[k] // BLOCK), -(-m[k] // QUERIES)) for k in n if k in m], "list int, pieces int, blocks int"))
     own = lambda parts: F.pmod(F.xxhash64("vec_id"), F.col(parts)).cast("int")
@@ -256,8 +258,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int =
     listed = f"vec_id long, embedding {kind}, list int"
     rows, asked = (df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for df in (rows, asked))
     postings = cut(rows.mapInArrow(lambda batches: _assign(batches, known.value), listed))
-    probes = cut(asked.mapInArrow(lambda batches: _probe(batches, known.value), listed))
-    left, right = _blocked(postings, probes)
+    n = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # LISTS rows at most
+    sizes = np.array([n.get(k, 0) for k in range(len(centroids.points))], np.int64)
+    enough = COPIES * (top + 1)  # postings of top other vectors at least, as each has COPIES at most
+    probes = cut(asked.mapInArrow(lambda batches: _probe(batches, known.value, sizes, enough), listed))
+    left, right = _blocked(postings, probes, n)
     key = ["list", "piece", "block"]
     found = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda q, v: _best(q, v, top), schema)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cinequery.llm.common import runs, text_blocks, words
 
-SCHEMA = "doc_id {id}, n_words long, hits array<struct<first:long,past:long>>, items array<string>, longest long"
+SCHEMA = "doc_id {id}, text_hash long, n_words long, hits array<struct<first:long,past:long>>, items array<string>, longest long"
 
 
 class Suffixes:
@@ -70,12 +70,13 @@ def suffix_array(numbers: np.ndarray, row: np.ndarray, shortest: int, depth: int
         return live
     padded = np.concatenate([numbers, np.zeros(depth, numbers.dtype)])
     rows = np.concatenate([row, np.full(depth, -1, row.dtype)])
+    bits = max(1, int(numbers.max()).bit_length())
+    together = max(1, 63 // bits)  # words of a key
     keys = []
-    for k in range(0, depth, 3):  # three words of up to 21 bits a key
+    for k in range(0, depth, together):
         key = np.zeros(len(live), np.int64)
-        for j in range(k, k + 3):
-            word = padded[live + j] * (rows[live + j] == row[live]) if j < depth else 0
-            key = (key << 21) | word
+        for j in range(k, min(k + together, depth)):
+            key = (key << bits) | padded[live + j] * (rows[live + j] == row[live])
         keys.append(key)
     return live[np.lexsort(keys[::-1])]
 
@@ -168,12 +169,13 @@ def scan(batches: Iterator[pa.RecordBatch], tests: Suffixes, shard_bytes: int) -
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
+                    rows.column(1),
                     pa.array(size, pa.int64()),
                     pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
                     pa.array([sorted({x for x in i if x is not None}) for i in items], pa.list_(pa.string())),
                     pa.array(longest, pa.int64()),
                 ],
-                names=["doc_id", "n_words", "hits", "items", "longest"],
+                names=["doc_id", "text_hash", "n_words", "hits", "items", "longest"],
             )
 
 
@@ -196,10 +198,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes
     An item of fewer than ``window`` words is one window; one without words matches nothing.
     Benchmarks over ``block_bytes`` are searched block by block over all documents and the
     findings merged, so what is broadcast stays bounded. Null texts have no words; a null
-    item_id marks words but names no item; rows with equal ids stay apart while one block
-    suffices and are merged by (doc_id, text) beyond that.
+    item_id marks words but names no item. Rows with equal ids stay apart; equal rows have equal
+    findings, so blocks are merged by (doc_id, text) and returned as often as the rows come.
     """
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
     parts = []
     for block in item_blocks(benchmark, block_bytes):
@@ -209,11 +211,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes
         tests = texts.sparkSession.sparkContext.broadcast(Suffixes([], window))
         parts.append(texts.mapInArrow(lambda batches: scan(batches, tests.value, shard_bytes), schema))
     if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    merged = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+        return parts[0].drop("text_hash")
+    whole = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("block", F.lit(k))
+        whole = whole.unionByName(part) if whole is not None else part
+    # Of equal rows one finding a block is kept, with their number, so that no key gathers more rows than there are blocks.
+    found = ("n_words", "hits", "items", "longest")
+    whole = whole.groupBy("doc_id", "text_hash", "block").agg(F.max(F.struct(*found)).alias("found"), F.count("*").alias("copies")).select("doc_id", "text_hash", "copies", *(f"found.{c}" for c in found))
+    merged = whole.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
     joined = F.aggregate(
         "hits",
         F.array().cast("array<struct<first:long,past:long>>"),
@@ -222,7 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1)["first"].alias("first"), F.greatest(F.get(done, F.size(done) - 1)["past"], hit["past"]).alias("past")))),
         ).otherwise(F.concat(done, F.array(hit))),
     )
-    return merged.withColumn("hits", joined)
+    return merged.withColumn("hits", joined).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *found)
 
 
 def hit_words() -> Column:

@@ -68,3 +68,11 @@ def test_graph_finds_the_nearest_centres():
     x = rng.normal(size=(64, 16))
     ids, d = c.search(x, 16)
     assert (ids[:, 0] == ann._squares(x, points).argmin(1)).mean() > 0.95 and (np.diff(d, axis=1) >= 0).all()
+
+
+def test_short_lists_still_give_all_ranks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], 1, "") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ann.search(df, df.where("vec_id % 20 = 0"), list_size=4).groupBy("query_id").count().collect()
+    assert len(got) == 10 and {r["count"] for r in got} == {20}

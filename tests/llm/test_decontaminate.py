@@ -49,8 +49,7 @@ def corpus():
 @pytest.mark.parametrize("how", [{}, {"shard_bytes": 200}, {"block_bytes": 150}])
 def test_report_matches_brute_force(spark, how):
     docs, bench = corpus()
-    if "block_bytes" in how:  # merged by id, so ids are unique here
-        docs = list({d: (d, t) for d, t in docs}.values())
+    docs += [docs[5], docs[-1], docs[-1]]
     frame = spark.createDataFrame([(d, t, "clash", "clash") for d, t in docs], DOCS)
     got = decontaminate.report(frame, spark.createDataFrame(bench, "item_id long, text string"), **how)
     rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()]
