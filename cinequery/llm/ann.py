@@ -27,6 +27,8 @@ EXTRA = 1.0
 COVER = 0.985
 #: Vectors and queries of a block.
 BLOCK, QUERIES = 4096, 1024
+#: Shares of the greatest norm: centres this near are one, and a query this near to a centre counts as at it (the extra dimension is a root, so its rounding is that of half the digits).
+SAME, AT = 1e-9, 1e-6
 
 
 @dataclass
@@ -61,6 +63,10 @@ class Centroids:
         scale = self.radius / np.sqrt((queries**2).sum(1, keepdims=True))
         return np.concatenate([queries * scale, np.zeros((len(queries), 1))], 1)
 
+    def base(self, d: np.ndarray) -> np.ndarray:
+        """Of each query's distances the least that its lists are measured by: the nearest centroid's, or at a centroid the next one's, where a ratio of nothing would reach no other list."""
+        return np.where(d > AT * self.radius, d, np.inf).min(1, keepdims=True)
+
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of about the ``width`` nearest centroids of each row, nearest first; all rows walk the graph in step, each widening from its best unvisited centroid."""
         n, k = len(x), min(width, len(self.points))
@@ -128,6 +134,19 @@ def balanced_centres(x: np.ndarray, k: int, rounds: int = 3, seed: int = 1) -> n
     return centres
 
 
+def apart(centres: np.ndarray, radius: float) -> np.ndarray:
+    """The centres, of coincident ones the first: equal vectors that fill several sets give as many equal means."""
+    _, first = np.unique(np.round(centres / (SAME * radius)), axis=0, return_index=True)
+    return centres[np.sort(first)]
+
+
+def _ratios(d: np.ndarray) -> np.ndarray:
+    """Distances after the first over the first. A vector at its centre has no ratio, save to centres that it is at as well: 1."""
+    near, further = np.broadcast_to(d[:, :1], d[:, 1:].shape), d[:, 1:]
+    none = near == 0
+    return np.where(none, 1.0, further / np.where(none, 1.0, near))[~none | (further == 0)]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -151,10 +170,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE, list_size: int = LIST) -> Centroi
     radius = float(np.sqrt(stats.m))
     lifted = Centroids(np.zeros((1, 1)), np.zeros((1, 1), int), np.zeros(1, int), radius).lift(x)
     k = int(np.clip(round(stats.n / list_size), 1, min(LISTS, max(1, len(x) // 8))))
-    centroids = Centroids.build(balanced_centres(lifted, k), radius)
+    centroids = Centroids.build(apart(balanced_centres(lifted, k), radius), radius)
     _, d = _nearest(centroids, lifted)
-    further = d[:, 1:] / d[:, :1]
-    centroids.border = float(np.quantile(further, EXTRA / further.shape[1])) if further.size else 1.0
+    further = _ratios(d)
+    centroids.border = float(np.quantile(further, min(1.0, EXTRA / (d.shape[1] - 1)))) if further.size else 1.0
     centroids.ratio = _query_ratio(centroids, x, lifted)
     return centroids
 
@@ -170,7 +189,7 @@ def _query_ratio(centroids: Centroids, x: np.ndarray, lifted: np.ndarray, top: i
         best = np.argsort(-s, kind="stable")[: min(top, len(x) - 1)]
         d = np.sqrt(((centroids.flat(x[q : q + 1]) - centroids.points) ** 2).sum(1))
         own = np.where(near[best], d[lists[best]], np.inf).min(1)
-        needed.append(own / d.min())
+        needed.append(np.maximum(own / centroids.base(d[None])[0], 1.0))
     needed = np.concatenate(needed) if needed else np.ones(1)
     return float(np.quantile(needed, COVER)) + 1e-9 if len(needed) else 1.0
 
@@ -182,9 +201,11 @@ def _nearest(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _lists(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each vector COPIES centroids, nearest first, and which of them hold it."""
+    """Of each vector COPIES centroids, nearest first, and which of them hold it: the nearest always."""
     ids, d = _nearest(centroids, lifted)
-    return ids, (d <= centroids.border * d[:, :1]) & (ids >= 0)
+    near = (d <= centroids.border * d[:, :1]) & (ids >= 0)
+    near[:, 0] = True
+    return ids, near
 
 
 def _assign(batches: Iterator[pa.RecordBatch], centroids: Centroids) -> Iterator[pa.RecordBatch]:
@@ -205,7 +226,7 @@ def _probe(batches: Iterator[pa.RecordBatch], centroids: Centroids, sizes: np.nd
             ids, d = centroids.search(centroids.flat(_matrix(part.column(1))), len(centroids.points))
             held = np.where(ids >= 0, sizes[ids], 0)
             before = np.cumsum(held, axis=1) - held
-            row, col = np.nonzero(((d <= centroids.ratio * d[:, :1]) | (before < enough)) & (ids >= 0))
+            row, col = np.nonzero(((d <= centroids.ratio * centroids.base(d)) | (before < enough)) & (ids >= 0))
             taken = part.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ids[row, col].astype(np.int32))], names=[*part.schema.names, "list"])
 

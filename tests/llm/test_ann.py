@@ -76,3 +76,36 @@ def test_short_lists_still_give_all_ranks(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = ann.search(df, df.where("vec_id % 20 = 0"), list_size=4).groupBy("query_id").count().collect()
     assert len(got) == 10 and {r["count"] for r in got} == {20}
+
+
+def test_a_large_group_of_equal_vectors_of_greatest_norm(spark):
+    rng = np.random.default_rng(5)
+    f32 = lambda v: [float(np.float32(x)) for x in v]
+    rows = [(i, f32(rng.normal(size=8))) for i in range(400)]
+    hot = [4.0] * 4 + [0.0] * 4  # of norm 8, so the lifted coordinate is 0 and means are exact
+    rows += [(1000 + i, hot) for i in range(600)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    want = exact(rows, [i for i, _ in rows if i % 20 == 0])
+    found = {}
+    for r in ann.search(df, df.where(F.col("vec_id") % 20 == 0), list_size=64).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(found) == set(want) and all(len(f) == 20 for f in found.values())
+    hits = sum(len({i for i, _ in want[q]} & {v for _, v in found[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert [v for _, v in sorted(found[1200])] == [1000 + i for i in range(20)]
+
+
+def test_a_table_of_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 2.0], 1, "") for i in range(1000)], SCHEMA)
+    got = ann.search(df, df.where("vec_id % 100 = 0")).collect()
+    assert len(got) == 200 and {r.score for r in got} == {9.0}
+    assert sorted(r.vec_id for r in got if r.query_id == 0) == list(range(1, 21))
+
+
+def test_a_query_at_a_centre_reaches_other_lists():
+    points = np.array([[3.0, 0.0, 0.0], [2.0, 1.0, 2.0], [-3.0, 0.0, 0.0]])
+    c = ann.Centroids.build(ann.apart(np.concatenate([points, points[:1]]), 3.0), 3.0)
+    assert len(c.points) == 3
+    d = np.sort(np.sqrt(ann._squares(np.array([[3.0, 0.0, 0.0]]), c.points)))
+    assert d[0, 0] == 0 and c.base(d)[0, 0] == d[0, 1] and ann._ratios(d).size == 0
+    assert ann._ratios(np.array([[0.0, 0.0, 2.0], [1.0, 2.0, 4.0]])).tolist() == [1.0, 2.0, 4.0]
