@@ -31,6 +31,8 @@ class Pieces:
         last = min(weight.values())
         total = sum(weight.values()) + 256 * last + 0.5
         self.log = {p: math.log(w / total) for p, w in weight.items()}
+        # Signs that the file's encoder gives one token, also those it has no rank for (the edge alone).
+        self.signs = {p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) and len(p := model.id_to_piece(i)) == 1}
         self.byte = math.log(last / total)
         self.end = math.log(0.5 / total)
         self.heads = {p[:i] for p in self.log for i in range(1, len(p) + 1)}
@@ -39,6 +41,10 @@ class Pieces:
     def spelled(self, sign: str) -> float:
         return len(sign.encode("utf-8", "surrogatepass")) * self.byte
 
+    def tokens(self, sign: str) -> int:
+        """Tokens of a sign by itself: one if the file has it, or its bytes."""
+        return 1 if sign in self.signs else len(sign.encode("utf-8", "surrogatepass"))
+
     def marginal(self, word: str) -> float:
         """log10 of the summed probability of all ways to cut the word into pieces: forward recursion in log space."""
         text = EDGE + word
@@ -72,8 +78,8 @@ class Pieces:
                     break
         return forward[n] / math.log(10)
 
-    def counts(self, words: Iterable[str]) -> dict[str, tuple[int, float]]:
-        """Of each word the number of pieces of its best segmentation and that one's log probability; of equally good ones the shortest.
+    def counts(self, words: Iterable[str], bytes_apart: bool = False) -> dict[str, tuple[int, float]]:
+        """Of each word the number of pieces of its best segmentation and that one's log probability; of equally good ones the shortest. A spelled sign counts as one piece, or with ``bytes_apart`` as its ``tokens``.
 
         Words are inserted in a trie and walked depth first: in sorted order, the states of a
         prefix that two words share stay on the stack, so its scores are computed once. A word's
@@ -91,21 +97,23 @@ class Pieces:
                 shared += 1
             del states[shared + 1 :]
             for end in range(shared + 1, len(text) + 1):
-                states.append(self._best(text, end, states))
+                states.append(self._best(text, end, states, bytes_apart))
             path = text
             best, n = states[-1]
             out[word] = (-n, best)
         return out
 
-    def _best(self, text: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
+    def _best(self, text: str, end: int, states: list[tuple[float, int]], bytes_apart: bool) -> tuple[float, int]:
         best = (-math.inf, 0)
         for i in range(end - 1, -1, -1):
             part = text[i:end]
-            p = self.log.get(part)
+            p, n = self.log.get(part), 1
             if p is None and i == end - 1:
                 p = self.spelled(part)
+                if bytes_apart:
+                    n = self.tokens(part)
             if p is not None:
-                best = max(best, (states[i][0] + p, states[i][1] - 1))
+                best = max(best, (states[i][0] + p, states[i][1] - n))
             if part not in self.tails:
                 break
         return best
@@ -121,7 +129,7 @@ def _count(batches: Iterator[pa.RecordBatch], pieces: Pieces, limit: int = 300_0
                 known.clear()
             fresh = {w for ws in texts for w in ws if w not in known}
             names = {w: w.decode("utf-8", "replace") for w in fresh}
-            got = pieces.counts(set(names.values()))
+            got = pieces.counts(set(names.values()), bytes_apart=True)
             known.update((w, got[name]) for w, name in names.items())
             found = [[known[w] for w in ws] for ws in texts]
             yield pa.RecordBatch.from_arrays(
@@ -131,7 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch], pieces: Pieces, limit: int = 300_0
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_words, n_tokens, log_score of each row of ``docs``: words are what ASCII white space parts, tokens the pieces of their best segmentations, and log_score those pieces' natural log probability. Null and empty texts have none; repeated rows stay."""
+    """doc_id, n_words, n_tokens, log_score of each row of ``docs``: words are what ASCII white space parts, tokens the pieces of their best segmentations (of a sign without a piece, its bytes), and log_score their natural log probability. Null and empty texts have none; repeated rows stay."""
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(path))  # of the vocabulary's fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, log_score double"
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _count(batches, pieces.value), schema)

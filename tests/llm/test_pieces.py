@@ -52,6 +52,38 @@ def test_token_counts(spark, pieces):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def test_signs_without_a_piece_count_as_their_bytes(spark, pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    words = ["漢", "漢漢", "漢字", "ሰላም", "😀", "𝒳", "🫠漢", "the"]
+    assert "漢" not in pieces.log and len(model.encode("漢")) == 4
+    rows = [(k, w) for k, w in enumerate(words)] + [(100, " ".join(words))]
+    got = {r.doc_id: r.n_tokens for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    want = {k: len(model.encode(w)) for k, w in enumerate(words)}
+    assert got == want | {100: sum(want.values())}
+
+
+def test_best_segmentations_with_bytes_apart(pieces):
+    def ways(text):
+        if not text:
+            return [(0.0, 0)]
+        out = []
+        for i in range(1, len(text) + 1):
+            p, n = pieces.log.get(text[:i]), 1
+            if p is None and i == 1:
+                p, n = pieces.spelled(text[0]), 1 if text[0] == EDGE else len(text[0].encode())
+            if p is not None:
+                out += [(p + q, n + m) for q, m in ways(text[i:])]
+        return out
+
+    best = pieces.counts(WORDS, bytes_apart=True)
+    for w in WORDS:
+        all_ways = ways(EDGE + w)
+        top = max(p for p, _ in all_ways)
+        assert abs(best[w][1] - top) < 1e-9 and best[w][0] == min(n for p, n in all_ways if p > top - 1e-12)
+
+
 @pytest.mark.parametrize("hot", [1, 20, 200_000])
 def test_lattice_scores_match_brute_force(spark, pieces, hot):
     import zlib
