@@ -101,8 +101,13 @@ def groups(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
 
 
 def one_each(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest doc_id (of repeated ids, one row). All columns stay; rows without an id cannot be named and stay."""
-    keep = groups(docs.where("doc_id IS NOT NULL"), width, bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn("turn of its id", turn).where(F.col("turn of its id") == 1).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each group: that with the smallest doc_id, of repeated ids that with the smallest hash of its text. Rows count by themselves: of one id, each text stays or goes with its own group. All columns stay; rows without an id cannot be named and stay."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("hash of its text", F.xxhash64("text"))
+    row = ["doc_id", "hash of its text"]
+    prints = cut(fingerprints(named.select(F.struct("doc_id", F.col(row[1]).alias("text_hash")).alias("doc_id"), "text"), width))
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    joined = components(links(nodes.select("print"), bits)).withColumnRenamed("node", "print")
+    keep = nodes.join(joined, "print", "left").groupBy(F.coalesce("component", "print")).agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.text_hash").alias(row[1]))
+    turn = F.row_number().over(Window.partitionBy(*row).orderBy(F.xxhash64(*docs.columns)))
+    kept = named.join(keep, row, "left_semi").withColumn("turn of its text", turn).where(F.col("turn of its text") == 1)
+    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -79,3 +79,17 @@ def test_one_each_and_odd_inputs(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, None, 9, 8] if plain_print("a b c d") else [], key=repr)
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.groups(empty).count() == 0 and simhash.one_each(empty).count() == 0
+
+
+def test_one_each_goes_by_row_where_ids_repeat(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))
+    first = text()
+    rows = [(3, first, "en", "x")]
+    for i in range(10, 16):
+        own = [text(), text()]
+        rows += [(i, first, "en", "x"), (i, own[0], "en", "x"), (i, own[1], "de", "y"), (i, own[1], "de", "y"), (i + 10, own[0], "en", "x")]
+    groups = plain_groups([plain_print(t) for _, t, *_ in rows])
+    want = sorted({g: row for g, row in zip(reversed(groups), reversed(rows), strict=True)}.values())
+    kept = simhash.one_each(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert len(want) == 13 and sorted(map(tuple, kept.collect())) == want
