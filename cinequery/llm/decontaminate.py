@@ -1,9 +1,11 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Every shard (a bounded block of whole documents) gets a suffix array over its words; every
-suffix of every benchmark item is binary-searched in it. The range of equal prefixes gives all
-places of a window, the neighbours of the range the longest verbatim match. Shards need no
-shuffle, so a passage that many documents share costs no more than any other text.
+Every shard (a bounded block of whole documents) gets an array of the places where a benchmark
+window can begin, in the order of their first words; every distinct window is binary-searched in
+it, and the range of equal prefixes gives all its places. From each place on, the range of
+benchmark suffixes in their full order is narrowed word by word, which gives the longest verbatim
+match. Shards need no shuffle, so a passage that many documents share costs no more than any other
+text.
 """
 
 from __future__ import annotations
@@ -51,11 +53,48 @@ class Suffixes:
         # Equal windows are searched once; groups[i]:groups[i+1] are the suffixes that begin with window i.
         table = np.where(np.arange(window) < self.width[:, None], self.words[self.start[:, None] + np.arange(window)], -1) if len(self.start) else np.zeros((0, window), np.int64)
         self.windows, which = np.unique(table, axis=0, return_inverse=True)
-        self.order = np.argsort(which.ravel(), kind="stable")
+        # Within a group they stand in the order of all their words.
+        rank = suffix_ranks(self.words[: begins[-1]], np.repeat(begins[1:], lengths))
+        self.order = np.lexsort((rank[self.start], which.ravel()))
         self.groups = np.searchsorted(which.ravel()[self.order], np.arange(len(self.windows) + 1))
         self.widths = (self.windows >= 0).sum(1)
 
 
+    def after(self, at: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The word at ``depth`` of the suffixes at places ``at`` of the order; past an item's end 0."""
+        suffix = self.order[at]
+        place = self.start[suffix] + depth
+        return np.where(place < self.past[suffix], self.words[np.minimum(place, len(self.words) - 1)], 0)
+
+    def narrowed(self, low: np.ndarray, high: np.ndarray, word: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each range of the order whose suffixes agree up to ``depth`` the part that goes on with ``word``."""
+        sides = []
+        for upper in (False, True):
+            a, b = low.copy(), high.copy()
+            while (open_ := np.flatnonzero(a < b)).size:
+                middle = (a[open_] + b[open_]) >> 1
+                there = self.after(middle, depth[open_])
+                right = there <= word[open_] if upper else there < word[open_]
+                a[open_] = np.where(right, middle + 1, a[open_])
+                b[open_] = np.where(right, b[open_], middle)
+            sides.append(a)
+        return sides[0], sides[1]
+
+
+def suffix_ranks(numbers: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each place its rank by all words up to its item's end, which comes before any word; equal suffixes share one. The compared length doubles until no more suffixes part."""
+    n = len(numbers)
+    rank, step, count = numbers, 1, len(np.unique(numbers))
+    while n:
+        further = np.arange(n) + step
+        key = rank * (n + 2) + np.where(further < ends, rank[np.minimum(further, n - 1)] + 1, 0)
+        distinct, rank = np.unique(key, return_inverse=True)
+        if len(distinct) == count:
+            break
+        count, step = len(distinct), 2 * step
+    return rank
+
+
 def suffix_array(numbers: np.ndarray, row: np.ndarray, shortest: int, depth: int) -> np.ndarray:
     """Places in ``numbers`` in the order of their first ``depth`` words. A place is left out if a word of no item, or its row's end, comes within ``shortest`` words: no window can match there."""
     n = len(numbers)
@@ -108,16 +147,21 @@ def ranges(numbers: np.ndarray, row: np.ndarray, array: np.ndarray, queries: np.
     return side(False), side(True)
 
 
-def common_length(numbers: np.ndarray, row: np.ndarray, place: np.ndarray, other: np.ndarray, start: np.ndarray, past: np.ndarray) -> np.ndarray:
-    """Words that the text at ``place`` and the benchmark suffix at ``start`` share."""
-    length, going = np.zeros(len(place), np.int64), np.ones(len(place), bool)
-    k = 0
-    while going.any():
-        inside = (place + k < len(numbers)) & (start + k < past) & going
-        p, s = np.minimum(place + k, len(numbers) - 1), np.minimum(start + k, len(other) - 1)
-        going = inside & (row[p] == row[place]) & (numbers[p] == other[s]) & (numbers[p] > 0)
-        length += going
-        k += 1
+def longest_matches(numbers: np.ndarray, row: np.ndarray, place: np.ndarray, window: np.ndarray, tests: Suffixes) -> np.ndarray:
+    """Words that the text at each place shares with the benchmark suffix that goes along with it farthest, of all that begin with the window."""
+    low, high, length = tests.groups[window], tests.groups[window + 1], tests.widths[window]
+    live = np.arange(len(place))
+    while live.size:
+        at = place[live] + length[live]
+        inside = at < len(numbers)
+        at = np.minimum(at, len(numbers) - 1)
+        inside &= (row[at] == row[place[live]]) & (numbers[at] > 0)
+        live, at = live[inside], at[inside]
+        first, past = tests.narrowed(low[live], high[live], numbers[at], length[live])
+        on = past > first
+        live = live[on]
+        low[live], high[live] = first[on], past[on]
+        length[live] += 1
     return length
 
 
@@ -134,8 +178,7 @@ def search(numbers: np.ndarray, row: np.ndarray, tests: Suffixes) -> tuple[np.nd
     counts = high[found] - low[found]
     window = np.repeat(found, counts)
     place = array[np.repeat(low[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-    first = tests.order[tests.groups[window]]
-    return place, window, common_length(numbers, row, place, tests.words, tests.start[first], tests.past[first])
+    return place, window, longest_matches(numbers, row, place, window, tests)
 
 
 def occurrences(data: np.ndarray, offsets: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, ...]:

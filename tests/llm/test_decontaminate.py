@@ -73,6 +73,38 @@ def test_longest_match_goes_past_the_window(spark):
     assert (row.longest, [tuple(h) for h in row.hits], row["items"]) == (25, [(1, 26)], ["7"])
 
 
+def test_longest_match_of_items_that_share_their_begin(spark):
+    both, a, b = ([f"{k}{i}" for i in range(30)] for k in "qab")
+    items = [(1, " ".join(both + a)), (2, " ".join(both + b))]
+    docs = [(1, "x " + " ".join((both + a)[:50]) + " y"), (2, "x " + " ".join((both + b)[:50]) + " y")]
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.longest for r in got} == {1: 50, 2: 50}
+
+
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 150}])
+def test_longest_matches_brute_force(spark, how):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    bench = [(k, text(rng.choice([6, 40, 80]))) for k in range(12)]
+    bench += [(20, bench[0][1]), (21, bench[1][1] + " b " + bench[2][1])]
+    docs = [(k, text(60) + " " + rng.choice(bench)[1] + " c " + " ".join(rng.choice(bench)[1].split()[3:]) + text(9)) for k in range(30)]
+
+    def longest(doc):
+        best, w = 0, split(doc)
+        for _, item in bench:
+            v = split(item)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    best = max(best, n if n >= min(10, len(v)) else 0)
+        return best
+
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), **how).collect()
+    assert {r.doc_id: r.longest for r in got} == {k: longest(t) for k, t in docs}
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(docs, bench).count() == 0
