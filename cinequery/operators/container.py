@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -185,16 +186,26 @@ def limit_failures(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(table), "what").where("n > most")
 
 
-def flatten(graph: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder, without the plan that led to them."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def flatten(graph: DataFrame, roots: DataFrame) -> DataFrame:
     """Leaves under each root in depth-first order: root, leaf, path; a sequence met on its own path gives a cycle row (leaf null).
 
-    ``graph``: parent, pos, child, is_leaf. Levels are joined one by one until none is open.
+    ``graph``: parent, pos, child, is_leaf. Levels are joined one by one until none is open, which
+    cycle rows make certain; each level is checkpointed, so that none is computed twice.
     """
     level = roots.select("root", F.col("root").alias("node"), F.array(F.col("root").cast("string")).alias("seen"), F.array().cast("array<long>").alias("path"))
     done = None
     edges = graph.select(F.col("parent").alias("node"), "pos", "child", "is_leaf")
-    for _ in range(depth):
-        step = level.join(edges, "node").select("root", F.col("child").alias("node"), "is_leaf", F.array_contains("seen", F.col("child").cast("string")).alias("cycle"), "seen", F.array_append("path", F.col("pos").cast("long")).alias("path"))
+    while True:
+        step = settled(level.join(edges, "node").select("root", F.col("child").alias("node"), "is_leaf", F.array_contains("seen", F.col("child").cast("string")).alias("cycle"), "seen", F.array_append("path", F.col("pos").cast("long")).alias("path")))
         found = step.where("is_leaf OR cycle").select("root", F.when(~F.col("cycle"), F.col("node")).alias("leaf"), "path")
         done = found if done is None else done.unionByName(found)
         level = step.where("NOT is_leaf AND NOT cycle").select("root", "node", F.array_append("seen", F.col("node").cast("string")).alias("seen"), "path")

@@ -11,7 +11,7 @@ from cinequery.functions import binary as B
 from cinequery.functions import header as H
 from cinequery.functions import media as M
 from cinequery.functions import signal as S
-from cinequery.operators import decode, klv, playback
+from cinequery.operators import container, decode, klv, playback
 from cinequery.operators import index as I
 
 
@@ -195,6 +195,14 @@ def test_clock_and_caches(spark):
     assert [r.hit for r in playback.lru(reads, 2).orderBy("ord").collect()] == [False, False, True, False, False]
 
 
+def test_flatten_goes_to_the_end_of_a_long_chain(spark):
+    edges = [(f"s{i}", 0, f"s{i + 1}", False) for i in range(49)] + [("s49", 0, "end", True), ("s3", 1, "early", True), ("s5", 2, "s1", False)]
+    graph = spark.createDataFrame(edges, "parent string, pos long, child string, is_leaf boolean")
+    got = container.flatten(graph, spark.createDataFrame([("s0",)], "root string")).collect()
+    want = [("s0", "early", [0, 0, 0, 1]), ("s0", "end", [0] * 50), ("s0", None, [0] * 5 + [2])]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_bits_and_numbers(spark):
     row = one(spark, u=B.be_u64(F.unhex(F.lit("ffffffffffffffff")), 0), i=B.be_i64(F.unhex(F.lit("fffffffffffffffe")), 0), short=B.be_uint(F.unhex(F.lit("ff")), 0, 2), bits=B.bits(F.lit(0b1011_0000), 8, 1, 3), past=B.bits(F.lit(1), 8, 6, 3))
     assert (row.u, row.i, row.short, row.bits, row.past) == (2**64 - 1, -2, None, 0b011, None)
