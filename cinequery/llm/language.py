@@ -32,6 +32,8 @@ SCRIPT_SHARE = 0.02
 #: What a switch of language between two words costs, in nats.
 SWITCH = 4.0
 UNKNOWN = "und"
+#: Bytes of text labelled at once: the arrays take some fifty times as much.
+BLOCK_BYTES = 1 << 20
 
 
 def letter_table() -> np.ndarray:
@@ -146,25 +148,37 @@ class Model:
             state[:n] = source[at, state[:n]]
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
-        """Of each text: the language of most letters, its share of the letters, and spans of words of one language."""
-        words = split(texts, self.table)
+    def decide(self, words: Words, label: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: the number of the language of most letters (-1: none), its share of the letters, and the share of letters in words of a script that no learned language writes."""
         if not self.languages or not len(words.row):
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-        label = self.label(words, len(texts))
+            return np.full(rows, -1), np.zeros(rows), np.zeros(rows)
         k = len(self.languages)
-        mass = np.bincount(words.row * k + label, words.letters, len(texts) * k).reshape(len(texts), k)
+        mass = np.bincount(words.row * k + label, words.letters, rows * k).reshape(rows, k)
         total = mass.sum(1)
         top = mass.argmax(1)
-        score = mass[np.arange(len(texts)), top] / np.maximum(total, 1)
-        names = [self.languages[i] if n else UNKNOWN for i, n in zip(top.tolist(), total.tolist(), strict=True)]
-        turn = np.flatnonzero(np.append(True, (words.row[1:] != words.row[:-1]) | (label[1:] != label[:-1])))
-        spans: list[list[dict]] = [[] for _ in texts]
-        begin = np.searchsorted(words.row, np.arange(len(texts)))
-        for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(label)], strict=True):
-            r = int(words.row[a])
-            spans[r].append({"first": a - int(begin[r]), "past": b - int(begin[r]), "lang": self.languages[label[a]]})
-        return names, score, spans
+        strange = ~self.own[:, words.script].any(0)[words.which]
+        apart = np.bincount(words.row[strange], words.letters[strange], rows)
+        most = np.maximum(total, 1)
+        return np.where(total > 0, top, -1), mass[np.arange(rows), top] / most, apart / most
+
+    def name(self, number: int) -> str:
+        return self.languages[number] if number >= 0 else UNKNOWN
+
+    def languages_of(self, texts: list[str]) -> list[str]:
+        """The language of each text alone."""
+        words = split(texts, self.table)
+        return [self.name(i) for i in self.decide(words, self.label(words, len(texts)) if self.languages else None, len(texts))[0].tolist()]
+
+    def spans(self, words: Words, label: np.ndarray, rows: int) -> pa.Array:
+        """Of each row its runs of words of one language."""
+        turn = np.flatnonzero((np.diff(words.row, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0)) if len(label) else np.zeros(0, np.int64)
+        begin = np.searchsorted(words.row, np.arange(rows))
+        of = words.row[turn]
+        past = np.append(turn[1:], len(words.row))[: len(turn)]
+        offsets = np.searchsorted(of, np.arange(rows + 1))
+        names = pa.array(self.languages, pa.string()).take(pa.array(label[turn], pa.int64()))
+        columns = [pa.array(turn - begin[of], pa.int64()), pa.array(past - begin[of], pa.int64()), names]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["first", "past", "lang"]))
 
 
 def _texts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -177,7 +191,7 @@ def _count(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch, 4 << 20):
+        for rows, data, offsets in text_blocks(batch, BLOCK_BYTES):
             names = rows.column(rows.schema.get_field_index("lang")).to_pylist()
             words = split(_texts(data, offsets), table)
             if not len(words.row):
@@ -208,35 +222,54 @@ def fit(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
     return Model(languages, grams, scripts)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64()), ("lang", pa.string())]))
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, spans: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch, 8 << 20):
-            names, score, spans = model.predict(_texts(data, offsets))
-            columns = [rows.column(i) for i in range(rows.num_columns) if rows.schema.names[i] != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], names=[*(x for x in rows.schema.names if x != "text"), "lang_pred", "score", "spans"])
+        for rows, data, offsets in text_blocks(batch, BLOCK_BYTES):
+            n = len(rows)
+            words = split(_texts(data, offsets), model.table)
+            label = model.label(words, n) if model.languages else np.zeros(0, np.int64)
+            top, score, _ = model.decide(words, label, n)
+            out = [rows.column(rows.schema.get_field_index("doc_id")), pa.array([model.name(i) for i in top.tolist()], pa.string()), pa.array(score, pa.float64())]
+            if spans:
+                out.append(model.spans(words if model.languages else split([], model.table), label, n))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, spans of each row of ``docs``.
+def predict(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
+    """doc_id, lang_pred, score and, if asked for, spans of each row of ``docs``.
 
     lang_pred is the language of most letters on the Viterbi path, ties to the first by name;
     score is its share of the letters; spans are runs of words (runs of letters, counted from 0)
     of one language. A null text, one without a letter, or no learned language: ``und``, 0, none.
+    Repeated rows are labelled each, an empty table gives an empty result. A text of any length is
+    labelled whole: texts are taken in blocks of BLOCK_BYTES, a longer one by itself.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language and a table of fixed size
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first:long,past:long,lang:string>>"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _predict(batches, known.value), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<first:long,past:long,lang:string>>" * spans
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _predict(batches, known.value, spans), schema)
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, strange: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch, 8 << 20):
-            names, _, _ = model.predict(_texts(data, offsets))
-            yield rows.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
-
-
-def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows in which no language is found. All columns stay."""
+        for rows, data, offsets in text_blocks(batch, BLOCK_BYTES):
+            words = split(_texts(data, offsets), model.table)
+            top, _, apart = model.decide(words, model.label(words, len(rows)) if model.languages else None, len(rows))
+            keep = (top >= 0) & (apart <= strange)
+            at = rows.schema.get_field_index("lang")
+            if at >= 0:
+                rows = rows.set_column(at, rows.schema.field(at), pa.array([model.name(i) for i in top.tolist()], rows.schema.field(at).type))
+            yield rows.filter(pa.array(keep))
+
+
+def recognised(docs: DataFrame, model: Model, strange: float = 0.5) -> DataFrame:
+    """``docs`` without the rows in which no language is found, and with ``lang``, if there, set to the language recognised.
+
+    No language is found in a null text, in one without a letter, and where words of scripts that
+    no learned language writes hold over ``strange`` of the letters, as the model can't tell them
+    apart. All columns stay, as do repeated rows; an empty table gives an empty result.
+    """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda batches: _keep(batches, known.value), docs.schema)
+    lang = next((f.name for f in docs.schema if f.name == "lang" and f.dataType.simpleString() != "string"), None)
+    if lang:
+        raise TypeError(f"lang is {docs.schema[lang].dataType.simpleString()}, not string")
+    return docs.mapInArrow(lambda batches: _keep(batches, known.value, strange), docs.schema)
