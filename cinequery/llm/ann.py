@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors near a border stand in several lists. Centroids are found through an in-memory graph, and
-a query visits the lists whose centroid is within a ratio of the nearest one's distance; the ratio
-is set on a bounded sample so that its true neighbours are covered. Lists are dealt out in blocks
-of bounded size, so neither a long list nor a repeated vector fills one task.
+a query visits the lists whose centroid is within a ratio of the nearest one's distance, a number
+of them at most; both are set on a bounded sample so that its true neighbours are covered. The
+nearest few lists are searched first, and give each query a bound: from the others only vectors
+that reach it are passed on, so what is passed on follows the queries and not the lists. Lists are
+dealt out in blocks of bounded size, so neither a long list nor a repeated vector fills one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +22,18 @@ from pyspark.sql.window import Window
 
 from cinequery.llm.common import bounded_sample, cut
 
-#: Vectors to fit on at most, vectors a list aims at, lists at most, copies of a vector at most.
-SAMPLE, LIST, LISTS, COPIES = 20_000, 512, 4096, 4
+#: Vectors to fit on at most, lists at most (unless told otherwise as many as the root of the vectors), copies of a vector at most.
+SAMPLE, LISTS, COPIES = 20_000, 4096, 4
 #: Lists of a sample vector on average, besides its nearest: sets how much farther a list's centroid may be to hold it too.
-EXTRA = 1.0
-#: Share of the sample's true neighbours that the query ratio must cover.
-COVER = 0.985
+EXTRA = 2.5
+#: Share of the sample's true neighbours that the ratio and the number of lists must cover together.
+COVER = 0.97
+#: Lists that give a query its bound.
+FIRST = 8
 #: Vectors and queries of a block.
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 16_384, 8192
+#: Share of a bound by which a score may stay under it, for the rounding of sums.
+SLACK = 1e-12
 #: Shares of the greatest norm: centres this near are one, and a query this near to a centre counts as at it (the extra dimension is a root, so its rounding is that of half the digits).
 SAME, AT = 1e-9, 1e-6
 
@@ -41,6 +48,7 @@ class Centroids:
     radius: float  # the greatest norm, for the extra dimension that turns products into distances
     border: float = 1.0  # a vector stands in lists whose centroid is within this ratio of its nearest one's distance
     ratio: float = 1.0  # a query visits such lists
+    width: int = FIRST  # and no more of them
 
     @classmethod
     def build(cls, points: np.ndarray, radius: float, near: int = 24, far: int = 8, seed: int = 3) -> Centroids:
@@ -160,38 +168,40 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (common[0].n if common else 0))
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, list_size: int = LIST) -> Centroids | None:
-    """Centres, graph and query ratio from about ``sample`` vectors at most, chosen by a hash of vec_id."""
-    some = bounded_sample(rows, "vec_id", sample).orderBy("vec_id").toPandas()
+def fit(rows: DataFrame, sample: int = SAMPLE, list_size: int | None = None) -> Centroids | None:
+    """Centres, graph and bounds of a query's lists from about ``sample`` vectors at most, chosen by a hash of vec_id and vector; of equal rows one."""
+    some = bounded_sample(rows, "vec_id", sample, "embedding").dropDuplicates().orderBy("vec_id", "embedding").toPandas()
     if not len(some):
         return None
     x = np.stack(some["embedding"].to_numpy()).astype(np.float64)
     stats = rows.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(embedding, 0D, (s, v) -> s + double(v) * v)")).alias("m")).first()
     radius = float(np.sqrt(stats.m))
     lifted = Centroids(np.zeros((1, 1)), np.zeros((1, 1), int), np.zeros(1, int), radius).lift(x)
-    k = int(np.clip(round(stats.n / list_size), 1, min(LISTS, max(1, len(x) // 8))))
+    k = int(np.clip(round(stats.n / list_size if list_size else stats.n**0.5), 1, min(LISTS, max(1, len(x) // 8))))
     centroids = Centroids.build(apart(balanced_centres(lifted, k), radius), radius)
     _, d = _nearest(centroids, lifted)
     further = _ratios(d)
     centroids.border = float(np.quantile(further, min(1.0, EXTRA / (d.shape[1] - 1)))) if further.size else 1.0
-    centroids.ratio = _query_ratio(centroids, x, lifted)
+    centroids.ratio, centroids.width = _query_bounds(centroids, x, lifted)
     return centroids
 
 
-def _query_ratio(centroids: Centroids, x: np.ndarray, lifted: np.ndarray, top: int = 20, queries: int = 400) -> float:
-    """The ratio within which COVER of the sample's true neighbours have a list of theirs."""
+def _query_bounds(centroids: Centroids, x: np.ndarray, lifted: np.ndarray, top: int = 20, queries: int = 400) -> tuple[float, int]:
+    """The ratio and the number of lists within which COVER of the sample's true neighbours have a list of theirs. Each may lose half of the rest."""
     lists, near = _lists(centroids, lifted)
-    chosen = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-    needed = []
-    for q in chosen:
+    ratios, ranks = [], []
+    for q in np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int):
         s = x @ x[q]
         s[q] = -np.inf
         best = np.argsort(-s, kind="stable")[: min(top, len(x) - 1)]
         d = np.sqrt(((centroids.flat(x[q : q + 1]) - centroids.points) ** 2).sum(1))
         own = np.where(near[best], d[lists[best]], np.inf).min(1)
-        needed.append(np.maximum(own / centroids.base(d[None])[0], 1.0))
-    needed = np.concatenate(needed) if needed else np.ones(1)
-    return float(np.quantile(needed, COVER)) + 1e-9 if len(needed) else 1.0
+        ratios.append(np.maximum(own / centroids.base(d[None])[0], 1.0))
+        ranks.append(np.searchsorted(np.sort(d), own, "right"))
+    if not sum(map(len, ratios)):
+        return 1.0, FIRST
+    share = (1 + COVER) / 2
+    return float(np.quantile(np.concatenate(ratios), share)) + 1e-9, max(FIRST, int(np.ceil(np.quantile(np.concatenate(ranks), share))))
 
 
 def _nearest(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,27 +229,35 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: Centroids) -> Iterator
 
 
 def _probe(batches: Iterator[pa.RecordBatch], centroids: Centroids, sizes: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
-    """The lists within the ratio, and the next ones while those before hold fewer than ``enough`` postings."""
+    """The lists within the ratio, ``width`` at most, and the next ones while those before hold fewer than ``enough`` postings; turn counts a query's lists, nearest first."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            ids, d = centroids.search(centroids.flat(_matrix(part.column(1))), len(centroids.points))
-            held = np.where(ids >= 0, sizes[ids], 0)
+            x, width = centroids.flat(_matrix(part.column(1))), centroids.width
+            while True:
+                ids, d = centroids.search(x, width)
+                held = np.where(ids >= 0, sizes[ids], 0)
+                if width >= len(centroids.points) or (held.sum(1) >= enough).all():
+                    break
+                width *= 2
             before = np.cumsum(held, axis=1) - held
-            row, col = np.nonzero(((d <= centroids.ratio * centroids.base(d)) | (before < enough)) & (ids >= 0))
+            within = (d <= centroids.ratio * centroids.base(d)) & (np.arange(d.shape[1]) < centroids.width)
+            row, col = np.nonzero((within | (before < enough)) & (ids >= 0))
             taken = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ids[row, col].astype(np.int32))], names=[*part.schema.names, "list"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ids[row, col].astype(np.int32)), pa.array(col.astype(np.int32))], names=[*part.schema.names, "list", "turn"])
 
 
 def _best(queries: pa.Table, vectors: pa.Table, top: int) -> pa.Table:
+    """Of each query its ``top`` nearest of the vectors, those that reach its bound."""
     out: list[tuple[np.ndarray, ...]] = []
     if queries.num_rows and vectors.num_rows:
         vectors = vectors.sort_by("vec_id")
         ids, v = vectors["vec_id"].to_numpy(), _matrix(vectors["embedding"])
-        who, q = queries["vec_id"].to_numpy(), _matrix(queries["embedding"])
+        who, q, bound = queries["vec_id"].to_numpy(), _matrix(queries["embedding"]), queries["bound"].to_numpy()
         for at in range(0, len(who), 64):
             s = np.einsum("qd,vd->qv", q[at : at + 64], v)
             s[who[at : at + 64, None] == ids[None, :]] = -np.inf
+            s[s < bound[at : at + 64, None]] = -np.inf
             order = np.argsort(-s, axis=1, kind="stable")[:, :top]
             score = np.take_along_axis(s, order, 1)
             r, c = np.nonzero(np.isfinite(score))
@@ -251,41 +269,77 @@ def _best(queries: pa.Table, vectors: pa.Table, top: int) -> pa.Table:
 def _blocked(postings: DataFrame, probes: DataFrame, n: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """Both sides keyed by (list, piece, block), each key with about BLOCK vectors and QUERIES queries (``n``: vectors of each list): vectors and queries of a list are dealt by id, and repeated for each part of the other side."""
     spark = postings.sparkSession
-    m = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
+    m = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}  # LISTS rows at most
     sizes = F.broadcast(spark.createDataFrame([(k, -(-n[k] // BLOCK), -(-m[k] // QUERIES)) for k in n if k in m], "list int, pieces int, blocks int"))
     own = lambda parts: F.pmod(F.xxhash64("vec_id"), F.col(parts)).cast("int")
     all_ = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     left = probes.join(sizes, "list").withColumn("block", own("blocks")).withColumn("piece", all_("pieces"))
     right = postings.join(sizes, "list").withColumn("piece", own("pieces")).withColumn("block", all_("blocks"))
-    return tuple(df.select("list", "piece", "block", "vec_id", "embedding") for df in (left, right))
+    return left.select("list", "piece", "block", "vec_id", "embedding", "bound"), right.select("list", "piece", "block", "vec_id", "embedding")
+
+
+def _searched(postings: DataFrame, probes: DataFrame, n: dict[int, int], top: int) -> DataFrame:
+    left, right = _blocked(postings, probes, n)
+    key = ["list", "piece", "block"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda q, v: _best(q, v, top), "query_id long, vec_id long, score double")
+
 
+def _ranked(found: DataFrame, top: int) -> DataFrame:
+    """Of each query the ``top`` nearest, each once."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAMPLE, list_size: int = LIST) -> DataFrame:
+
+def search(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int = SAMPLE, list_size: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: of each row of ``queries`` (rows of ``vectors``) the ``top`` nearest found, its own id apart, nearest first, ties to the smaller id.
 
     score is the inner product of the original components in double precision. Rows that
     ``usable`` leaves out are neither searched nor found; of rows with equal ids and vectors one
-    is found. An empty table gives an empty result.
+    is found. Equal vectors are as near to any query, so of more than ``top`` + 1 ids with one
+    vector those past the smallest can't be among its ``top`` nearest; each vector is indexed once
+    with those. An empty table gives an empty result, as do no queries.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi") if queries is not vectors else rows
     centroids = fit(rows, sample, list_size)
-    schema = "query_id long, vec_id long, score double"
     if centroids is None:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+        return spark.createDataFrame([], "query_id long, vec_id long, score double").select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     known = spark.sparkContext.broadcast(centroids)  # LISTS centroids at most
     kind = rows.schema["embedding"].dataType.simpleString()
-    listed = f"vec_id long, embedding {kind}, list int"
     rows, asked = (df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for df in (rows, asked))
-    postings = cut(rows.mapInArrow(lambda batches: _assign(batches, known.value), listed))
+    among_equal = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    reachable = rows.withColumn("turn", among_equal).where(F.col("turn") <= top + 1).drop("turn")
+    listed = f"vec_id long, embedding {kind}, list int"
+    postings = cut(reachable.mapInArrow(lambda batches: _assign(batches, known.value), listed))
     n = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # LISTS rows at most
     sizes = np.array([n.get(k, 0) for k in range(len(centroids.points))], np.int64)
     enough = COPIES * (top + 1)  # postings of top other vectors at least, as each has COPIES at most
-    probes = cut(asked.mapInArrow(lambda batches: _probe(batches, known.value, sizes, enough), listed))
-    left, right = _blocked(postings, probes, n)
-    key = ["list", "piece", "block"]
-    found = left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda q, v: _best(q, v, top), schema)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    probes = cut(asked.mapInArrow(lambda batches: _probe(batches, known.value, sizes, enough), f"{listed}, turn int"))
+    first = cut(_ranked(_searched(postings, probes.where(F.col("turn") < FIRST).withColumn("bound", F.lit(-math.inf)), n, top), top))
+    bounds = first.where(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), (F.col("score") - F.abs("score") * SLACK).alias("bound"))
+    rest = probes.where(F.col("turn") >= FIRST).join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-math.inf)))
+    return _ranked(first.drop("rank").unionByName(_searched(postings, rest, n, top)), top)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        asked = pa.table({"vec_id": ids, "embedding": pa.array(list(q)), "bound": np.full(len(ids), -np.inf)})
+        yield from _best(asked, pa.table(batch), top).to_batches()
+
+
+def recall(vectors: DataFrame, found: DataFrame, top: int = 20, queries: int = 200) -> float:
+    """Share of the true ``top`` nearest that ``found`` (of ``search``) holds, measured by brute force over all vectors for ``queries`` of its queries at most, chosen by a hash. Without any it is 1."""
+    spark = vectors.sparkSession
+    rows = usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    some = found.select(F.col("query_id").alias("vec_id")).distinct().orderBy(F.xxhash64("vec_id")).limit(queries)
+    asked = rows.join(F.broadcast(some), "vec_id").dropDuplicates(["vec_id"]).toPandas()
+    if not len(asked):
+        return 1.0
+    ids, q = asked["vec_id"].to_numpy(np.int64), np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+    known = spark.sparkContext.broadcast((ids, q))  # ``queries`` vectors
+    true = _ranked(rows.mapInArrow(lambda batches: _scan(batches, *known.value, top), "query_id long, vec_id long, score double"), top)
+    met = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    row = met.agg(F.count("hit").alias("hits"), F.count("*").alias("n")).first()
+    return row.hits / row.n if row.n else 1.0

@@ -30,13 +30,13 @@ def remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows at most, chosen by a hash of ``key``: the same ones on every run, spread over the whole table."""
+def bounded_sample(df: DataFrame, key: str, rows: int, *content: str) -> DataFrame:
+    """About ``rows`` distinct rows at most, chosen by a hash of ``key`` and ``content``: the same ones on every run, spread over the whole table."""
     total = df.count()
     if total <= rows:
         return df
     share = int(rows / total * (1 << 32))
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 32)) < share)
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), key, *content), F.lit(1 << 32)) < share)
 
 
 def text_blocks(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
