@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.llm.common import text_blocks
+from cinequery.llm.common import released, text_blocks
 
 
 def byte_letters() -> list[str]:
@@ -31,6 +31,8 @@ def byte_letters() -> list[str]:
 
 
 LETTERS = byte_letters()
+#: Chunks and words, and pairs of tokens, that a task remembers.
+LIMIT, PAIRS = 300_000, 400_000
 
 
 class WordBPE:
@@ -82,15 +84,15 @@ class WordBPE:
 
 
 class Walker:
-    """Encodes words for one task. What it remembers is bounded: it starts anew beyond ``limit`` chunks or pairs."""
+    """Encodes words for one task. What it remembers is bounded: it starts anew beyond ``limit`` chunks or words, or ``pairs`` of tokens."""
 
-    def __init__(self, bpe: WordBPE, limit: int = 300_000):
+    def __init__(self, bpe: WordBPE, limit: int = LIMIT, pairs: int = PAIRS):
         from tokenizers.normalizers import NFC, Lowercase, Replace, Sequence
         from tokenizers import Regex
 
-        self.bpe, self.limit = bpe, limit
+        self.bpe, self.limit, self.pairs = bpe, limit, pairs
         self.entry = {t: bpe.vocabulary[t[:-1] + bpe.end] if t.endswith(" ") else bpe.vocabulary[t] for t in bpe.whole()}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both tokens' ids
         self.alone: dict[str, bool] = {}
         self.split = regex.compile(bpe.pattern).findall
         self.apart = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")").split
@@ -103,13 +105,12 @@ class Walker:
         self.ids: list[list[int]] = []
         self.text: list[str] = []
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether BPE keeps the border between two tokens."""
-        if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 4 * self.limit:
-                self.fits.clear()
-            a, b = (self.bpe.symbols(t) for t in (left, right))
-            known = self.fits[left, right] = self.bpe.merge(a + b) == ["".join(a), "".join(b)]
+    def compatible(self, key: int, left: str, right: str) -> bool:
+        """Whether BPE keeps the border between two tokens, which ``key`` stands for."""
+        if len(self.fits) > self.pairs:
+            self.fits.clear()
+        a, b = (self.bpe.symbols(t) for t in (left, right))
+        known = self.fits[key] = self.bpe.merge(a + b) == ["".join(a), "".join(b)]
         return known
 
     def own(self, token: str) -> bool:
@@ -121,24 +122,24 @@ class Walker:
         """Walks the trie of ``new`` words in order: sorted words that follow each other share their longest common prefix, whose states stay on the stack."""
         letters = {"".join([LETTERS[b] for b in word.encode()]): word for word in new}
         entry, tails, fits = self.entry, self.bpe.tails, self.fits
-        states, path = [""], ""  # states[i]: the last token of the encoding of the path's first i letters
+        states, marks, path = [""], [0], ""  # states[i]: the last token of the encoding of the path's first i letters; marks: its id
         for mapped in sorted(letters):
             size = len(mapped)
             shared, most = 0, min(size - 1, len(path))
             while shared < most and mapped[shared] == path[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del states[shared + 1 :], marks[shared + 1 :]
             path = mapped[:-1]
             signs = mapped + " "
             for end in [*range(shared + 1, size), size + 1]:
                 i = end - 1 if end < size else size - 1
                 while True:
                     token = signs[i:end]
-                    if token in entry:
+                    if (number := entry.get(token)) is not None:
                         if i:
-                            ok = fits.get((states[i], token))
+                            ok = fits.get(key := marks[i] << 32 | number)
                             if ok is None:
-                                ok = self.compatible(states[i], token)
+                                ok = self.compatible(key, states[i], token)
                         else:
                             ok = self.own(token)
                         if ok:
@@ -148,11 +149,11 @@ class Walker:
                     i -= 1
                 if end < size:
                     states.append(token)
-            ids = [entry[token]]
+                    marks.append(number)
+            ids = [number]
             while i:
-                token = states[i]
-                ids.append(entry[token])
-                i -= len(token)
+                ids.append(marks[i])
+                i -= len(states[i])
             ids.reverse()
             self.words[letters[mapped]] = ids, self.decode(ids)
 
@@ -216,7 +217,7 @@ class Walker:
 def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.RecordBatch]:
     walker = Walker(bpe)
     for batch in batches:
-        for rows, data, offsets in text_blocks(batch, 2 << 20):
+        for rows, data, offsets in text_blocks(batch, 1 << 20):
             raw = data.tobytes()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             ids, ends, decoded = walker.encode(texts)
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded of each row of ``docs`` under the vocabulary file ``path``: no special tokens are added, those in the text count as themselves. Null texts are empty, repeated rows stay."""
     bpe = docs.sparkSession.sparkContext.broadcast(WordBPE(path))  # of the vocabulary's fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encode(batches, bpe.value), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_encode(batches, bpe.value)), schema)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -39,6 +41,16 @@ def bounded_sample(df: DataFrame, key: str, rows: int, *content: str) -> DataFra
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key, *content), F.lit(1 << 32)) < share)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; once they end, the worker process, which the next task takes over, gives the memory it no longer uses back to the system."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+    if trim:
+        trim(0)
+
+
 def text_blocks(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with at most ``limit`` bytes of text, or one row: the rows, their UTF-8 bytes and each row's offsets. Nulls are empty."""
     texts = batch.column(batch.schema.get_field_index(column))

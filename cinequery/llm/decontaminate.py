@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.llm.common import runs, text_blocks, words
+from cinequery.llm.common import released, runs, text_blocks, words
 
 SCHEMA = "doc_id {id}, text_hash long, n_words long, hits array<struct<first:long,past:long>>, items array<string>, longest long"
 
@@ -249,7 +249,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes
     parts = []
     for block in item_blocks(benchmark, block_bytes):
         tests = texts.sparkSession.sparkContext.broadcast(Suffixes(block, window))
-        parts.append(texts.mapInArrow(lambda batches, tests=tests: scan(batches, tests.value, shard_bytes), schema))
+        parts.append(texts.mapInArrow(lambda batches, tests=tests: released(scan(batches, tests.value, shard_bytes)), schema))
     if not parts:
         tests = texts.sparkSession.sparkContext.broadcast(Suffixes([], window))
         parts.append(texts.mapInArrow(lambda batches: scan(batches, tests.value, shard_bytes), schema))
@@ -297,5 +297,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes:
     """``docs`` without the rows that hold a benchmark window; all columns stay. No shuffle, and one pass for any number of blocks."""
     for block in item_blocks(benchmark, block_bytes):
         tests = docs.sparkSession.sparkContext.broadcast(Suffixes(block, window))
-        docs = docs.mapInArrow(lambda batches, tests=tests: keep(batches, tests.value, shard_bytes), docs.schema)
+        docs = docs.mapInArrow(lambda batches, tests=tests: released(keep(batches, tests.value, shard_bytes)), docs.schema)
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.llm.common import bounded_sample, mix, runs, text_blocks
+from cinequery.llm.common import bounded_sample, mix, released, runs, text_blocks
 
 #: First and last code points of scripts, from the Unicode charts.
 SCRIPTS = {
@@ -212,7 +212,7 @@ def fit(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
     """Learns from (text, lang) of about ``fit_rows`` of the rows at most, chosen by a hash of doc_id; their counts are summed by Spark, and what reaches the driver is BUCKETS numbers a language."""
     rows = bounded_sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", fit_rows)
     table = labelled.sparkSession.sparkContext.broadcast(letter_table())
-    counts = rows.mapInArrow(lambda batches: _count(batches, table.value), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(lambda batches: released(_count(batches, table.value)), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     at = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
     bucket, n = counts["bucket"].to_numpy(np.int64), counts["n"].to_numpy(float)
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language and a table of fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<first:long,past:long,lang:string>>" * spans
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _predict(batches, known.value, spans), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_predict(batches, known.value, spans)), schema)
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, strange: float) -> Iterator[pa.RecordBatch]:
@@ -272,4 +272,4 @@ def recognised(docs: DataFrame, model: Model, strange: float = 0.5) -> DataFrame
     lang = next((f.name for f in docs.schema if f.name == "lang" and f.dataType.simpleString() != "string"), None)
     if lang:
         raise TypeError(f"lang is {docs.schema[lang].dataType.simpleString()}, not string")
-    return docs.mapInArrow(lambda batches: _keep(batches, known.value, strange), docs.schema)
+    return docs.mapInArrow(lambda batches: released(_keep(batches, known.value, strange)), docs.schema)

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cinequery.llm.common import text_blocks
+from cinequery.llm.common import released, text_blocks
 
 #: What stands before a word's first letter in the vocabulary.
 EDGE = "▁"
@@ -142,4 +142,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens, log_score of each row of ``docs``: words are what ASCII white space parts, tokens the pieces of their best segmentations (of a sign without a piece, its bytes), and log_score their natural log probability. Null and empty texts have none; repeated rows stay."""
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(path))  # of the vocabulary's fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, log_score double"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _count(batches, pieces.value), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_count(batches, pieces.value)), schema)

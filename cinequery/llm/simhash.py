@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinequery.llm.common import cut, text_blocks
+from cinequery.llm.common import cut, released, text_blocks
 from cinequery.llm.components import components
 
 #: Links join fingerprints that differ in so many bits at most. Of two halves, one then differs in one bit at most.
@@ -44,7 +44,7 @@ def _print(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, print (the 64 bits as a long) of each row. Null and wordless texts have the print 0."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _print(batches, width), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_print(batches, width)), schema)
 
 
 #: The halves of a print, as numbers of 32 bits.
