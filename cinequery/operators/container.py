@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinequery.functions.binary import be_i64, be_u64, be_uint, column, cut, hex_lower, safe_integer, signed_byte
+from cinequery.functions.binary import be_i64, be_u64, be_uint, column, cut, hex_lower, safe_integer, signed_byte, utf16be
+from cinequery.operators.klv import ESSENCE_PREFIXES, INDEX_KEY, PARTITION_PREFIX
+from cinequery.operators.settle import settled
 
-#: Prefixes of keys.
-PARTITION_PREFIX = "060e2b34020501010d01020101"
-ESSENCE_PREFIXES = ("060e2b34010201010d010301", "060e2b34010201010e040301", "060e2b340102010a0e0f0301")
-#: The last byte but one of a metadata set's key, and the set's type.
+#: The keys of metadata sets and their types.
 SET_TYPES = {
-    "2f": "Preface", "30": "Identification", "18": "ContentStorage", "37": "SourcePackage", "36": "MaterialPackage", "0f": "Sequence",
-    "11": "SourceClip", "44": "MultipleDescriptor", "42": "GenericSoundDescriptor", "28": "CDCIDescriptor", "29": "RGBADescriptor",
-    "48": "WaveAudioDescriptor", "47": "AES3AudioDescriptor", "51": "MpegVideoDescriptor", "3a": "StaticTrack", "3b": "Track",
-    "14": "TimecodeComponent", "23": "EssenceContainerData",
-}
-SET_PREFIX = "060e2b34025301010d010101010"
-INDEX_KEY = "060e2b34025301010d01020101100100"
+    "060e2b34025301010d01010101012f00": "Preface",
+    "060e2b34025301010d01010101013000": "Identification",
+    "060e2b34025301010d01010101011800": "ContentStorage",
+    "060e2b34025301010d01010101013700": "SourcePackage",
+    "060e2b34025301010d01010101013600": "MaterialPackage",
+    "060e2b34025301010d01010101010f00": "Sequence",
+    "060e2b34025301010d01010101011100": "SourceClip",
+    "060e2b34025301010d01010101014400": "MultipleDescriptor",
+    "060e2b34025301010d01010101014200": "GenericSoundDescriptor",
+    "060e2b34025301010d01010101012800": "CDCIDescriptor",
+    "060e2b34025301010d01010101012900": "RGBADescriptor",
+    "060e2b34025301010d01010101014800": "WaveAudioDescriptor",
+    "060e2b34025301010d01010101014700": "AES3AudioDescriptor",
+    "060e2b34025301010d01010101015100": "MpegVideoDescriptor",
+    "060e2b34025301010d01010101013a00": "StaticTrack",
+    "060e2b34025301010d01010101013b00": "Track",
+    "060e2b34025301010d01010101011400": "TimecodeComponent",
+    "060e2b34025301010d01010101012300": "EssenceContainerData",
+    INDEX_KEY: "IndexTableSegment",
+}
 #: The most rows of a container that are taken before it is refused.
 LIMITS = {"metadata_sets": 100_000, "klv_packets": 2_000_000, "tracks": 1_024, "packets": 2_000_000, "metadata_bytes": 64 << 20, "resync_bytes": 16 << 20}
 
@@ -35,7 +46,12 @@ def key_class(key: Column | str) -> Column:
 
 
 def set_types(spark) -> DataFrame:
-    return spark.createDataFrame([(f"{SET_PREFIX}1{x}00", t) for x, t in SET_TYPES.items()] + [(INDEX_KEY, "IndexTableSegment")], "key_hex string, type string")
+    return spark.createDataFrame(list(SET_TYPES.items()), "key_hex string, type string")
+
+
+def set_type(key: Column | str) -> Column:
+    """The type of a set by its key, null of any other key."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in SET_TYPES.items() for x in pair)), column(key))
 
 
 def essence_kind(item_type: Column | str) -> Column:
@@ -74,18 +90,25 @@ def partition_pack(value: Column | str) -> Column:
     )
 
 
-def fixed_entries(value: Column | str, start: Column | int, count: Column, width: int, make) -> Column:
+def fixed_entries(value: Column | str, start: Column | int, count: Column, width: Column | int, make) -> Column:
     """``count`` structs of ``width`` bytes each, from ``start`` on; make(offset) gives one."""
     begin = F.lit(start) if isinstance(start, int) else start
     return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count.cast("long") - 1, F.lit(0).cast("long"))), lambda i: make(begin + i * width))).otherwise(F.array())
 
 
+def counted_entries(value: Column | str, least: int, make) -> Column:
+    """Entries after a count and a length of each, which may be longer than the ``least`` bytes that are read; null where they don't fit, none in a value too short for the counts."""
+    count, width, size = be_uint(value, 0, 4), be_uint(value, 4, 4), F.octet_length(column(value))
+    fits = (width >= least) & (8 + count * width <= size)
+    return F.when(fits | (size < 8), fixed_entries(value, 8, F.when(size >= 8, count).otherwise(0), width, make))
+
+
 def primer_entries(value: Column | str) -> Column:
-    return fixed_entries(value, 8, be_uint(value, 0, 4), 18, lambda at: F.struct(be_uint(value, at, 2).cast("int").alias("tag"), hex_lower(cut(value, at + 2, 16)).alias("label")))
+    return counted_entries(value, 18, lambda at: F.struct(be_uint(value, at, 2).cast("int").alias("tag"), hex_lower(cut(value, at + 2, 16)).alias("label")))
 
 
 def index_entries(value: Column | str) -> Column:
-    return fixed_entries(value, 8, be_uint(value, 0, 4), 11, lambda at: F.struct(signed_byte(be_uint(value, at, 1)).alias("temporal"), signed_byte(be_uint(value, at + 1, 1)).alias("key"), be_uint(value, at + 2, 1).cast("int").alias("flags"), be_u64(value, at + 3).cast("long").alias("stream_offset")))
+    return counted_entries(value, 11, lambda at: F.struct(signed_byte(be_uint(value, at, 1)).alias("temporal"), signed_byte(be_uint(value, at + 1, 1)).alias("key"), be_uint(value, at + 2, 1).cast("int").alias("flags"), safe_integer(be_u64(value, at + 3)).alias("stream_offset")))
 
 
 def random_index(value: Column | str) -> Column:
@@ -95,10 +118,10 @@ def random_index(value: Column | str) -> Column:
 
 
 def reference_array(value: Column | str) -> Column:
-    """16-byte references as hex; empty where the header or length doesn't fit."""
+    """References as hex, the first 16 bytes of each entry; empty where the header or length doesn't fit."""
     count, size = be_uint(value, 0, 4), be_uint(value, 4, 4)
-    fits = F.coalesce((size == 16) & (F.octet_length(column(value)) >= 8 + count * 16), F.lit(False))
-    return F.when(fits & (count > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0).cast("long"))), lambda i: hex_lower(cut(value, 8 + i * 16, 16)))).otherwise(F.array().cast("array<string>"))
+    fits = F.coalesce((size >= 16) & (F.octet_length(column(value)) >= 8 + count * size), F.lit(False))
+    return F.when(fits & (count > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0).cast("long"))), lambda i: hex_lower(cut(value, 8 + i * size, 16)))).otherwise(F.array().cast("array<string>"))
 
 
 def item(items: Column | str, tag: int) -> Column:
@@ -118,6 +141,24 @@ def item_i64(items: Column | str, tag: int) -> Column:
     return be_i64(item(items, tag), 0)
 
 
+def item_uid(items: Column | str, tag: int) -> Column:
+    """The first 16 bytes of a value as hex, null of a shorter one."""
+    v = item(items, tag)
+    return F.when(F.octet_length(v) >= 16, hex_lower(cut(v, 0, 16)))
+
+
+def item_hex(items: Column | str, tag: int) -> Column:
+    return hex_lower(item(items, tag))
+
+
+def item_string(items: Column | str, tag: int) -> Column:
+    return utf16be(item(items, tag))
+
+
+def item_references(items: Column | str, tag: int) -> Column:
+    return reference_array(item(items, tag))
+
+
 def item_rational(items: Column | str, tag: int) -> Column:
     v = item(items, tag)
     num, den = be_uint(v, 0, 4), be_uint(v, 4, 4)
@@ -130,6 +171,20 @@ def stored_depth(block_align: Column | str, channels: Column | str, bits: Column
     return F.when((a > 0) & (c > 0) & (a % F.when(c == 0, 1).otherwise(c) == 0), F.floor(a / c).cast("long") * 8).otherwise(column(bits))
 
 
+def descriptor(items: Column | str) -> Column:
+    """The sixteen fields of a descriptor set but its instance_uid: null where a tag is missing or short."""
+    channels, bits, align = item_u32(items, 0x3D07), item_u32(items, 0x3D01), item_u16(items, 0x3D0A)
+    fields = {
+        "linked_track_id": item_u32(items, 0x3006), "essence_container": item_hex(items, 0x3004),
+        "codec": F.coalesce(item_hex(items, 0x3201), item_hex(items, 0x3D06), item_hex(items, 0x3005)),
+        "width": item_u32(items, 0x3203), "height": item_u32(items, 0x3202), "aspect_ratio": item_rational(items, 0x320E),
+        "component_depth": item_u32(items, 0x3301), "horizontal_subsampling": item_u32(items, 0x3302), "vertical_subsampling": item_u32(items, 0x3308),
+        "sample_rate": item_rational(items, 0x3D03), "channels": channels, "bits_per_sample": bits, "stored_bits_per_sample": stored_depth(align, channels, bits),
+        "block_align": align, "duration": item_i64(items, 0x3002),
+    }
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
 def carry_body_sid(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """Each row with the body_sid of the last partition at or before it in its file, 0 before the first."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -139,29 +194,30 @@ def carry_body_sid(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 TRACK = ["body_sid", "number"]
 
 
-def track_groups(essence: DataFrame) -> DataFrame:
-    """Number of elements and kind of the first of each (body_sid, number)."""
-    return essence.groupBy(*TRACK).agg(F.count("*").alias("packet_count"), F.min_by("item_type", "ord").alias("item_type"))
+def track_groups(essence: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Number of elements and kind of the first of each (body_sid, number), in each file where ``by`` names it."""
+    return essence.groupBy(*by, *TRACK).agg(F.count("*").alias("packet_count"), F.min_by("item_type", "ord").alias("item_type"), F.min("ord").alias("first_ord"))
 
 
-def match_tracks(sets: DataFrame, essence: DataFrame) -> DataFrame:
+def match_tracks(sets: DataFrame, essence: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Track sets with their essence: by (linked_sid, number), or for sets without a link by number in every body. One row for each matching group, with has_descriptor and the set's order."""
-    groups = track_groups(essence)
-    linked = sets.where("linked_sid > 0").join(groups, (F.col("linked_sid") == groups["body_sid"]) & (sets["number"] == groups["number"])).drop(sets["number"])
-    free = sets.where("linked_sid IS NULL OR linked_sid = 0").join(groups, "number")
-    return linked.select(*free.columns).unionByName(free)
+    groups = track_groups(essence, by)
+    linked = sets.where("linked_sid > 0").withColumn("body_sid", F.col("linked_sid")).join(groups, [*by, *TRACK])
+    free = sets.where("linked_sid IS NULL OR linked_sid = 0").join(groups, [*by, "number"])
+    return linked.unionByName(free)
 
 
-def preferred(candidates: DataFrame) -> DataFrame:
-    """Of each (body_sid, number) the first candidate with a descriptor, or the first."""
-    w = Window.partitionBy(*TRACK).orderBy(F.desc("has_descriptor"), "set_ord")
-    return candidates.withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn")
+def preferred(candidates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each (body_sid, number) the first candidate with a descriptor, or the first; place is where the first candidate stands."""
+    group = Window.partitionBy(*by, *TRACK)
+    w = group.orderBy(F.desc("has_descriptor"), "set_ord")
+    return candidates.withColumns({"turn": F.row_number().over(w), "place": F.min("set_ord").over(group)}).where("turn = 1").drop("turn")
 
 
-def synthetic_tracks(essence: DataFrame, tracks: DataFrame) -> DataFrame:
+def synthetic_tracks(essence: DataFrame, tracks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Tracks for essence that no set describes: edit rate 1/1, duration the number of elements."""
-    rest = track_groups(essence).join(tracks.select(*TRACK), TRACK, "left_anti")
-    return rest.select("body_sid", "number", F.col("number").alias("track_id"), "packet_count", F.col("packet_count").alias("duration"), F.lit(1).alias("rate_num"), F.lit(1).alias("rate_den"))
+    rest = track_groups(essence, by).join(tracks.select(*by, *TRACK), [*by, *TRACK], "left_anti")
+    return rest.select(*by, "body_sid", "number", F.col("number").alias("track_id"), "packet_count", F.col("packet_count").alias("duration"), F.lit(1).alias("rate_num"), F.lit(1).alias("rate_den"), "item_type", "first_ord")
 
 
 def packet_index(essence: DataFrame) -> DataFrame:
@@ -176,7 +232,7 @@ def js_round(x: Column) -> Column:
 
 def timing(index: Column | str, origin: Column | str, num: Column | str, den: Column | str) -> dict[str, Column]:
     duration = column(den).cast("double") / column(num)
-    start = (column(index) + column(origin)) * duration
+    start = (column(index).cast("double") + column(origin).cast("double")) * duration
     return {"timestamp": start, "duration": duration, "timestamp_us": js_round(start * 1_000_000), "duration_us": js_round(duration * 1_000_000)}
 
 
@@ -186,15 +242,6 @@ def limit_failures(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(table), "what").where("n > most")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder, without the plan that led to them."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def flatten(graph: DataFrame, roots: DataFrame) -> DataFrame:
     """Leaves under each root in depth-first order: root, leaf, path; a sequence met on its own path gives a cycle row (leaf null).
 

@@ -8,8 +8,18 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: First bytes of every key, and of essence, partition and fill keys.
+#: The first bytes of every key, and of essence, partition and metadata-set keys; the primer's and the random index's key.
 KEY_PREFIX = bytes.fromhex("060e2b34")
+ESSENCE_PREFIXES = ("060e2b34010201010d010301", "060e2b34010201010e040301", "060e2b340102010a0e0f0301")
+PARTITION_PREFIX = "060e2b34020501010d01020101"
+SET_PREFIX = "060e2b34025301010d010101010"
+PRIMER_KEY = "060e2b34020501010d01020101050100"
+RANDOM_INDEX_KEY = "060e2b34020501010d01020101110100"
+INDEX_KEY = "060e2b34025301010d01020101100100"
+#: Bytes of a track's first element that are kept, as many as a frame header has, and of a metadata value that are read at most.
+HEAD, MAX_VALUE = 0x280, 64 << 20
+#: Bytes of values of a batch.
+BATCH_BYTES = 16 << 20
 SCHEMA = "file {file}, ord long, offset long, key_hex string, length_field_length int, value_offset long, value_length long, next_offset long, error string"
 
 
@@ -84,6 +94,46 @@ def walk(source: Reader, max_resync: int = 16 << 20) -> Iterator[tuple]:
         offset = after
 
 
+#: What ``contents`` gives besides: a pack's value or a track's first bytes, a set's items, the body_sid here, and the ordinal in the track.
+CONTENT = "value binary, items array<struct<tag:int,value:binary>>, body_sid long, element long"
+
+
+def is_partition(key: str) -> bool:
+    return key.startswith(PARTITION_PREFIX) and key[26:28] in ("02", "03", "04")
+
+
+def contents(source: Reader, max_resync: int = 16 << 20, max_value: int = MAX_VALUE) -> Iterator[tuple]:
+    """The rows of ``walk`` with what a container's metadata says: values of packs, items of sets, and of essence the body and the ordinal in its track; of a track's first element its first HEAD bytes.
+
+    What cannot be read is an error on its row: a value over ``max_value`` or a set whose items don't fit.
+    """
+    body_sid, elements = 0, {}
+    for offset, key, field, at, length, after, error in walk(source, max_resync):
+        value = items = element = None
+        if key is None:
+            pass
+        elif key.startswith(ESSENCE_PREFIXES):
+            track = body_sid, key[24:]
+            element = elements.get(track, 0)
+            elements[track] = element + 1
+            if not element:
+                value = source.read(at, min(HEAD, length))
+        elif (pack := is_partition(key) or key in (PRIMER_KEY, RANDOM_INDEX_KEY)) or key.startswith(SET_PREFIX) or key == INDEX_KEY:
+            if length > max_value:
+                error = "metadata value over the limit"
+            elif pack:
+                value = source.read(at, length)
+                if is_partition(key):
+                    if length < 80:
+                        error = "partition pack cut short"
+                    else:
+                        body_sid = int.from_bytes(value[60:64], "big")
+            else:
+                items = local_set(source.read(at, length))
+                error = "set items don't fit" if items is None else None
+        yield offset, key, field, at, length, after, error, value, items, body_sid, element
+
+
 def local_set(value: bytes) -> list[dict] | None:
     """Items (tag, length, value) of a local set; null if one runs past the end or bytes trail."""
     items, at = [], 0
@@ -96,43 +146,52 @@ def local_set(value: bytes) -> list[dict] | None:
     return items if at == len(value) else None
 
 
+NAMES = ["file", "ord", "offset", "key_hex", "length_field_length", "value_offset", "value_length", "next_offset", "error"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+CONTENT_NAMES = ["value", "items", "body_sid", "element"]
+CONTENT_TYPES = [pa.binary(), pa.list_(pa.struct([("tag", pa.int32()), ("value", pa.binary())])), pa.int64(), pa.int64()]
+
+
 def rows_to_batches(file, rows: Iterator[tuple], kind: pa.DataType, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    ordinal, part = 0, []
-    names = ["file", "ord", "offset", "key_hex", "length_field_length", "value_offset", "value_length", "next_offset", "error"]
-    types = [kind, pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    """Batches of at most ``size`` rows and about BATCH_BYTES of values."""
+    part, held = [], 0
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
+        types = [kind, *TYPES, *CONTENT_TYPES][: len(part[0])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=[*NAMES, *CONTENT_NAMES][: len(part[0])])
 
-    for row in rows:
+    for ordinal, row in enumerate(rows):
         part.append((file, ordinal, *row))
-        ordinal += 1
-        if len(part) == size:
+        if len(row) > len(TYPES) and (row[7] or row[8]):
+            held += row[4]
+        if len(part) == size or held > BATCH_BYTES:
             yield batch()
             part.clear()
+            held = 0
     if part:
         yield batch()
 
 
-def scan(files: DataFrame, max_resync: int = 16 << 20) -> DataFrame:
-    """The triplets of each (file, payload) row, in order of offset; rows with an error mark where the walk had to search. Null payloads have none."""
+def scan(files: DataFrame, max_resync: int = 16 << 20, with_contents: bool = False) -> DataFrame:
+    """The triplets of each (file, payload) row, in order of offset; rows with an error mark where the walk had to search. Null payloads have none. ``with_contents`` adds what ``contents`` reads in the same pass."""
+    over = contents if with_contents else walk
 
     def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if payload.is_valid:
-                    yield from rows_to_batches(file, walk(Bytes(payload.as_py()), max_resync), batch.schema.field(0).type)
+                    yield from rows_to_batches(file, over(Bytes(payload.as_py()), max_resync), batch.schema.field(0).type)
 
-    return files.select("file", "payload").mapInArrow(walk_all, SCHEMA.format(file=files.schema["file"].dataType.simpleString()))
+    schema = SCHEMA.format(file=files.schema["file"].dataType.simpleString()) + (f", {CONTENT}" if with_contents else "")
+    return files.select("file", "payload").mapInArrow(walk_all, schema)
 
 
 def local_sets(sets: DataFrame) -> DataFrame:
     """``sets`` (id, payload) with items: array of (tag, value), null where malformed."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("tag", pa.int32()), ("value", pa.binary())]))
         for batch in batches:
             items = [local_set(p) if p is not None else None for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, kind)], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, CONTENT_TYPES[1])], names=["id", "items"])
 
     return sets.select("id", "payload").mapInArrow(parse, f"id {sets.schema['id'].dataType.simpleString()}, items array<struct<tag:int,value:binary>>")

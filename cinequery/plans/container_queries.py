@@ -192,7 +192,7 @@ def dedup_prefer(spark, sf_dir):
 @query("join_anti_synth", f"SELECT body_sid, number, number AS track_id, packet_count, packet_count AS duration, 1 AS rate_num, 1 AS rate_den FROM ({GROUPS}) WHERE number NOT IN (SELECT number FROM ({SETS}))")
 def join_anti_synth(spark, sf_dir):
     e = essence(spark, sf_dir)
-    return C.synthetic_tracks(e, C.match_tracks(track_sets(spark, sf_dir), e))
+    return C.synthetic_tracks(e, C.match_tracks(track_sets(spark, sf_dir), e)).drop("item_type", "first_ord")
 
 
 @query("join_descriptor", "SELECT o.o_orderkey, min(l.l_linenumber) AS descriptor FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND list_contains([1, 3, o.o_orderkey % 7], l.l_linenumber) GROUP BY o.o_orderkey")

@@ -31,4 +31,4 @@ def oracles() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from cinequery.plans import container_queries, frame_queries, media_queries, scan_queries  # noqa: E402, F401
+from cinequery.plans import container_queries, demux_queries, frame_queries, media_queries, scan_queries  # noqa: E402, F401
