@@ -51,6 +51,16 @@ class WordBPE:
         #: Ends of vocabulary entries: beyond one that isn't here no longer entry can end.
         self.tails = {t[i:] for t in self.whole() for i in range(len(t))}
         self.normalizer = spec["normalizer"]
+        self._walker: Walker | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_walker": None}
+
+    def walker(self) -> Walker:
+        """One for each process, so that a task starts with what earlier ones of the same worker have learned; its memory is bounded."""
+        if self._walker is None:
+            self._walker = Walker(self)
+        return self._walker
 
     def whole(self) -> Iterable[str]:
         """Entries as the walk sees them: the word end is one sign, a blank, which no letter is."""
@@ -120,7 +130,7 @@ class Walker:
 
     def learn(self, new: Iterable[str]) -> None:
         """Walks the trie of ``new`` words in order: sorted words that follow each other share their longest common prefix, whose states stay on the stack."""
-        letters = {"".join([LETTERS[b] for b in word.encode()]): word for word in new}
+        letters = {word if word.isascii() and word.isprintable() else "".join([LETTERS[b] for b in word.encode()]): word for word in new}
         entry, tails, fits = self.entry, self.bpe.tails, self.fits
         states, marks, path = [""], [0], ""  # states[i]: the last token of the encoding of the path's first i letters; marks: its id
         for mapped in sorted(letters):
@@ -188,7 +198,7 @@ class Walker:
         if len(self.words) > self.limit:
             self.words.clear()
         fresh = [c for c in dict.fromkeys(chain.from_iterable(parts)) if c not in self.number]
-        split = {c: self.split(c) if isinstance(c, str) else [] for c in fresh}
+        split = {c: ([c] if c.isascii() and c.isalpha() else self.split(c)) if isinstance(c, str) else [] for c in fresh}
         self.learn({w for ws in split.values() for w in ws if w not in self.words})
         for c in fresh:
             self.number[c] = len(self.ids)
@@ -215,7 +225,7 @@ class Walker:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.RecordBatch]:
-    walker = Walker(bpe)
+    walker = bpe.walker()
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, 1 << 20):
             raw = data.tobytes()
