@@ -2,8 +2,10 @@
 
 Regular expressions propose spans. Labelers (strict pattern, checksum or form, gazetteer, context
 before the span, counter-context) vote on each; expectation-maximisation over the counts of vote
-patterns estimates how reliable each labeler is; a logistic span classifier is then trained on the
-resulting posteriors and decides on the spans that no strict pattern vouches for.
+patterns estimates how reliable each labeler is and how common true spans are; a logistic span
+classifier is then trained on the resulting posteriors, over the votes and marks of the span itself
+(length, digits, separators, what stands next to it), and decides on the spans that no strict
+pattern vouches for.
 """
 
 from __future__ import annotations
@@ -56,8 +58,10 @@ DOMAINS = r"(\\.|dot.)\\x20?(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 CONTEXT = 40
 #: Rounds of expectation-maximisation and of gradient steps.
 ROUNDS, STEPS = 40, 150
-#: Share of proposed spans that are true before any vote, and votes (right, wrong) that a labeler starts with.
-PRIOR, TRUST = 0.2, (8.0, 2.0)
+#: Share of proposed spans that are true before any is counted and spans that it counts as, and votes (right, wrong) that a labeler starts with.
+PRIOR, PRIOR_SPANS, TRUST = 0.2, 1000.0, (8.0, 2.0)
+#: Labelers, and marks of a span.
+LABELERS, MARKS = 5, 4
 
 
 def _quoted(pattern: str) -> str:
@@ -123,55 +127,70 @@ def _votes(kind: str, base: bool) -> str:
     return f"""array({1 if base else 0}, {form}, {gazetteer}, IF(m.before rlike '({CUES[kind]})[^.;!?]{{0,16}}$', 1, 0), IF(m.before rlike '({AGAINST})[^a-z]{{0,6}}$', -1, 0))"""
 
 
+def _marks(kind: str) -> str:
+    """SQL: marks of the span m, each 1, -1 or 0 between: long or short for its kind, mostly or hardly digits, many separators or none, apart from or stuck to the letter before."""
+    short, long = {"email": (12, 24), "ip": (9, 14), "card": (16, 19), "phone": (12, 16)}[kind]
+    size, digits = "char_length(m.match)", f"char_length({_digits('m.match')})"
+    signs = "char_length(regexp_replace(m.match, '[A-Za-z0-9]', ''))"
+    return f"""array(CASE WHEN {size} >= {long} THEN 1 WHEN {size} < {short} THEN -1 ELSE 0 END, CASE WHEN {digits} * 10 >= {size} * 8 THEN 1 WHEN {digits} * 10 < {size} * 3 THEN -1 ELSE 0 END,
+        CASE WHEN {signs} >= 3 THEN 1 WHEN {signs} = 0 THEN -1 ELSE 0 END, CASE WHEN m.before = '' THEN 0 WHEN right(m.before, 1) rlike '[a-z0-9]' THEN -1 ELSE 1 END)"""
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with spans: array of (kind number, start, end, base, votes), base spans and wide ones that overlap no base span of their kind."""
+    """``docs`` with spans: array of (kind number, start, end, base, votes, marks), base spans and wide ones that overlap no base span of their kind."""
     df = docs
     parts = []
     for k, kind in enumerate(KINDS):
         df = _located(df, f"base {kind}", BASE[kind], HINT[kind, True])
         df = df.withColumn(f"base {kind}", F.expr(f"filter(`base {kind}`, m -> {PASSES[kind]})"))
-        struct = "named_struct('kind', {k}, 'start', m.start, 'end', m.end, 'base', {b}, 'votes', {v})"
-        parts.append(f"transform(`base {kind}`, m -> {struct.format(k=k, b='true', v=_votes(kind, True))})")
+        struct = "named_struct('kind', {k}, 'start', m.start, 'end', m.end, 'base', {b}, 'votes', {v}, 'marks', {m})"
+        parts.append(f"transform(`base {kind}`, m -> {struct.format(k=k, b='true', v=_votes(kind, True), m=_marks(kind))})")
         if kind in WIDE:
             df = _located(df, f"wide {kind}", WIDE[kind], HINT[kind, False])
             apart = f"filter(`wide {kind}`, m -> NOT exists(`base {kind}`, b -> b.start < m.end AND m.start < b.end))"
-            parts.append(f"transform({apart}, m -> {struct.format(k=k, b='false', v=_votes(kind, False))})")
+            parts.append(f"transform({apart}, m -> {struct.format(k=k, b='false', v=_votes(kind, False), m=_marks(kind))})")
     df = df.withColumn("spans", F.expr(f"concat({', '.join(parts)})"))
     return df.select(*docs.columns, "spans")
 
 
 @dataclass
 class SpanClassifier:
-    """Weights of a logistic model for each kind: one for each labeler's vote for, one against, and a constant."""
+    """Weights of a logistic model for each kind: one for each vote for and mark of 1, one for each against and of -1, and a constant."""
 
     weights: dict[int, tuple[list[float], list[float], float]]
 
     def sql(self, s: str) -> str:
         cases = []
         for kind, (yes, no, constant) in sorted(self.weights.items()):
-            terms = " + ".join(f"CASE {s}.votes[{i}] WHEN 1 THEN {a!r}D WHEN -1 THEN {b!r}D ELSE 0D END" for i, (a, b) in enumerate(zip(yes, no, strict=True)))
+            fields = [f"{s}.votes[{i}]" if i < LABELERS else f"{s}.marks[{i - LABELERS}]" for i in range(len(yes))]
+            terms = " + ".join(f"CASE {x} WHEN 1 THEN {a!r}D WHEN -1 THEN {b!r}D ELSE 0D END" for x, a, b in zip(fields, yes, no, strict=True))
             cases.append(f"WHEN {kind} THEN {constant!r}D + {terms}")
         return f"(CASE {s}.kind {' '.join(cases)} ELSE -1D END > 0)" if cases else "false"
 
 
 def _posteriors(patterns: list[tuple[tuple[int, ...], int]], grid: list[tuple[int, ...]]) -> list[float]:
-    """Expectation-maximisation over vote patterns and their counts: a hidden truth with PRIOR, labelers right with a reliability each, apart from what they abstain on. Returns P(true) of each pattern of ``grid``."""
+    """Expectation-maximisation over vote patterns and their counts: a hidden truth as common as the spans believed true, counted apart with and without the strict pattern (the first vote), labelers right with a reliability each, apart from what they abstain on. Returns P(true) of each pattern of ``grid``."""
     width = len(grid[0])
-    right = [TRUST[0] / sum(TRUST)] * width
+    right, prior = [TRUST[0] / sum(TRUST)] * width, [PRIOR, PRIOR]
 
     def belief(votes: tuple[int, ...]) -> float:
-        odds = math.log(PRIOR / (1 - PRIOR)) + sum(v * math.log(right[i] / (1 - right[i])) for i, v in enumerate(votes))
+        share = prior[votes[0] > 0]
+        odds = math.log(share / (1 - share)) + sum(v * math.log(right[i] / (1 - right[i])) for i, v in enumerate(votes))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
     for _ in range(ROUNDS):
         hits, all_ = [TRUST[0]] * width, [sum(TRUST)] * width
+        true, spans = [PRIOR * PRIOR_SPANS] * 2, [PRIOR_SPANS] * 2
         for votes, n in patterns:
             q = belief(votes)
+            true[votes[0] > 0] += n * q
+            spans[votes[0] > 0] += n
             for i, v in enumerate(votes):
                 if v:
                     hits[i] += n * (q if v > 0 else 1 - q)
                     all_[i] += n
         right = [min(0.99, h / a) for h, a in zip(hits, all_, strict=True)]
+        prior = [min(0.99, t / n) for t, n in zip(true, spans, strict=True)]
     return [belief(votes) for votes in grid]
 
 
@@ -198,14 +217,20 @@ def _logistic(grid: list[tuple[int, ...]], weights: list[float], target: list[fl
 
 
 def fit(spans: DataFrame) -> SpanClassifier:
-    """Learns from all spans of ``spans`` (as ``candidates`` gives them); what reaches the driver is a row for each kind and vote pattern, 3^5 a kind at most."""
-    counts = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    grid = [*product((-1, 0, 1), repeat=5)]
+    """Learns from all spans of ``spans`` (as ``candidates`` gives them); what reaches the driver is a row for each kind, vote pattern and pattern of marks, 3^9 a kind at most."""
+    counts = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.marks").count().collect()
+    grid = [*product((-1, 0, 1), repeat=LABELERS)]
     weights = {}
     for kind in sorted({r.kind for r in counts}):
-        seen = {tuple(r.votes): r["count"] for r in counts if r.kind == kind}
-        # Patterns not seen weigh a little, so that the classifier is defined on them too.
-        weights[kind] = _logistic(grid, [0.2 + math.log1p(seen.get(v, 0)) for v in grid], _posteriors(sorted(seen.items()), grid))
+        seen: dict[tuple[int, ...], int] = {}
+        for r in counts:
+            if r.kind == kind:
+                seen[tuple(r.votes)] = seen.get(tuple(r.votes), 0) + r["count"]
+        belief = dict(zip(grid, _posteriors(sorted(seen.items()), grid), strict=True))
+        # Patterns of votes not seen weigh a little, so that the classifier is defined on them too; they say nothing of marks.
+        rows = [(v + (0,) * MARKS, 0.2, belief[v]) for v in grid]
+        rows += sorted((tuple(r.votes) + tuple(r.marks), math.log1p(r["count"]), belief[tuple(r.votes)]) for r in counts if r.kind == kind)
+        weights[kind] = _logistic(*map(list, zip(*rows, strict=True)))
     return SpanClassifier(weights)
 
 

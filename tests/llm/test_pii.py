@@ -74,3 +74,59 @@ def test_mask(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(empty).count() == 0 and pii.mask(empty).count() == 0
+
+
+def test_posteriors_match_plain_maximisation():
+    """The same rounds over single spans instead of counted patterns."""
+    rng = random.Random(3)
+    spans = []
+    for _ in range(300):
+        true = rng.random() < 0.4
+        spans.append(tuple(0 if rng.random() < 0.3 else (1 if (rng.random() < r) == true else -1) for r in (0.95, 0.8, 0.7, 0.6, 0.9)))
+    counts = {v: spans.count(v) for v in spans}
+    grid = sorted(counts)
+    right, prior = [pii.TRUST[0] / sum(pii.TRUST)] * 5, {True: pii.PRIOR, False: pii.PRIOR}
+    for _ in range(pii.ROUNDS + 1):
+        belief = []
+        for v in spans:
+            yes, no = prior[v[0] > 0], 1 - prior[v[0] > 0]
+            for x, r in zip(v, right, strict=True):
+                yes, no = (yes * r, no * (1 - r)) if x > 0 else (yes * (1 - r), no * r) if x < 0 else (yes, no)
+            belief.append(yes / (yes + no))
+        last = dict(zip(spans, belief, strict=True))
+        right = [(pii.TRUST[0] + sum(q if v[i] > 0 else 1 - q for v, q in zip(spans, belief, strict=True) if v[i])) / (sum(pii.TRUST) + sum(v[i] != 0 for v in spans)) for i in range(5)]
+        prior = {k: (pii.PRIOR * pii.PRIOR_SPANS + sum(q for v, q in zip(spans, belief, strict=True) if (v[0] > 0) == k)) / (pii.PRIOR_SPANS + sum((v[0] > 0) == k for v in spans)) for k in (True, False)}
+    got = pii._posteriors(sorted(counts.items()), grid)
+    assert max(abs(g - last[v]) for g, v in zip(got, grid, strict=True)) < 1e-9
+
+
+def test_classifier_gradient_matches_finite_differences(monkeypatch):
+    import math
+
+    rng = random.Random(4)
+    grid = [tuple(rng.choice((-1, 0, 1)) for _ in range(9)) for _ in range(40)]
+    weights, target = [rng.random() for _ in grid], [rng.random() for _ in grid]
+    monkeypatch.setattr(pii, "STEPS", 1)
+    yes, no, constant = pii._logistic(grid, weights, target)
+
+    def loss(y, n, c):
+        total = 0.0
+        for v, w, t in zip(grid, weights, target, strict=True):
+            z = c + sum(y[i] if x > 0 else n[i] if x < 0 else 0.0 for i, x in enumerate(v))
+            total -= w / sum(weights) * (t * math.log(1 / (1 + math.exp(-z))) + (1 - t) * math.log(1 / (1 + math.exp(z))))
+        return total
+
+    zero, e = [0.0] * 9, 1e-5
+    for i in range(9):
+        up = [e if k == i else 0.0 for k in range(9)]
+        assert abs(yes[i] / -4 - (loss(up, zero, 0.0) - loss(zero, zero, 0.0)) / e) < 1e-4
+        assert abs(no[i] / -4 - (loss(zero, up, 0.0) - loss(zero, zero, 0.0)) / e) < 1e-4
+    assert abs(constant / -4 - (loss(zero, zero, e) - loss(zero, zero, 0.0)) / e) < 1e-4
+
+
+def test_marks_reach_the_classifier(spark):
+    frame = spark.createDataFrame([(1, "x555-123-4567 and (555) 123-4567, 2001:0db8:85a3:0000:0000:8a2e:0370:7334")], "doc_id long, text string")
+    spans = pii.candidates(frame).first().spans
+    assert spans and all(len(s.votes) == pii.LABELERS and len(s.marks) == pii.MARKS and set(s.marks) <= {-1, 0, 1} for s in spans)
+    yes, no, _ = pii.fit(pii.candidates(frame)).weights[3]
+    assert len(yes) == len(no) == pii.LABELERS + pii.MARKS
