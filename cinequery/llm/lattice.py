@@ -1,8 +1,10 @@
-"""Language-model scores: subword lattice likelihood with whole words learned from the corpus.
+"""Language-model scores: subword lattice likelihood over the pieces of an existing vocabulary.
 
-A word's probability sums over all its segmentations into pieces of an existing vocabulary, and
-over one more arc that spans the whole word, weighted by what the corpus holds of it. The words'
-probabilities multiply to the marginal probability of the text.
+A word's probability sums over all its segmentations into pieces. The vocabulary's scores weight
+the pieces at first; rounds of expectation-maximisation over the corpus' words (how often each piece
+occurs, by the probabilities of all segmentations) then learn their weights, and the words'
+probabilities multiply to the marginal probability of the text. Without rounds the vocabulary's
+scores stay, and a further arc spans each word the corpus holds.
 """
 
 from __future__ import annotations
@@ -12,15 +14,18 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.llm.common import cut, text_blocks
-from cinequery.llm.pieces import Pieces
+from cinequery.llm.common import cut, released, text_blocks
+from cinequery.llm.pieces import Lattice, Pieces
 
 #: Words with at least 1 / HOT of all tokens, so HOT words at most, are broadcast; the others are joined.
 HOT = 200_000
+#: Rounds of learning, and tokens by the vocabulary's own scores that count besides the corpus.
+ROUNDS, PRIOR = 2, 10_000.0
 
 
 def _tokens(raw: bytes, a: int, b: int) -> list[bytes]:
@@ -53,15 +58,41 @@ def _count(batches: Iterator[pa.RecordBatch], limit: int = 300_000) -> Iterator[
     yield from flush()
 
 
-def _marginals(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+def _marginals(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pieces.marginal(w) for w in batch.column(0).to_pylist()], pa.float64())], names=[*batch.schema.names, "lattice"])
+        found = lattice.marginals(batch.column(0).to_pylist()) / math.log(10)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "lattice"])
 
 
-def word_table(docs: DataFrame, learn: Column, pieces) -> DataFrame:
-    """word, c (its number in rows that ``learn`` marks), n (in all rows), lattice (log10 of its marginal probability), once for each distinct word."""
-    counts = docs.select("text", learn.alias("learn")).mapInArrow(_count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    return counts.mapInArrow(lambda batches: _marginals(batches, pieces.value), "word string, c long, n long, lattice double")
+def _expected(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(lattice.weights))
+    for batch in batches:
+        total += lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.float64())})
+
+
+def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
+    """word, c (its number in rows that ``learn`` marks), n (in all rows), once for each distinct word."""
+    return docs.select("text", learn.alias("learn")).mapInArrow(lambda batches: released(_count(batches)), "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def learned(counts: DataFrame, lattice: Lattice, ends: int, rounds: int = ROUNDS, prior: float = PRIOR) -> Lattice:
+    """``lattice`` with the weights that ``rounds`` of expectation-maximisation over the words of ``counts`` (word, c) give, and ``ends`` texts. What reaches the driver is a number for each piece of the vocabulary."""
+    words = counts.where("c > 0").select("word", "c")
+    for _ in range(rounds):
+        known = counts.sparkSession.sparkContext.broadcast(lattice)  # of the vocabulary's fixed size
+        found = words.mapInArrow(lambda batches, known=known: released(_expected(batches, known.value)), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros(len(lattice.weights))
+        total[found["piece"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+        total[-1] = ends
+        lattice = lattice.learned(total, prior)
+    return lattice
+
+
+def word_table(counts: DataFrame, lattice) -> DataFrame:
+    """``counts`` with lattice: log10 of each word's marginal probability."""
+    return counts.mapInArrow(lambda batches: released(_marginals(batches, lattice.value)), "word string, c long, n long, lattice double")
 
 
 class Mixture:
@@ -120,28 +151,36 @@ def _score(batches: Iterator[pa.RecordBatch], hot: dict[bytes, tuple[int, float,
             )
 
 
-def score(docs: DataFrame, learn: Column, path: str, hot_words: int = HOT) -> DataFrame:
+def score(docs: DataFrame, learn: Column, path: str, hot_words: int = HOT, rounds: int = 0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs``; ``learn`` marks the rows to learn from.
 
     Tokens are the words (ASCII white space parts them, A-Z count as a-z) and one end. base_score
-    is log10 under add-one counts of whole tokens; score is the mixture's log10 probability.
-    Null texts are empty, so just an end. Equal rows are scored once and returned as often as they
-    come. Without rows to learn from, the lattice alone scores.
+    is log10 under add-one counts of whole tokens; score is the log10 probability of the text under
+    the lattice whose weights ``rounds`` have learned, or without rounds under the mixture of the
+    vocabulary's own lattice and whole words. Null texts are empty, so just an end. Equal rows are
+    scored once and returned as often as they come; an empty table gives an empty result. A word of
+    any length is scored whole. Without rows to learn from, the vocabulary's lattice scores.
     """
     spark = docs.sparkSession
-    pieces = spark.sparkContext.broadcast(Pieces(path))
-    table = cut(word_table(docs, learn, pieces))
-    sums = table.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    counts = word_counts(docs, learn)
+    lattice = Lattice(Pieces(path))
     ends = docs.where(learn).count()
+    if rounds and ends:
+        counts = cut(counts)
+        lattice = learned(counts, lattice, ends, rounds)
+    table = cut(word_table(counts, spark.sparkContext.broadcast(lattice)))
+    sums = table.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens, distinct = (sums.c or 0) + ends, sums.v + (ends > 0)
     model = Mixture(tokens, distinct)
+    of_word = (lambda c, lattice: lattice) if rounds else model.log10
+    word_score = F.col("lattice") if rounds else model.column("c", "lattice")
     add_one = lambda c: math.log10((c + 1) / (tokens + distinct + 1))
     # Each of these has n >= all / hot_words, so there are hot_words at most.
     frequent = table.where(F.col("n") * hot_words >= (sums.n or 0)).collect()
-    hot = spark.sparkContext.broadcast({r.word.encode(): (int(r.c > 0), add_one(r.c), model.log10(r.c, r.lattice)) for r in frequent})
-    end = (int(ends > 0), add_one(ends), model.log10(ends, pieces.value.end / math.log(10)))
+    hot = spark.sparkContext.broadcast({r.word.encode(): (int(r.c > 0), add_one(r.c), of_word(r.c, r.lattice)) for r in frequent})
+    end = (int(ends > 0), add_one(ends), of_word(ends, lattice.end / math.log(10)))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, word string, n long, docs long, known long, base double, score double"
-    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lambda batches: _score(batches, hot.value, end), schema)
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lambda batches: released(_score(batches, hot.value, end)), schema)
     cold = parts.join(table.select("word", "c", "lattice"), "word", "left")
     met = F.col("c").isNotNull()
     summed = cold.groupBy("doc_id", "text_hash").agg(
@@ -149,7 +188,7 @@ def score(docs: DataFrame, learn: Column, path: str, hot_words: int = HOT) -> Da
         F.sum(F.col("n") * F.col("docs")).alias("n_tokens"),
         F.sum(F.col("known") + F.when(met & (F.col("c") > 0), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.when(met, F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(tokens + distinct + 1)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(met, F.col("n") * model.column("c", "lattice")).otherwise(0.0)).alias("score"),
+        F.sum(F.col("score") + F.when(met, F.col("n") * word_score).otherwise(0.0)).alias("score"),
     )
     one = summed.select("doc_id", *((F.col(x) / F.col("docs")).cast("long").alias(x) for x in ("n_tokens", "n_known")), *((F.col(x) / F.col("docs")).alias(x) for x in ("base_score", "score")), F.explode(F.sequence(F.lit(1), F.col("docs"))).alias("copy"))
     return one.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

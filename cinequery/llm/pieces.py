@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cinequery.llm.common import released, text_blocks
+from cinequery.llm.common import mix, released, text_blocks
 
 #: What stands before a word's first letter in the vocabulary.
 EDGE = "▁"
@@ -119,6 +120,115 @@ class Pieces:
         return best
 
 
+class Lattice:
+    """All ways to cut words into pieces at once: words of one length are columns of the same arrays.
+
+    ``weights`` are log probabilities (natural) of each piece, of all bytes together and of the
+    end; without any they are those of ``pieces``. A sign without a piece is spelled by its bytes,
+    each the 256th part of theirs.
+    """
+
+    def __init__(self, pieces: Pieces, weights: np.ndarray | None = None):
+        names = sorted(pieces.log)
+        self.first = np.array([*(pieces.log[x] for x in names), pieces.byte + math.log(256), pieces.end])
+        self.weights = self.first if weights is None else weights
+        self.longest = max(map(len, names))
+        sums = np.array([self._hash(x) for x in names], np.uint64)
+        self.order = np.argsort(sums)
+        self.sums = sums[self.order]
+        self.end = float(self.weights[-1])
+
+    def learned(self, counts: np.ndarray, prior: float) -> Lattice:
+        """The same with the shares of ``counts``, to which ``prior`` tokens by the first weights are added."""
+        other = object.__new__(Lattice)
+        other.__dict__ = self.__dict__ | {"weights": np.log(counts + prior * np.exp(self.first)) - math.log(counts.sum() + prior * np.exp(self.first).sum()) + math.log(np.exp(self.first).sum())}
+        other.end = float(other.weights[-1])
+        return other
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def _hash(self, text: str) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for code in self._codes(text):
+            h = h * _STEP + mix(code[None] if np.ndim(code) else np.array([code], np.uint64))
+        return h[0]
+
+    def _arcs(self, codes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each length the piece (-1: none) and log weight of what begins at each place, and the bytes of each sign. codes: (words, signs)."""
+        signs = mix(codes.astype(np.uint64))
+        size = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+        ids, logs = [], []
+        h = np.zeros_like(signs)
+        for k in range(min(self.longest, codes.shape[1])):
+            h = h[:, : codes.shape[1] - k] * _STEP + signs[:, k:]
+            at = np.minimum(np.searchsorted(self.sums, h), len(self.sums) - 1)
+            piece = np.where(self.sums[at] == h, self.order[at], -1)
+            log = np.where(piece >= 0, self.weights[piece], -np.inf)
+            if not k:
+                log = np.where(piece >= 0, log, size * (self.weights[-2] - math.log(256)))
+            ids.append(piece)
+            logs.append(log)
+        return ids, logs, size
+
+    def _forward(self, logs: list[np.ndarray]) -> np.ndarray:
+        n, m = logs[0].shape
+        forward = np.zeros((n, m + 1))
+        for j in range(1, m + 1):
+            forward[:, j] = _log_sum([forward[:, j - k - 1] + logs[k][:, j - k - 1] for k in range(min(j, len(logs)))])
+        return forward
+
+    def _blocks(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words by length: their places in the list and their signs, the edge first."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for length in np.unique(lengths):
+            same = order[np.searchsorted(lengths[order], length) : np.searchsorted(lengths[order], length, "right")]
+            step = max(1, ARCS // ((int(length) + 1) * self.longest))
+            for at in range(0, len(same), step):
+                part = same[at : at + step]
+                yield part, self._codes("".join(EDGE + words[k] for k in part.tolist())).reshape(len(part), -1)
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """Of each word the log probability (natural) of all its ways together."""
+        out = np.zeros(len(words))
+        for part, codes in self._blocks(words):
+            out[part] = self._forward(self._arcs(codes)[1])[:, -1]
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """How often each piece, and bytes, occur in ``counts`` of each word, by the probabilities of its ways: forward and backward recursion."""
+        total = np.zeros(len(self.weights))
+        for part, codes in self._blocks(words):
+            ids, logs, size = self._arcs(codes)
+            forward = self._forward(logs)
+            n, m = logs[0].shape
+            backward = np.zeros((n, m + 1))
+            for i in range(m - 1, -1, -1):
+                backward[:, i] = _log_sum([logs[k][:, i] + backward[:, i + k + 1] for k in range(min(m - i, len(logs)))])
+            for k, (piece, log) in enumerate(zip(ids, logs, strict=True)):
+                share = np.exp(forward[:, : m - k] + log + backward[:, k + 1 :] - forward[:, -1:]) * counts[part, None]
+                known = piece >= 0
+                total += np.bincount(piece[known], share[known], len(total))
+                if not k:
+                    total[-2] += (share * size)[~known].sum()
+        return total
+
+
+#: Arcs of a block of words that are held at once.
+ARCS = 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
+    if len(parts) == 1:
+        return parts[0]
+    x = np.stack(parts)
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
 def _count(batches: Iterator[pa.RecordBatch], pieces: Pieces, limit: int = 300_000) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, tuple[int, float]] = {}
     for batch in batches:

@@ -65,7 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 7) == 2
-    scored = lattice.score(documents(spark, sf_dir), ~held_out, PIECES)
+    scored = lattice.score(documents(spark, sf_dir), ~held_out, PIECES, rounds=lattice.ROUNDS)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
