@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinequery.operators.settle import settled
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -20,11 +21,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return settled(df)
 
 
 def remainder(column: str, modulus: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinequery.llm.common import released, runs, text_blocks, words
+from cinequery.llm.common import cut, released, runs, text_blocks, words
 
 SCHEMA = "doc_id {id}, text_hash long, n_words long, hits array<struct<first:long,past:long>>, items array<string>, longest long"
 
@@ -223,7 +223,7 @@ def scan(batches: Iterator[pa.RecordBatch], tests: Suffixes, shard_bytes: int) -
 
 
 def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark in blocks of at most ``limit`` bytes, or one item; only one block is on the driver at a time."""
+    """The benchmark in blocks of at most ``limit`` bytes, or one item; the block searched and the next one are on the driver at a time."""
     block, size = [], 0
     for item in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull()).toLocalIterator():
         if block and size + len(item.text) * 4 > limit:
@@ -246,15 +246,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
+    blocks = item_blocks(benchmark, block_bytes)
+    block, after = next(blocks, []), next(blocks, None)
     parts = []
-    for block in item_blocks(benchmark, block_bytes):
+    while block is not None:
         tests = texts.sparkSession.sparkContext.broadcast(Suffixes(block, window))
-        parts.append(texts.mapInArrow(lambda batches, tests=tests: released(scan(batches, tests.value, shard_bytes)), schema))
-    if not parts:
-        tests = texts.sparkSession.sparkContext.broadcast(Suffixes([], window))
-        parts.append(texts.mapInArrow(lambda batches: scan(batches, tests.value, shard_bytes), schema))
-    if len(parts) == 1:
-        return parts[0].drop("text_hash")
+        part = texts.mapInArrow(lambda batches, tests=tests: released(scan(batches, tests.value, shard_bytes)), schema)
+        if not parts and after is None:
+            return part.drop("text_hash")
+        parts.append(cut(part))  # what is found of a block is kept, so that the block itself can go
+        tests.destroy()
+        block, after = after, next(blocks, None)
     whole = None
     for k, part in enumerate(parts):
         part = part.withColumn("block", F.lit(k))
@@ -294,8 +296,15 @@ def keep(batches: Iterator[pa.RecordBatch], tests: Suffixes, shard_bytes: int) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; all columns stay. No shuffle, and one pass for any number of blocks."""
-    for block in item_blocks(benchmark, block_bytes):
+    """``docs`` without the rows that hold a benchmark window; all columns stay. No shuffle. With several blocks of benchmark what each leaves is written before the next is read."""
+    blocks = item_blocks(benchmark, block_bytes)
+    block, after = next(blocks, None), next(blocks, None)
+    alone = after is None
+    while block is not None:
         tests = docs.sparkSession.sparkContext.broadcast(Suffixes(block, window))
         docs = docs.mapInArrow(lambda batches, tests=tests: released(keep(batches, tests.value, shard_bytes)), docs.schema)
+        if not alone:
+            docs = cut(docs)
+            tests.destroy()
+        block, after = after, next(blocks, None)
     return docs

@@ -13,10 +13,15 @@ dw AS (SELECT doc_id, i, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') A
        FROM d, widths, unnest(range(1, len(ws) - k + 2)) t(i) WHERE len(ws) >= k),
 hit AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, win)),
 covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM hit, unnest(range(i, i + k)) u(j) GROUP BY doc_id),
-found AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY doc_id)
+found AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY doc_id),
+-- Windows that match on from each other, place by place in both texts, are one match, as long as they are many and one window.
+placed AS (SELECT row, i AS j, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS win FROM (SELECT row_number() OVER () AS row, ws, least(len(ws), 10) AS k FROM b WHERE len(ws) > 0), unnest(range(1, len(ws) - k + 2)) t(i)),
+met AS (SELECT doc_id, row, k, i, i - j AS diagonal FROM dw JOIN placed USING (k, win)),
+runs AS (SELECT doc_id, row, k, diagonal, i - row_number() OVER (PARTITION BY doc_id, row, diagonal ORDER BY i) AS run FROM met),
+longest AS (SELECT doc_id, max(n + k - 1) AS longest FROM (SELECT doc_id, row, k, diagonal, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(found.names, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+       sha256(coalesce(found.names, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated, CAST(coalesce(longest.longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
