@@ -37,3 +37,31 @@ def test_target_bytes_and_small_inputs(spark):
     assert [(r.slot, 0 <= r.shard < 8) for r in one] == [(0, True)]
     only = shard.shard(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), shards=2).collect()
     assert len({r.shard for r in only}) == 2
+
+
+def plain_tree(items, shards, first=0):
+    """Shard of each (key, place, bytes): halves at the weighted median, the group on it to the nearer side."""
+    if shards == 1 or not items:
+        return {k: first for k, _, _ in items}
+    items = sorted(items, key=lambda x: x[1])
+    left = (shards + 1) // 2
+    want, total, at = left / shards * sum(b for *_, b in items), 0, 0
+    for at, (_, _, size) in enumerate(items):
+        if total + size >= want or at == len(items) - 1:
+            break
+        total += size
+    upto = total + items[at][2]
+    cut = at + 1 if upto - want <= want - total else at
+    return plain_tree(items[:cut], left, first) | plain_tree(items[cut:], shards - left, first + left)
+
+
+def test_equals_a_plain_tree_of_true_medians(spark):
+    import math
+
+    sizes = [round(1.02**k * 40) + k for k in range(300)]
+    docs = [(k, "x" * n, "en", "s", "", "") for k, n in enumerate(sizes)]
+    random.Random(1).shuffle(docs)
+    for shards in (2, 5, 8):
+        want = plain_tree([(d, math.log2(len(t) + 1), len(t) + 1) for d, t, *_ in docs], shards)
+        got = shard.shard(spark.createDataFrame(docs, SCHEMA), shards=shards).collect()
+        assert {r.doc_id: r.shard for r in got} == want
