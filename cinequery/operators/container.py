@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cinequery.functions.binary import be_i64, be_u64, be_uint, column, cut, hex_lower, safe_integer, signed_byte, utf16be
 from cinequery.operators.klv import ESSENCE_PREFIXES, INDEX_KEY, PARTITION_PREFIX
 from cinequery.operators.settle import settled
+from cinequery.operators.stats import running
 
 #: The keys of metadata sets and their types.
 SET_TYPES = {
@@ -220,9 +221,10 @@ def synthetic_tracks(essence: DataFrame, tracks: DataFrame, by: tuple[str, ...]
     return rest.select(*by, "body_sid", "number", F.col("number").alias("track_id"), "packet_count", F.col("packet_count").alias("duration"), F.lit(1).alias("rate_num"), F.lit(1).alias("rate_den"), "item_type", "first_ord")
 
 
-def packet_index(essence: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*TRACK).orderBy("ord")
-    return essence.withColumn("packet_index", F.row_number().over(w).cast("long") - 1)
+def packet_index(essence: DataFrame, bucket: int = 100_000) -> DataFrame:
+    """Each element's place among its track's, from 0: counted within buckets of ``ord`` after the counts of those before, so that a track of any length is numbered in many tasks."""
+    counted = running(essence, TRACK, "ord", F.lit(1).cast("long"), "packet_index", bucket)
+    return counted.withColumn("packet_index", F.col("packet_index") - 1)
 
 
 def js_round(x: Column) -> Column:

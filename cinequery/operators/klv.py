@@ -186,6 +186,33 @@ def scan(files: DataFrame, max_resync: int = 16 << 20, with_contents: bool = Fal
     return files.select("file", "payload").mapInArrow(walk_all, schema)
 
 
+def payloads(files: DataFrame, max_resync: int = 16 << 20) -> DataFrame:
+    """file, ord and the value of each triplet of (file, payload) rows, cut where the file is walked: no file's bytes are copied for its packets. A batch holds about BATCH_BYTES, or one value."""
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not payload.is_valid:
+                    continue
+                source, part, held = Bytes(payload.as_py()), [], 0
+                for ordinal, row in enumerate(walk(source, max_resync)):
+                    if row[1] is None:
+                        continue
+                    if part and held + row[4] > BATCH_BYTES:
+                        yield made(batch, part)
+                        part, held = [], 0
+                    part.append((file, ordinal, source.read(row[3], row[4])))
+                    held += row[4]
+                if part:
+                    yield made(batch, part)
+
+    def made(batch: pa.RecordBatch, part: list[tuple]) -> pa.RecordBatch:
+        types = [batch.schema.field(0).type, pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=["file", "ord", "payload"])
+
+    return files.select("file", "payload").mapInArrow(cut_all, f"file {files.schema['file'].dataType.simpleString()}, ord long, payload binary")
+
+
 def local_sets(sets: DataFrame) -> DataFrame:
     """``sets`` (id, payload) with items: array of (tag, value), null where malformed."""
 

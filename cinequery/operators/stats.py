@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def running(rows: DataFrame, by: list[str], order: str, value: Column, name: str, bucket: int) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row of its group in ``order``, a number.
+
+    The order is dealt into buckets of ``bucket``; a bucket's rows start from the sum of the buckets
+    before, so a group of any size is summed in many tasks.
+    """
+    dealt = rows.withColumns({"in bucket": F.floor(F.col(order) / bucket), "its value": value})
+    sums = dealt.groupBy(*by, "in bucket").agg(F.sum("its value").alias("all of it"))
+    earlier = Window.partitionBy(*by).orderBy("in bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "in bucket", F.coalesce(F.sum("all of it").over(earlier), F.lit(0)).alias("before it"))
+    within = Window.partitionBy(*by, "in bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(before, [*by, "in bucket"]).withColumn(name, F.col("before it") + F.sum("its value").over(within)).select(*rows.columns, name)
 
 
 def differences(rows: DataFrame, key: str) -> DataFrame:

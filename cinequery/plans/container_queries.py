@@ -207,9 +207,9 @@ def join_descriptor(spark, sf_dir):
     "SELECT n.n_nationkey AS container, r.r_name AS package, c.c_custkey AS track FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey",
 )
 def join_container_data(spark, sf_dir):
-    tracks = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set("c_custkey").alias("refs"))
+    tracks = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
     data = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return data.join(tracks, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_nationkey").alias("container"), F.col("r_name").alias("package"), F.explode("refs").alias("track"))
+    return data.join(tracks, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_nationkey").alias("container"), F.col("r_name").alias("package"), F.col("c_custkey").alias("track"))
 
 
 @query("descriptor_expand", "SELECT DISTINCT o_orderkey, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [o_orderkey, o_orderkey + 1, o_orderkey, o_orderkey + 2] ELSE [o_orderkey] END) AS uid FROM orders")
@@ -262,8 +262,8 @@ def spark_sql(text):
 
 
 def structure(spark, sf_dir):
-    read(spark, sf_dir, "orders").createOrReplaceTempView("structure_orders")
-    sql = lambda text: spark.sql(spark_sql(text).replace("FROM orders", "FROM structure_orders"))
+    orders = read(spark, sf_dir, "orders")
+    sql = lambda text: spark.sql(spark_sql(text).replace("FROM orders", "FROM {orders}"), orders=orders)
     partitions = sql(PARTS).withColumnRenamed("off", "offset")
     entries = sql(ENTRIES)
     segs = partitions.where("o_orderkey % 4 = 1").selectExpr("file", "offset + 5 AS offset", "CASE WHEN o_orderkey % 61 = 0 THEN 9 ELSE index_sid END AS index_sid", "CASE WHEN o_orderkey % 67 = 0 THEN 8 ELSE body_sid END AS body_sid")

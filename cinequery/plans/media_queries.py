@@ -7,6 +7,7 @@ from cinequery.functions import media as M
 from cinequery.functions import signal as S
 from cinequery.operators import playback as P
 from cinequery.operators import stats
+from cinequery.operators.frame_decode import RESULTS
 from cinequery.plans.registry import query
 from cinequery.sources.tables import read
 
@@ -85,6 +86,12 @@ def clock_fold(spark, sf_dir):
 SEEKS = "SELECT user_id, event_id, event_id % 100 AS target, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= 100 THEN 0 ELSE 1 END AS opens FROM events"
 
 
+@query("underrun_recovery", "SELECT user_id AS session, event_id AS ord, 'start' AS kind, least(60.0::DOUBLE, greatest(0.0::DOUBLE, value)) AS value FROM events WHERE event_id % 3 > 0 AND value < 60 AND user_id % 4 = 0")
+def underrun_recovery(spark, sf_dir):
+    samples = events(spark, sf_dir).selectExpr("user_id AS session", "event_id AS ord", "event_id % 3 > 0 AS running", "value AS media_time", "user_id % 4 AS sources")
+    return P.recoveries(samples, 60.0)
+
+
 @query("seek_coalesce", f"SELECT user_id AS session, CAST(burst AS BIGINT) AS burst, max_by(target, event_id) AS target, max(event_id) AS ord FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS burst FROM ({SEEKS})) GROUP BY user_id, burst")
 def seek_coalesce(spark, sf_dir):
     return P.coalesce_seeks(events(spark, sf_dir).selectExpr("user_id AS session", "event_id AS ord", "CAST(event_id AS DOUBLE) AS at", "event_id % 100 AS target"), 100.0)
@@ -97,8 +104,7 @@ def prefetch(spark, sf_dir):
 
 @query("index_progress", "SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes_read FROM events")
 def index_progress(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events(spark, sf_dir).select("event_id", F.sum("user_id").over(w).alias("bytes_read"))
+    return stats.running(events(spark, sf_dir).select("event_id", "event_type", "user_id"), ["event_type"], "event_id", F.col("user_id"), "bytes_read", 10_000).select("event_id", "bytes_read")
 
 
 @query("stop_at_first_error", "SELECT event_id AS ord, user_id AS stream FROM events e WHERE event_id <= coalesce((SELECT min(event_id) FROM events f WHERE f.user_id = e.user_id AND f.event_id % 41 = 0), 9223372036854775807)")
@@ -152,7 +158,12 @@ def error_classify(spark, sf_dir):
 
 @query("native_error_dim", "SELECT CAST(i AS INTEGER) AS code, i = 0 AS ok FROM unnest(range(0, 11)) t(i)")
 def native_error_dim(spark, sf_dir):
-    return spark.range(11).select(F.col("id").cast("int").alias("code"), (F.col("id") == 0).alias("ok"))
+    return native_errors(spark).select("code", (F.col("name") == "ok").alias("ok"))
+
+
+@query("native_error_names", f"SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in RESULTS.items())}) t(code, name)")
+def native_errors(spark, sf_dir=None):
+    return spark.createDataFrame(list(RESULTS.items()), "code int, name string")
 
 
 @query("fourcc_norm", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'AVdn' WHEN 1 THEN 'AVdh' END AS fourcc FROM events")

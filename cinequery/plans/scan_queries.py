@@ -67,9 +67,8 @@ def klv_resync(spark, sf_dir):
 
 @query("packet_read", f"SELECT doc_id, md5(text) AS digest FROM ({DOCS})")
 def packet_read(spark, sf_dir):
-    files = document_files(spark, sf_dir)
-    read_back = klv.scan(files).join(files, "file").select("file", "ord", F.md5(B.cut("payload", F.col("value_offset"), F.col("value_length"))).alias("digest"))
-    return read_back.select((F.col("file") * 16 + F.col("ord")).alias("doc_id"), "digest")
+    values = klv.payloads(document_files(spark, sf_dir))
+    return values.select((F.col("file") * 16 + F.col("ord")).alias("doc_id"), F.md5("payload").alias("digest"))
 
 
 @query(
