@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
@@ -111,8 +112,9 @@ class Walker:
         self.forget()
 
     def forget(self) -> None:
+        """Chunks are numbered anew: each has its ids' place and number in one array, and its decoded text."""
         self.number: dict = {}
-        self.ids: list[list[int]] = []
+        self.ids, self.begin, self.size = array("i"), array("q"), array("q")
         self.text: list[str] = []
 
     def compatible(self, key: int, left: str, right: str) -> bool:
@@ -201,23 +203,23 @@ class Walker:
         split = {c: ([c] if c.isascii() and c.isalpha() else self.split(c)) if isinstance(c, str) else [] for c in fresh}
         self.learn({w for ws in split.values() for w in ws if w not in self.words})
         for c in fresh:
-            self.number[c] = len(self.ids)
+            self.number[c] = len(self.text)
             found = [self.words[w] for w in split[c]] if isinstance(c, str) else [([self.bpe.special[c[0]]], c[0])]
             ids, text = found[0] if len(found) == 1 else ([i for f in found for i in f[0]], " ".join([f[1] for f in found]))
-            self.ids.append(ids)
+            self.begin.append(len(self.ids))
+            self.size.append(len(ids))
+            self.ids.extend(ids)
             self.text.append(text)
         get = self.number.__getitem__
         numbers = [list(map(get, p)) for p in parts]
-        flat = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
-        used, which = np.unique(flat, return_inverse=True)
-        lengths = np.array([len(self.ids[k]) for k in used.tolist()], np.int64)
-        table = np.fromiter(chain.from_iterable(self.ids[k] for k in used.tolist()), np.int32, int(lengths.sum()))
-        begin = np.cumsum(lengths) - lengths
-        n = lengths[which]
-        ids = table[np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, numbers)])]
+        which = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
+        n = np.frombuffer(self.size, np.int64)[which] if len(which) else which
+        ends = np.cumsum(n)
+        first = np.frombuffer(self.begin, np.int64)[which] - ends + n if len(which) else which
+        ids = np.frombuffer(self.ids, np.int32)[np.repeat(first, n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int32)
+        borders = np.append(0, ends)[np.cumsum([0, *map(len, numbers)])]
         name = self.text.__getitem__
-        return ids, ends, [" ".join(filter(None, map(name, p))) for p in numbers]
+        return ids, borders, [" ".join(filter(None, map(name, p))) for p in numbers]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary's strings joined by blanks: the file has no decoder of its own."""
