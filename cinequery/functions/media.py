@@ -68,3 +68,8 @@ def frame_duration_us(override: Column, num: Column, den: Column) -> Column:
     given = F.when(override > 0, F.floor(override + 0.5))
     rate = F.when((num > 0) & (den > 0), F.floor(den * 1_000_000 / num + 0.5))
     return F.coalesce(given, rate, F.lit(33333)).cast("long")
+
+
+def timestamp_us(given: Column, index: Column) -> Column:
+    """A packet's own time in seconds, or else its place at 30 frames a second, in rounded microseconds."""
+    return F.coalesce(F.floor(given * 1_000_000 + 0.5), F.floor(index.cast("double") * 1_000_000 / 30 + 0.5))

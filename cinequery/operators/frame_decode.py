@@ -301,17 +301,26 @@ def convert(frames: DataFrame, key: str) -> DataFrame:
     From 4:2:2 chroma rows are averaged in pairs or columns repeated, RGB goes through the matrix.
     """
 
+    def made(batch: pa.RecordBatch, first: int, out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), *(pa.array([o[k] for o in out], pa.binary()) for k in range(3))], names=[key, "y", "cb", "cr"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out, held, first = [], 0, 0
             for k in range(batch.num_rows):
                 row = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
-                out = None
+                planes = None
                 if None not in (row["y"], row["cb"], row["cr"], row["source"], row["target"]):
                     kind = np.dtype(np.uint8 if row["source"].endswith("p8") else "<u2")
                     wide = row["coded_width"] // 2 if row["source"].startswith(("yuv422", "yuv420")) else row["coded_width"]
-                    out = _converted(*(np.frombuffer(row[p], kind).reshape(-1, w) for p, w in (("y", row["coded_width"]), ("cb", wide), ("cr", wide))), row["source"], row["target"], row["matrix"])
-                planes = [pa.array([p.astype(kind).tobytes()], pa.binary()) for p in out] if out else [pa.array([None], pa.binary())] * 3
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *planes], names=[key, "y", "cb", "cr"])
+                    planes = _converted(*(np.frombuffer(row[p], kind).reshape(-1, w) for p, w in (("y", row["coded_width"]), ("cb", wide), ("cr", wide))), row["source"], row["target"], row["matrix"])
+                out.append([p.astype(kind).tobytes() for p in planes] if planes else [None] * 3)
+                held += sum(len(p) for p in out[-1] if p)
+                if held > COEFFICIENTS:
+                    yield made(batch, first, out)
+                    out, held, first = [], 0, k + 1
+            if out:
+                yield made(batch, first, out)
 
     kind = frames.schema[key].dataType.simpleString()
     return frames.select(key, "y", "cb", "cr", "coded_width", "source", "target", "matrix").mapInArrow(run, f"{key} {kind}, y binary, cb binary, cr binary")

@@ -24,6 +24,11 @@ def bob(rows: DataFrame, frame: str, row: str, value: str, height: int, parity:
     return source.join(lines, [frame, "source"]).select(frame, row, "source", value)
 
 
+def weave(fields: DataFrame, frame: str, row: str, parity: str) -> DataFrame:
+    """Lines of both fields of a frame in their places: line r of field p becomes row 2r + p."""
+    return fields.withColumn(row, F.col(row) * 2 + F.col(parity)).drop(parity)
+
+
 def place(block: str, macroblock: str, mb_row: str, i: str) -> dict[str, Column]:
     """Plane and coordinates of coefficient ``i`` of a 4:2:2 macroblock's blocks: two of luma side by side, then one of each chroma."""
     b, mb = F.col(block), F.col(macroblock)

@@ -7,7 +7,7 @@ from cinequery.functions import binary as B
 from cinequery.functions import header as H
 from cinequery.functions import media as M
 from cinequery.functions import signal as S
-from cinequery.operators import decode
+from cinequery.operators import decode, frame_decode
 from cinequery.plans.registry import query
 from cinequery.sources import frames
 from cinequery.sources.tables import read
@@ -308,9 +308,10 @@ def bob_deinterlace(spark, sf_dir):
 
 @query("weave_fields", "SELECT event_id // 8 AS f, event_id % 4 * 2 + event_id // 4 % 2 AS r, user_id AS line FROM events")
 def weave_fields(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    field = lambda p: e.where(f"event_id div 4 % 2 = {p}").selectExpr("event_id div 8 AS f", f"event_id % 4 * 2 + {p} AS r", "user_id AS line")
-    return field(0).unionByName(field(1))
+    from cinequery.operators.layout import weave
+
+    fields = read(spark, sf_dir, "events").selectExpr("event_id div 8 AS f", "event_id % 4 AS r", "event_id div 4 % 2 AS parity", "user_id AS line")
+    return weave(fields, "f", "r", "parity").select("f", "r", "line")
 
 
 PCM = "SELECT event_id, event_id * 7919 % 65536 AS raw, 16 - user_id % 5 AS valid FROM events"
@@ -401,3 +402,67 @@ def huffman_lut(spark, sf_dir):
 def row_table_params(spark, sf_dir):
     known = F.col("profile").isNotNull()
     return parsed(spark, sf_dir).select("p_partkey", F.when(known, F.when(F.col("bit_depth") == 8, 4).otherwise(6)).alias("index_bits"), F.when(known & (F.col("bit_depth") == 12), 4).alias("level_shift"))
+
+
+#: A code for synthetic frames: differences of a fixed four-bit length, blocks that end at once.
+FLAT = frame_decode.RowTables(dc=[(n, 4) for n in range(12)], ac=[(0, 1), (2, 2)], levels=[(0, 0), (1, 0)], run=[(0, 1)], runs=[1], end=0, luma=[32] * 64, chroma=[32] * 64)
+#: Sixteen parts make a frame of one macroblock a row and two rows; a part gives a block its difference, of seven bits with a sign.
+BLOCKS = "SELECT p_partkey // 16 AS frame, p_partkey % 16 // 8 AS mb_row, p_partkey % 8 AS block, p_partkey * 29 % 64 + 64 AS raw, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 29 % 64 - 127 ELSE p_partkey * 29 % 64 + 64 END AS delta, p_partkey % 3 = 0 AS negative FROM part"
+WHOLE = f"SELECT * FROM ({BLOCKS}) WHERE frame IN (SELECT p_partkey // 16 FROM part GROUP BY 1 HAVING count(*) = 16)"
+
+
+def coded_frames(spark, sf_dir):
+    """frame, packet: headers of 16 by 32 samples in 8 bits, two rows of eight blocks of a constant each; every eleventh frame is cut after the third block of its second row."""
+    sql = BLOCKS.replace("//", "div").replace("FROM part", "FROM {part}")
+    blocks = spark.sql(sql, part=read(spark, sf_dir, "part"))
+    digits = lambda c, n: F.lpad(F.bin(c), n, "0")
+    bits = F.concat(F.lit("0111"), digits(F.when(F.col("negative"), F.col("raw") - 64).otherwise(F.col("raw")), 7), F.lit("0"))
+    rows = blocks.select("frame", "mb_row", "block", bits.alias("bits")).groupBy("frame", "mb_row").agg(F.count("*").alias("n"), F.expr("listagg(bits) WITHIN GROUP (ORDER BY block)").alias("bits"))
+    # Eleven bits of scale and one of transform before eight blocks of twelve bits: 108, filled to 112.
+    rows = rows.withColumn("hex", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(27)), lambda i: F.conv(F.substring(F.concat(F.lit("000000000010"), "bits", F.lit("0000")), i * 4 + 1, F.lit(4)), 2, 16)), ""))
+    frames = rows.groupBy("frame").agg(F.sum("n").alias("n"), F.expr("listagg(hex) WITHIN GROUP (ORDER BY mb_row)").alias("hex")).where("n = 16")
+    head = bytearray(0x280)
+    head[0:5] = (0x280).to_bytes(4, "big") + b"\x03"
+    head[0x18:0x1C] = (32).to_bytes(2, "big") + (16).to_bytes(2, "big")
+    head[0x21] = 0x20
+    head[0x28:0x2C] = (1274).to_bytes(4, "big")
+    head[0x16C:0x16E] = (2).to_bytes(2, "big")
+    head[0x174:0x178] = (14).to_bytes(4, "big")
+    whole = F.unhex(F.concat(F.lit(bytes(head).hex()), "hex"))
+    return frames.select("frame", F.when(F.col("frame") % 11 == 0, F.substring(whole, 1, 640 + 20)).otherwise(whole).alias("packet"))
+
+
+@query(
+    "frame_decode",
+    f"""SELECT frame, CASE WHEN frame % 11 = 0 THEN NULL ELSE plane END AS plane, CASE WHEN frame % 11 = 0 THEN NULL ELSE total END AS total, CASE WHEN frame % 11 = 0 THEN 'DC code' ELSE 'ok' END AS status FROM (SELECT frame, plane, CAST(sum(64 * sample) AS BIGINT) AS total
+    FROM (SELECT frame, CASE WHEN block IN (2, 6) THEN 'cb' WHEN block IN (3, 7) THEN 'cr' ELSE 'y' END AS plane, least(255, greatest(0, floor(CAST(1024 + sum(delta) OVER (PARTITION BY frame, mb_row, CASE WHEN block IN (2, 6) THEN 1 WHEN block IN (3, 7) THEN 2 ELSE 0 END ORDER BY block ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 8 + 0.5))) AS sample
+    FROM ({WHOLE})) GROUP BY ALL)""",
+)
+def frame_decode_query(spark, sf_dir):
+    """Sums of the samples of each plane of decoded frames, with what went wrong."""
+    done = frame_decode.decode(coded_frames(spark, sf_dir), "frame", {1274: FLAT})
+    planes = F.explode(F.array(*(F.struct(F.lit(p).alias("plane"), F.col(p).alias("bytes")) for p in ("y", "cb", "cr"))))
+    rows = done.select("frame", "status", planes.alias("p"))
+    # Two hex digits a sample.
+    total = F.aggregate(F.sequence(F.lit(0), F.octet_length("p.bytes") - 1), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring(F.col("p.bytes"), i + 1, F.lit(1))), 16, 10).cast("long"))
+    ok = F.col("status") == "ok"
+    return rows.select("frame", F.when(ok, F.col("p.plane")).alias("plane"), F.when(ok, total).alias("total"), "status")
+
+
+@query(
+    "plane_convert",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 2 END AS bytes, CASE event_id % 3 WHEN 0 THEN a WHEN 1 THEN (a + b + 1) // 2 END AS first, CASE event_id % 3 WHEN 0 THEN b WHEN 1 THEN (a + b + 1) // 2 END AS last
+    FROM (SELECT event_id, event_id * 7 % 256 AS a, user_id * 13 % 256 AS b FROM events)""",
+)
+def plane_convert(spark, sf_dir):
+    """Planes of four by two samples to whole chroma, to half of its rows, and to a format that can't be had."""
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "event_id * 7 % 256 AS a", "user_id * 13 % 256 AS b")
+    line = lambda c, n: F.unhex(F.repeat(F.lpad(F.hex(c), 2, "0"), F.lit(n)))
+    third = F.col("event_id") % 3
+    target = F.when(third == 0, "yuv444p8").when(third == 1, "yuv420p8").otherwise("yuv422p10")
+    chroma = F.concat(line("a", 2), line("b", 2))
+    frames = e.select("event_id", F.concat(line("a", 4), line("b", 4)).alias("y"), chroma.alias("cb"), chroma.alias("cr"), F.lit(4).alias("coded_width"), F.lit("yuv422p8").alias("source"), target.alias("target"), F.lit(None).cast("string").alias("matrix"))
+    done = frame_decode.convert(frames, "event_id")
+    at = lambda i: F.conv(F.hex(F.substring("cb", i, F.lit(1))), 16, 10).cast("long")
+    size = F.octet_length("cb")
+    return done.select("event_id", size.alias("bytes"), at(F.lit(1)).alias("first"), at(size).alias("last"))

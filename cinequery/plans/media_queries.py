@@ -35,8 +35,7 @@ def timecode(spark, sf_dir):
 @query("timing_fallback", "SELECT event_id, CAST(CASE WHEN user_id % 3 = 0 THEN floor(CAST(event_id AS DOUBLE) * 1000000 / 30 + 0.5) ELSE floor(event_id * 0.02::DOUBLE * 1000000 + 0.5) END AS BIGINT) AS timestamp_us FROM events")
 def timing_fallback(spark, sf_dir):
     given = F.when(F.col("user_id") % 3 > 0, F.col("event_id") * F.lit(0.02))
-    us = F.coalesce(F.floor(given * 1_000_000 + 0.5), F.floor(F.col("event_id").cast("double") * 1_000_000 / 30 + 0.5))
-    return events(spark, sf_dir).select("event_id", us.alias("timestamp_us"))
+    return events(spark, sf_dir).select("event_id", M.timestamp_us(given, F.col("event_id")).alias("timestamp_us"))
 
 
 @query("seek_timing", "SELECT event_id, event_id * CAST(floor(CASE user_id % 3 WHEN 0 THEN 1001.0::DOUBLE * 1000000 / 30000 WHEN 1 THEN 1000000.0::DOUBLE / 25 ELSE 1000000.0::DOUBLE / 60 END + 0.5) AS BIGINT) AS timestamp_us FROM events")

@@ -1,6 +1,7 @@
 """Sources, byte scans and binary fields."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinequery.functions import binary as B
 from cinequery.functions import header as H
@@ -78,10 +79,11 @@ def packet_read(spark, sf_dir):
 )
 def find_ascii(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "html", F.explode(F.array(*map(F.lit, ("<div", "href", "<p>")))).alias("needle"))
-    places = F.expr("filter(transform(split(html, concat('\\\\Q', needle, '\\\\E'), -1), (x, i) -> i), i -> i > 0)")
-    gaps = F.expr("split(html, concat('\\\\Q', needle, '\\\\E'), -1)")
-    starts = F.expr("transform(places, i -> aggregate(slice(gaps, 1, i), 0L, (s, x) -> s + char_length(x)) + (i - 1) * char_length(needle))")
-    return pages.withColumn("places", places).withColumn("gaps", gaps).select("page_id", "needle", F.explode(starts).alias("offset"))
+    # A hit stands where the text before it ends: the texts between hits are summed in order, each once.
+    gaps = pages.select("page_id", "needle", F.posexplode(F.expr("transform(split(html, concat('\\\\Q', needle, '\\\\E'), -1), x -> CAST(char_length(x) AS BIGINT))")).alias("i", "size"))
+    order = Window.partitionBy("page_id", "needle").orderBy("i")
+    places = gaps.withColumns({"before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "more": F.lead("i").over(order).isNotNull()})
+    return places.where("more").select("page_id", "needle", (F.col("before") + F.col("i") * F.char_length("needle")).alias("offset"))
 
 
 @query("ext_filter", "SELECT page_id, lower(regexp_extract(url || CASE page_id % 4 WHEN 0 THEN '.MXF' WHEN 1 THEN '.mov' WHEN 2 THEN '.txt' ELSE '' END, '\\.[^.]*$')) AS ext FROM pages WHERE page_id % 4 IN (0, 1)")
