@@ -309,8 +309,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int =
     known = spark.sparkContext.broadcast(centroids)  # LISTS centroids at most
     kind = rows.schema["embedding"].dataType.simpleString()
     rows, asked = (df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for df in (rows, asked))
-    among_equal = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    reachable = rows.withColumn("turn", among_equal).where(F.col("turn") <= top + 1).drop("turn")
+    among_equal = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    reachable = rows.dropDuplicates().withColumn("turn", among_equal).where(F.col("turn") <= top + 1).drop("turn")
     listed = f"vec_id long, embedding {kind}, list int"
     postings = cut(reachable.mapInArrow(lambda batches: _assign(batches, known.value), listed))
     n = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # LISTS rows at most

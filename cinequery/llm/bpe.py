@@ -238,7 +238,7 @@ def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.Reco
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, decoded of each row of ``docs`` under the vocabulary file ``path``: no special tokens are added, those in the text count as themselves. Null texts are empty, repeated rows stay."""
+    """doc_id, ids, decoded of each row of ``docs`` under the vocabulary file ``path``: no special tokens are added, those in the text count as themselves. Null texts are empty, repeated rows stay, an empty table gives an empty result. A text is held whole with its tokens, however long."""
     bpe = docs.sparkSession.sparkContext.broadcast(WordBPE(path))  # of the vocabulary's fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string"
     return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_encode(batches, bpe.value)), schema)

@@ -242,7 +242,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes
     Benchmarks over ``block_bytes`` are searched block by block over all documents and the
     findings merged, so what is broadcast stays bounded. Null texts have no words; a null
     item_id marks words but names no item. Rows with equal ids stay apart; equal rows have equal
-    findings, so blocks are merged by (doc_id, text) and returned as often as the rows come.
+    findings, so blocks are merged by (doc_id, text) and returned as often as the rows come. An empty
+    table of documents gives an empty result, an empty benchmark no findings; a text longer than a
+    shard is one by itself.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())

@@ -249,7 +249,7 @@ def _count(batches: Iterator[pa.RecordBatch], pieces: Pieces, limit: int = 300_0
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_words, n_tokens, log_score of each row of ``docs``: words are what ASCII white space parts, tokens the pieces of their best segmentations (of a sign without a piece, its bytes), and log_score their natural log probability. Null and empty texts have none; repeated rows stay."""
+    """doc_id, n_words, n_tokens, log_score of each row of ``docs``: words are what ASCII white space parts, tokens the pieces of their best segmentations (of a sign without a piece, its bytes), and log_score their natural log probability. Null and empty texts have none; repeated rows stay; an empty table gives an empty result. A text and a word of any length are counted whole."""
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(path))  # of the vocabulary's fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, log_score double"
     return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_count(batches, pieces.value)), schema)

@@ -240,7 +240,7 @@ def _joined(spans: str) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each row of ``docs``. Null texts are empty; repeated rows stay. Spans are found once, kept in a checkpoint without the texts, and then learned from and judged."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each row of ``docs``. Null texts are empty; repeated rows stay; an empty table gives an empty result, and texts of any length are read whole. Spans are found once, kept in a checkpoint without the texts, and then learned from and judged."""
     found = cut(candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "spans"))
     chosen = F.expr(f"filter(spans, s -> s.base OR {fit(found).sql('s')})")
     counts = [F.expr(f"CAST(size(filter(spans, s -> s.base AND s.kind = {k})) AS BIGINT) AS n_{kind}") for k, kind in enumerate(KINDS)]

@@ -89,7 +89,8 @@ def groups(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, itself included.
 
     One row per row of ``docs``; equal prints are linked through their smallest id. Null ids take
-    part under their text, but name no component unless they are alone (then it is null).
+    part under their text, but name no component unless they are alone (then it is null). An empty
+    table gives an empty result; a text of any length is hashed whole, in parts of bounded memory.
     """
     prints = cut(fingerprints(docs, width))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))

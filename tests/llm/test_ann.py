@@ -109,3 +109,30 @@ def test_a_query_at_a_centre_reaches_other_lists():
     d = np.sort(np.sqrt(ann._squares(np.array([[3.0, 0.0, 0.0]]), c.points)))
     assert d[0, 0] == 0 and c.base(d)[0, 0] == d[0, 1] and ann._ratios(d).size == 0
     assert ann._ratios(np.array([[0.0, 0.0, 2.0], [1.0, 2.0, 4.0]])).tolist() == [1.0, 2.0, 4.0]
+
+
+def test_recall_is_measured_against_all_vectors(spark):
+    table = read(spark, "/root/testdata/sf0.1", "embeddings")
+    found = ann.search(table, table.where(F.col("vec_id") % 20 == 0))
+    exact_found = found.where("rank <= 20").count()
+    measured = ann.recall(table, found, queries=1000)
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table.collect()]
+    want = exact(rows, [i for i, _ in rows if i % 20 == 0])
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(i in got.get(q, ()) for q, best in want.items() for i, _ in best)
+    assert abs(measured - hits / sum(map(len, want.values()))) < 1e-9 and measured >= 0.9 and exact_found == 20 * len(want)
+    assert ann.recall(table, found.limit(0)) == 1.0
+
+
+def test_more_equal_vectors_than_ranks_and_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    hot = [1.0, 1.0, 0.0, 0.0]
+    rows = [(i, hot, 1, "") for i in range(100)] + [(i, hot, 1, "") for i in range(0, 100, 3)] + [(1000 + i, [float(np.float32(x)) for x in rng.normal(size=4) * 0.1], 1, "") for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), list_size=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 100, 20):
+        assert [v for _, v in sorted(got[q])] == [i for i in range(21) if i != q][:20]

@@ -57,3 +57,36 @@ def test_nothing_learned_and_filter(spark, model):
     assert {r.lang_pred for r in language.predict(rows, none).collect()} == {"und"}
     kept = language.recognised(rows, model)
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {1, None}
+
+
+def test_repeated_rows_null_ids_and_empty_tables(spark, model):
+    rows = [(1, EN, None, "", ""), (1, EN, None, "", ""), (None, DE, "x", "", ""), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for spans in (True, False):
+        got = language.predict(frame, model, spans=spans)
+        assert got.columns == ["doc_id", "lang_pred", "score"] + ["spans"] * spans
+        assert sorted(((r.doc_id, r.lang_pred) for r in got.collect()), key=repr) == [(1, "en"), (1, "en"), (None, "de"), (None, "und")]
+        assert language.predict(frame.limit(0), model, spans=spans).count() == 0
+    assert language.recognised(frame.limit(0), model).count() == 0 and language.fit(frame.limit(0)).languages == []
+
+
+def test_recognised_sets_the_language_and_drops_strange_scripts(spark, model):
+    rows = [(1, EN, "xx", "", ""), (2, "ελληνικά γράμματα μόνο", "en", "", ""), (3, f"{DE} ελληνικά", None, "", ""), (4, RU, "de", "", "")]
+    got = language.recognised(spark.createDataFrame(rows, SCHEMA), model).collect()
+    assert {r.doc_id: r.lang for r in got} == {1: "en", 3: "de", 4: "ru"}
+
+
+def test_blocks_do_not_change_labels(spark, model, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    words = f"{EN} {DE} {RU}".split()
+    frame = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randint(0, 300))), None, None, None) for k in range(60)], SCHEMA).coalesce(1)
+    whole = sorted(map(str, language.predict(frame, model).collect()))
+    batch = frame.select("doc_id", "text").toArrow().to_batches()
+    monkeypatch.setattr(language, "BLOCK_BYTES", 500)
+    parts = [r for b in language._predict(iter(batch), model, True) for r in b.to_pylist()]
+    for r in parts:
+        r["spans"] = [tuple(s.values()) for s in r["spans"]]
+    want = [(r.doc_id, r.lang_pred, r.score, [tuple(s) for s in r.spans]) for r in language.predict(frame, model).collect()]
+    assert sorted(tuple(r.values()) for r in parts) == sorted(want) and whole
