@@ -250,7 +250,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, classifier: SpanClassifier | None = None) -> DataFrame:
     """``docs`` with each span of personal data in text replaced by its kind in brackets, of overlapping ones the first; n_chars, if there, counts the new text. All columns stay, nulls too."""
-    classifier = classifier or fit(candidates(docs.select("text")))
+    classifier = classifier or fit(cut(candidates(docs.select("text")).select("spans")))  # found once and kept without the texts, as what is read of them would be found anew
     rows = candidates(docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))).withColumn("spans", F.expr(f"array_sort(transform(filter(spans, s -> s.base OR {classifier.sql('s')}), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     masked = F.expr(f"""CASE WHEN size(spans) = 0 THEN text ELSE aggregate(spans, named_struct('out', CAST(array() AS ARRAY<STRING>), 'at', 0L),
