@@ -13,7 +13,8 @@ OUTPUT = "session long, ord long, media_time double"
 
 
 def clock(events: DataFrame, duration: float, late: str = "10 minutes") -> DataFrame:
-    """Media time before each event of a streaming frame (session, ord, at, kind, value, ts); a session without events for ``late`` of event time is forgotten. Events with an ord at or before the last one seen are dropped."""
+    """Media time before each event of a streaming frame (session, ord, at, kind, value, ts); a session without events for ``late`` of event time is forgotten. An event whose ord isn't past the last one seen moves nothing; its row has no media time."""
+    patience = events.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL '{late}')").first()[0]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -24,6 +25,7 @@ def clock(events: DataFrame, duration: float, late: str = "10 minutes") -> DataF
         out = []
         for ordinal, at, kind, value in zip(rows["ord"], rows["at"], rows["kind"], rows["value"], strict=True):
             if ordinal <= last:
+                out.append((int(key[0]), int(ordinal), None))
                 continue
             now = min(duration, media + max(0.0, at - anchor)) if running else media
             if running and now >= duration:
@@ -36,7 +38,7 @@ def clock(events: DataFrame, duration: float, late: str = "10 minutes") -> DataF
             elif kind == "pause":
                 running = False
         state.update((bool(running), float(media), float(anchor), last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + patience)
         yield pd.DataFrame(out, columns=["session", "ord", "media_time"])
 
     timed = events.withWatermark("ts", late)

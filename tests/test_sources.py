@@ -35,3 +35,13 @@ def test_streamed_clock_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.ord: r.media_time for r in spark.table("clock_out").collect()}
     assert got == {0: 0.0, 1: 3.0, 2: 4.0, 3: 3.0, 4: 3.0}
+
+
+def test_streamed_clock_marks_late_events(spark, tmp_path):
+    parts = [[(1, 0, 0.0, "start", 1.0), (1, 2, 2.0, "tick", 0.0)], [(1, 1, 1.0, "tick", 0.0), (1, 3, 3.0, "tick", 0.0)]]
+    for i, part in enumerate(parts):
+        pd.DataFrame([(*r, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=r[2])) for r in part], columns=["session", "ord", "at", "kind", "value", "ts"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"{i}.parquet")
+    stream = spark.readStream.schema("session long, ord long, at double, kind string, value double, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    query = clock(stream.withColumn("ts", stream["ts"].cast("timestamp")), 9.0, late="90 seconds").writeStream.format("memory").queryName("late_out").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.ord: r.media_time for r in spark.table("late_out").collect()} == {0: 0.0, 2: 3.0, 1: None, 3: 4.0}
