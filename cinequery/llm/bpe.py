@@ -33,7 +33,7 @@ def byte_letters() -> list[str]:
 
 LETTERS = byte_letters()
 #: Chunks and words, and pairs of tokens, that a task remembers.
-LIMIT, PAIRS = 600_000, 600_000
+LIMIT, PAIRS = 450_000, 450_000
 
 
 class WordBPE:
