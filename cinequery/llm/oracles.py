@@ -24,6 +24,24 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
+OP13 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(""" + _LOW.format("coalesce(text, '')") + r""", '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS f
+      FROM w, (VALUES (1), (2), (3), (4), (5)) widths(k), unnest(range(1, len(ws) - k + 2)) t(i) WHERE len(ws) >= k GROUP BY ALL HAVING count(*) >= 100),
+parts AS (SELECT lang, phrase, f AS a, j, array_to_string(list_slice(string_split(phrase, ' '), 1, j), ' ') AS first, array_to_string(list_slice(string_split(phrase, ' '), j + 1, k), ' ') AS rest
+         FROM f, unnest(range(1, k)) t(j) WHERE k > 1),
+cuts AS (SELECT parts.*, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+         FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = first JOIN f y ON y.lang = parts.lang AND y.phrase = rest JOIN total ON total.lang = parts.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT * FROM lowest p WHERE NOT EXISTS (SELECT 1 FROM f e WHERE e.lang = p.lang AND e.f >= p.a AND e.k > 2 AND e.phrase <> p.phrase AND contains(' ' || e.phrase || ' ', ' ' || p.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op5_decontamination": OP5,
+    "op13_collocations": OP13,
 }
