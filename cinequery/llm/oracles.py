@@ -24,6 +24,30 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = lambda n_chars: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+#: crc32 of ``id``, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(id, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, again: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS tree, {_LEAF("n_chars")} AS leaf, {_LEAF("(n_chars + 1)")} AS altered, CAST(doc_id AS VARCHAR) AS id FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, {_CRC} % 7 = 0 AS tampered FROM d),
+nodes AS (SELECT tree, 0 AS level, pos, leaf AS h FROM p
+    UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, max(pos) OVER (PARTITION BY tree) AS most FROM nodes) WHERE most > 0 GROUP BY tree, level, pos // 2),
+height AS (SELECT tree, max(level) AS levels FROM nodes GROUP BY tree),
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS tree_pos FROM nodes JOIN height USING (tree) WHERE level = levels),
+tops AS (SELECT 0 AS level, tree_pos AS pos, subroot AS h FROM sub
+    UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, max(pos) OVER () AS most FROM tops) WHERE most > 0 GROUP BY level, pos // 2),
+steps AS (SELECT doc_id, k, pos >> k AS i, tree, false AS upper FROM p JOIN height USING (tree), unnest(range(levels)) t(k)
+    UNION ALL SELECT doc_id, 100 + k, tree_pos >> k, tree, true FROM p JOIN sub USING (tree), unnest(range((SELECT max(level) FROM tops))) t(k)),
+ways AS (SELECT steps.*, coalesce(n.h, t.h) AS h FROM steps LEFT JOIN nodes n ON NOT upper AND n.tree = steps.tree AND n.level = k AND n.pos = xor(i, 1) LEFT JOIN tops t ON upper AND t.level = k - 100 AND t.pos = xor(i, 1)),
+proofs AS (SELECT doc_id, coalesce(string_agg(h, '' ORDER BY k), '') AS proof, list(CASE WHEN h IS NULL THEN '-' WHEN i % 2 = 1 THEN '<' || h ELSE '>' || h END ORDER BY k) AS way FROM ways GROUP BY doc_id),
+folded AS (SELECT p.*, subroot, (SELECT h FROM tops ORDER BY level DESC LIMIT 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(CASE WHEN tampered THEN altered ELSE leaf END, coalesce(way, CAST([] AS VARCHAR[]))), lambda acc, s: sha256(CASE s[1] WHEN '<' THEN s[2:] || acc WHEN '>' THEN acc || s[2:] ELSE acc END)) AS folded_root
+    FROM p JOIN sub USING (tree) LEFT JOIN proofs USING (doc_id))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 OP13 = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(""" + _LOW.format("coalesce(text, '')") + r""", '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
@@ -43,5 +67,6 @@ FROM ranked WHERE rank <= 2000
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": OP5,
+    "op11_merkle_manifest": OP11,
     "op13_collocations": OP13,
 }
