@@ -1,14 +1,17 @@
 """Collocations: phrases whose words keep company more often than their parts would by chance.
 
-The n-grams of a text become rows, counted per language by hash aggregation. A phrase is frequent
+The n-grams of a text become rows, counted per language by hash aggregation. What cannot reach the
+count asked for is left out of the rows, so the result is that of all n-grams: a phrase is frequent
 only if each phrase within it is, so words are counted first, then the pairs of frequent words, then
-what is longer and made of frequent pairs; what is left out of the rows cannot reach the count asked
-for, so the result is that of all n-grams. Scores come from joins with the counts of the parts, in
-decimals; phrases that a longer one explains leave by an anti-join with one-word extensions.
+what is longer and made of frequent pairs; and before phrases become rows their hashes are counted in
+a sketch, whose counters are never less than the counts of their phrases. Scores come from joins with
+the counts of the parts, in decimals; phrases that a longer one explains leave by an anti-join with
+one-word extensions.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +31,10 @@ BLANKS = np.array([b in (0x20, 0x09) for b in range(256)])
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Bits of one row of a filter while it is built, as Spark's bitmap aggregate has them.
 PAGE = 32768
+#: Counters of the sketch that rules out phrases before they become rows, and how many phrases a task holds until it packs them.
+COUNTERS, HELD = 1 << 28, 2 << 20
+#: Copies of a language's total.
+COPIES = 64
 SCHEMA = "lang string, n int, phrase string, f long"
 
 
@@ -87,39 +94,96 @@ def _strings(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(to.tobytes()), pa.py_buffer(what.tobytes())).cast(pa.string())
 
 
-def _counted(batches: Iterator[pa.RecordBatch], widths: list[int], known: Filter | None) -> Iterator[pa.RecordBatch]:
-    """lang, n, phrase, f: each block's phrases of these widths, those out of the question left out, with their number. Where words are counted, also n = 0: all of a language."""
+class Block:
+    """The words of some texts, and which of their phrases may be frequent."""
+
+    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.names, language = _language(rows)
+        self.row, self.piece, self.starts, self.ends, self.words, self.low = _pieces(data, offsets)
+        self.language = language[self.row]
+
+    def alive(self, widths: list[int], known: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Width, places and hashes of the phrases of one piece whose parts of ``known``'s width all pass it."""
+        first, n = known.width if known else 1, len(self.words)
+        alive = self.piece[: max(0, n - first + 1)] == self.piece[first - 1 :]
+        if known:
+            alive = alive & known.holds(_codes(self.words, first) ^ self.language[: len(alive)])
+        for width in range(first, widths[-1] + 1):
+            if width > first:
+                alive = alive[:-1] & alive[1:] & (self.piece[: max(0, n - width + 1)] == self.piece[width - 1 :])
+            if width in widths:
+                places = np.flatnonzero(alive)
+                yield width, places, _codes(self.words, width)[places] ^ self.language[places]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, 4 << 20):
-            names, language = _language(rows)
-            row, piece, starts, ends, h, low = _pieces(data, offsets)
-            if not len(starts):
-                continue
-            text, at = _written(low, starts, ends)
-            language = language[row]
-            first = known.width if known else 1
-            alive = np.ones(len(h), bool)
-            if known:
-                whole = piece[: len(h) - first + 1] == piece[first - 1 :] if len(h) >= first else np.zeros(0, bool)
-                alive = whole & known.holds(_codes(h, first) ^ language[: len(whole)])
-            for width in range(first, widths[-1] + 1):
-                if width > first:
-                    same = piece[: len(alive) - 1] == piece[width - 1 :] if len(alive) else alive
-                    alive = alive[:-1] & alive[1:] & same
-                if width not in widths:
-                    continue
-                places = np.flatnonzero(alive)
-                if not len(places):
-                    break
-                codes = _codes(h, width)[places] ^ language[places]
-                _, one, number = np.unique(codes, return_index=True, return_counts=True)
-                one = places[one]
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(row[one])), pa.array(np.full(len(one), width, np.int32)), _strings(text, at[one], at[one + width] - 1), pa.array(number.astype(np.int64))], names=["lang", "n", "phrase", "f"]
-                )
-            if known is None:
-                _, one, number = np.unique(language, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row[one])), pa.array(np.zeros(len(one), np.int32)), pa.nulls(len(one), pa.string()), pa.array(number.astype(np.int64))], names=["lang", "n", "phrase", "f"])
+            block = Block(rows, data, offsets)
+            if len(block.words):
+                yield block
+
+
+def _counted(batches: Iterator[pa.RecordBatch], widths: list[int], known: Filter | None, likely: Filter | None) -> Iterator[pa.RecordBatch]:
+    """lang, n, phrase, f: each block's phrases of these widths, those out of the question left out, with their number. Where words are counted, also n = 0: all of a language."""
+    columns = ["lang", "n", "phrase", "f"]
+    for block in _blocks(batches):
+        text, at = _written(block.low, block.starts, block.ends)
+        for width, places, codes in block.alive(widths, known):
+            if likely:
+                passed = likely.holds(codes)
+                places, codes = places[passed], codes[passed]
+            _, one, number = np.unique(codes, return_index=True, return_counts=True)
+            one = places[one]
+            yield pa.RecordBatch.from_arrays([block.names.take(pa.array(block.row[one])), pa.array(np.full(len(one), width, np.int32)), _strings(text, at[one], at[one + width] - 1), pa.array(number.astype(np.int64))], names=columns)
+        if known is None:
+            _, one, number = np.unique(block.language, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([block.names.take(pa.array(block.row[one])), pa.array(np.zeros(len(one), np.int32)), pa.nulls(len(one), pa.string()), pa.array(number.astype(np.int64))], names=columns)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], widths: list[int], known: Filter, least: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """page, entries: how many phrases fall to each place of a sketch of ``bits`` counters, up to ``least``, some millions at a time: distances of the places met and their counts, packed."""
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        places, number = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        page, within = places // PAGE, places % PAGE
+        first = np.flatnonzero(np.diff(page, prepend=-1))
+        steps = np.diff(within, prepend=0)
+        steps[first] = within[first]
+        steps, number = steps.astype(np.uint16), np.minimum(number, least).astype(np.uint32)
+        to = [*first[1:].tolist(), len(page)]
+        packed = [zlib.compress(steps[a:b].tobytes() + number[a:b].tobytes(), 1) for a, b in zip(first.tolist(), to, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(page[first]), pa.array(packed, pa.binary())], names=["page", "entries"])
+
+    for block in _blocks(batches):
+        for _, _, codes in block.alive(widths, known):
+            held.append((codes & np.uint64(bits - 1)).astype(np.int64))
+        if sum(map(len, held)) > HELD:
+            yield out()
+    if sum(map(len, held)):
+        yield out()
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """page, bits of the counters that reach ``least``. Rows come by page."""
+    page, sums = None, np.zeros(PAGE, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], names=["page", "bits"])
+
+    for batch in batches:
+        for number, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if number != page:
+                if page is not None and (sums >= least).any():
+                    yield out()
+                page, sums = number, np.zeros(PAGE, np.int64)
+            raw = zlib.decompress(entries)
+            n = len(raw) // 6
+            sums[np.cumsum(np.frombuffer(raw[: 2 * n], np.uint16), dtype=np.int64)] += np.frombuffer(raw[2 * n :], np.uint32)
+    if page is not None and (sums >= least).any():
+        yield out()
 
 
 def _slots(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -138,19 +202,29 @@ def fitted(frequent: DataFrame, width: int) -> Filter:
     while bits < min(MOST_BITS, BITS_EACH * frequent.count()):
         bits *= 2
     pages = frequent.select("lang", "phrase").mapInArrow(lambda batches: _slots(batches, width, bits), "page long, bit long").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return _gathered(pages, width, bits)
+
+
+def _gathered(pages: DataFrame, width: int, bits: int) -> Filter:
     out = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
     for page in pages.toLocalIterator():
         out[page.page] = np.frombuffer(page.bits, np.uint8)
     return Filter(width, out.reshape(-1))
 
 
-def counts(docs: DataFrame, least: int, longest: int) -> DataFrame:
+def counts(docs: DataFrame, least: int, longest: int, bits: int = COUNTERS) -> DataFrame:
     """lang, n, phrase, f: how often each phrase of 1 to ``longest`` words occurs within pieces, where that is ``least`` times or more; n = 0 has all words of a language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
+    context = texts.sparkSession.sparkContext
+
     def level(widths: list[int], known: Filter | None) -> DataFrame:
-        shared = texts.sparkSession.sparkContext.broadcast(known)
-        grams = texts.mapInArrow(lambda batches: released(_counted(batches, widths, shared.value)), SCHEMA)
+        shared, likely = context.broadcast(known), context.broadcast(None)
+        if known:
+            entries = texts.mapInArrow(lambda batches: released(_sketched(batches, widths, shared.value, least, bits)), "page long, entries binary")
+            pages = entries.repartition("page").sortWithinPartitions("page").mapInArrow(lambda batches: _summed(batches, least), "page long, bits binary")
+            likely = context.broadcast(_gathered(pages, widths[0], bits))
+        grams = texts.mapInArrow(lambda batches: released(_counted(batches, widths, shared.value, likely.value)), SCHEMA)
         return cut(grams.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0)))
 
     found = level([1], None)
@@ -167,8 +241,10 @@ def scored(known: DataFrame) -> DataFrame:
     cuts = known.where("n > 1").select("lang", "phrase", F.col("n").alias("words"), F.col("f").alias("a"), words.alias("w"), F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "words", "a", "k", F.array_join(F.expr("slice(w, 1, k)"), " ").alias("first"), F.array_join(F.expr("slice(w, k + 1, words - k)"), " ").alias("rest"))
     part = lambda name, f: known.where("n > 0").select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    total = known.where("n = 0").select("lang", F.col("f").alias("n"))
-    cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(total, "lang")
+    # Languages are few and hot: their totals are repeated, and phrases dealt over the copies.
+    total = known.where("n = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
+    cuts = cuts.withColumn("copy", F.pmod(F.xxhash64("phrase"), F.lit(COPIES)).cast("int")).join(total, ["lang", "copy"])
+    cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
     wide = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     cuts = cuts.withColumn("score", F.expr(f"({wide('a')} * {wide('n')} * 1000) div ({wide('l')} * {wide('r')})"))
     lowest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "words", "a", "l", "r", "n")).alias("best"))
@@ -199,7 +275,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: i
     ids and further columns are not read. An empty table gives an empty result. A text is held
     whole by a task, with some 60 bytes for each of its own.
 
-    Each language's best of many parts are ranked first, so that no task ranks a whole language.
+    Each language's best of many parts are ranked first, so that no task ranks a whole language. The
+    sketch has COUNTERS counters, 32 MB as bits: it rules out nearly all rare phrases up to some ten
+    billion words, for ``least`` of 100; with more words for each of ``least`` it rules out fewer, and
+    more rows are counted.
     """
     phrases = unexplained(cut(scored(counts(docs, least, longest))), percent)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
