@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinequery.llm import ann, bpe, collocation, decontaminate, language, lattice, merkle, pieces, pii, shard, simhash, toxicity
+from cinequery.llm import ann, bpe, collocation, decontaminate, language, lattice, licences, merkle, pieces, pii, shard, simhash, toxicity
 from cinequery.llm.common import read, remainder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -73,8 +73,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(documents(spark, sf_dir))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(documents(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_simhash, op3_bpe_trie, op4_pii, op5_decontamination, op6_token_counts, op7_posting_lists, op8_language, op9_toxicity, op10_lattice_lm, op11_merkle_manifest, op13_collocations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_shards, op2_simhash, op3_bpe_trie, op4_pii, op5_decontamination, op6_token_counts, op7_posting_lists, op8_language, op9_toxicity, op10_lattice_lm, op11_merkle_manifest, op12_license_scan, op13_collocations)}
