@@ -3,7 +3,8 @@
 A row of macroblocks is a unit of work, as only its own prediction runs along it. The rows of an
 Arrow batch that share their parameters advance together: each step of the loop reads the next
 symbol of every row that isn't done, so the loop's length is that of the longest row, not their sum.
-The code tables and weights of a profile are parameters (``RowTables``); none is built in.
+The code tables and weights of a profile are parameters (``RowTables``); those of the known profiles
+are in ``code_tables.TABLES``.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinequery.functions import header as H
 from cinequery.functions import signal as S
 from cinequery.functions.binary import cut
 from cinequery.operators.decode import CodeTable, inverse_blocks
+from cinequery.operators.settle import settled
 
 #: Places of the coefficients of a block in the order they are coded.
 ZIGZAG = np.array([
@@ -193,19 +195,24 @@ def strips(samples: np.ndarray, crossed: np.ndarray, is444: bool) -> list[np.nda
     return planes
 
 
+def _alike(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes | None], tuple]]:
+    """Rows of a batch that are decoded in step: their places, bytes and what they share, so many that their coefficients keep within COEFFICIENTS; only their bytes are taken out of the batch."""
+    shape = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("header_cid", "macroblock_width", "bit_depth", "is444", "mbaff")), strict=True))
+    data = batch.column(batch.schema.get_field_index("bytes"))
+    for kind in sorted(set(shape)):
+        which = [k for k, s in enumerate(shape) if s == kind]
+        step = max(1, min(TOGETHER, COEFFICIENTS // (kind[1] * 12 * 64 * 8)))
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            yield part, [data[k].as_py() for k in part], kind
+
+
 def _decode(batches: Iterator[pa.RecordBatch], tables: dict[int, RowTables], keys: int) -> Iterator[pa.RecordBatch]:
     names = ["y", "cb", "cr", "macroblocks", "code"]
     types = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
     for batch in batches:
-        columns = batch.to_pydict()
-        shape = list(zip(*(columns[c] for c in ("header_cid", "macroblock_width", "bit_depth", "is444", "mbaff")), strict=True))
-        for kind in sorted(set(shape)):
-            cid, width, depth, is444, mbaff = kind
-            which = [k for k, s in enumerate(shape) if s == kind]
-            step = max(1, min(TOGETHER, COEFFICIENTS // (width * 12 * 64 * 8)))
-            for at in range(0, len(which), step):
-                part = which[at : at + step]
-                rows = [columns["bytes"][k] for k in part]
+        for part, rows, (cid, width, depth, is444, mbaff) in _alike(batch):
+            if part:
                 out, crossed, done, code = decode_rows([r or b"" for r in rows], tables[cid], width, depth, is444, mbaff)
                 code = np.where([r is None for r in rows], 1, code)
                 samples = inverse_blocks(out.reshape(-1, 64), depth).astype(np.uint8 if depth == 8 else "<u2").reshape(out.shape)
@@ -231,16 +238,48 @@ def coded_rows(frames: DataFrame, key: str, packet: str = "packet") -> DataFrame
     agree = fields.groupBy(key).agg(F.count_if(F.col("ok") & F.col("interlaced") & (F.col("header_cid") == F.col("whole_cid"))).alias("good"), F.count_distinct("parity").alias("parities"))
     fields = fields.join(agree.where("good = 2 AND parities = 2").select(key), key, "left_semi")
     units = single.select(key, packet, "unit", "parity", "ok", "data_offset", *kept).unionByName(fields.select(key, packet, "unit", "parity", "ok", "data_offset", *kept))
-    units = units.withColumn("piece", F.struct(key, "unit"))
-    spans = H.row_spans(units, "piece", packet).select(F.col(f"piece.{key}").alias(key), "piece.unit", "row", "first", "length", "valid")
-    bytes_ = F.when(F.col("valid"), cut(packet, F.col("first"), F.col("length")))
-    return units.join(spans, [key, "unit"]).select(key, "unit", "parity", "row", bytes_.alias("bytes"), *kept)
+    # Rows are cut where their unit stands: its packet goes through no shuffle.
+    spans = H.row_spans(units.withColumn("piece", F.struct(key, "unit", "parity", packet, *kept)), "piece", packet)
+    bytes_ = F.when(F.col("valid"), cut(F.col(f"piece.{packet}"), F.col("first"), F.col("length")))
+    return spans.select(F.col(f"piece.{key}").alias(key), "piece.unit", "piece.parity", "row", bytes_.alias("bytes"), *(F.col(f"piece.{c}").alias(c) for c in kept))
+
+
+def _coefficients(batches: Iterator[pa.RecordBatch], tables: dict[int, RowTables], keys: int) -> Iterator[pa.RecordBatch]:
+    blocks = pa.list_(pa.struct([("dc", pa.int32()), ("places", pa.list_(pa.int32())), ("values", pa.list_(pa.int32()))]))
+    for batch in batches:
+        for part, rows, (cid, width, depth, is444, mbaff) in _alike(batch):
+            out, crossed, done, code = decode_rows([r or b"" for r in rows], tables[cid], width, depth, is444, mbaff)
+            code = np.where([r is None for r in rows], 1, code)
+            found = []
+            for k, c in enumerate(out):
+                row, at = np.nonzero(c[:, 1:])
+                borders = np.searchsorted(row, np.arange(len(c) + 1)).tolist()
+                values = c[row, at + 1].tolist()
+                places = (at + 1).tolist()
+                found.append([{"dc": dc, "places": places[a:b], "values": values[a:b]} for dc, a, b in zip(c[:, 0].tolist(), borders[:-1], borders[1:], strict=True)] if not code[k] else None)
+            own = batch.take(pa.array(part)).columns[:keys]
+            mixed = pa.array([m.tolist() for m in crossed], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, blocks), mixed, pa.array(code.tolist(), pa.int32())], names=[*batch.schema.names[:keys], "blocks", "crossed", "code"])
+
+
+def coefficients(frames: DataFrame, key: str, tables: dict[int, RowTables], packet: str = "packet") -> DataFrame:
+    """key, unit, parity, row, blocks, crossed, code of each row of macroblocks: of each block its constant term and the other coefficients that aren't 0 by their place in the block, and which macroblocks have mixed lines. blocks is null unless code (of RESULTS) is 0."""
+    rows = coded_rows(frames, key, packet).where(_known(tables))
+    given = frames.sparkSession.sparkContext.broadcast(tables)  # a table of a few hundred codes a profile
+    carried = [key, "unit", "parity", "row"]
+    able = rows.select(*carried, "header_cid", "macroblock_width", "bit_depth", "is444", "mbaff", "bytes")
+    schema = ", ".join(f"{c} {able.schema[c].dataType.simpleString()}" for c in carried) + ", blocks array<struct<dc:int,places:array<int>,values:array<int>>>, crossed array<boolean>, code int"
+    return able.mapInArrow(lambda batches: _coefficients(batches, given.value, len(carried)), schema)
+
+
+def _known(tables: dict[int, RowTables]) -> Column:
+    return F.col("header_cid").isin([int(k) for k in tables]) & ~(F.col("is444") & (F.col("bit_depth") == 8))
 
 
 def decode_strips(frames: DataFrame, key: str, tables: dict[int, RowTables], packet: str = "packet") -> DataFrame:
     """key, unit, parity, row and the decoded planes of each row of macroblocks (y, cb, cr: 16 lines), macroblocks done, and code (of RESULTS). Profiles without tables, and 4:4:4 in 8 bits, have code 1."""
     rows = coded_rows(frames, key, packet)
-    known = F.col("header_cid").isin([int(k) for k in tables]) & ~(F.col("is444") & (F.col("bit_depth") == 8))
+    known = _known(tables)
     carried = [key, "unit", "parity", "row", "bit_depth", "is444", "width", "height"]
     able = rows.where(known).select(*carried[:-4], "bit_depth", "is444", "width", "height", "header_cid", "macroblock_width", "mbaff", "bytes")
     given = frames.sparkSession.sparkContext.broadcast(tables)  # a table of a few hundred codes a profile
@@ -257,7 +296,7 @@ def decode(frames: DataFrame, key: str, tables: dict[int, RowTables], packet: st
     status is ok, the first row's fault as RESULTS names it, or what is wrong with the frame itself;
     planes are null unless it is ok. Fields are woven line by line.
     """
-    rows = decode_strips(frames, key, tables, packet)
+    rows = settled(decode_strips(frames, key, tables, packet))  # what follows reads them three times
     facts = rows.groupBy(key).agg(
         F.min_by("code", F.when(F.col("code") > 0, F.struct("unit", "row"))).alias("code"), F.count_if(F.col("code") == 0).alias("rows"), F.sum("macroblocks").alias("macroblocks"),
         *(F.first(c).alias(c) for c in ("bit_depth", "is444", "width")), (F.first("height") * F.max(F.when(F.col("parity").isNull(), 1).otherwise(2))).alias("height"),

@@ -8,8 +8,10 @@ from cinequery.functions import header as H
 from cinequery.functions import media as M
 from cinequery.functions import signal as S
 from cinequery.operators import decode, frame_decode
+from cinequery.operators.code_tables import TABLES
+from cinequery.operators.settle import settled
 from cinequery.plans.registry import query
-from cinequery.sources import frames
+from cinequery.sources import coded, frames
 from cinequery.sources.tables import read
 
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{'+'.join(v)}'" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v) for v in p) + ")" for p in H.PROFILES)
@@ -398,10 +400,44 @@ def huffman_lut(spark, sf_dir):
     return spark.range(65536).select(F.col("id").cast("int").alias("prefix")).join(best, "prefix", "left").fillna(-1, ["symbol"]).fillna(0, ["length"])
 
 
-@query("row_table_params", f"SELECT p_partkey, CASE WHEN profile IS NOT NULL THEN CASE WHEN depth = 12 THEN 6 WHEN depth = 10 THEN 6 ELSE 4 END END AS index_bits, CASE WHEN profile IS NOT NULL AND depth = 12 THEN 4 END AS level_shift FROM ({JOINED})")
+_PARAMETERS = ", ".join(f"({cid}, {t.index_bits}, {t.bias}, {t.shift})" for cid, t in sorted(TABLES.items()))
+
+
+@query(
+    "row_table_params",
+    f"""SELECT p_partkey, CASE WHEN depth = 12 THEN 6 ELSE index_bits END AS index_bits, CASE WHEN depth = 12 THEN CASE WHEN h444 = 1 THEN 32 ELSE 8 END ELSE bias END AS level_bias, CASE WHEN depth = 12 THEN 4 ELSE shift END AS level_shift
+    FROM ({JOINED}) f LEFT JOIN (VALUES {_PARAMETERS}) t(cid, index_bits, bias, shift) ON t.cid = f.hcid WHERE t.cid IS NOT NULL""",
+)
 def row_table_params(spark, sf_dir):
-    known = F.col("profile").isNotNull()
-    return parsed(spark, sf_dir).select("p_partkey", F.when(known, F.when(F.col("bit_depth") == 8, 4).otherwise(6)).alias("index_bits"), F.when(known & (F.col("bit_depth") == 12), 4).alias("level_shift"))
+    """Extra bits, bias and shift that decode each frame of a known profile, as its tables give them at the frame's depth."""
+    rows = [(cid, depth, is444, *(lambda t: (t.index_bits, t.bias, t.shift))(t.at_depth(depth, is444))) for cid, t in TABLES.items() for depth in (8, 10, 12) for is444 in (False, True)]
+    chosen = F.broadcast(spark.createDataFrame(rows, "header_cid long, bit_depth int, is444 boolean, index_bits int, level_bias int, level_shift int"))  # six rows a profile
+    return parsed(spark, sf_dir).join(chosen, ["header_cid", "bit_depth", "is444"]).select("p_partkey", "index_bits", "level_bias", "level_shift")
+
+
+#: Weights of each profile's tables, the place in a block that stands for each coded place, and the component of each block of a macroblock.
+_WEIGHTS = ", ".join(f"({cid}, {c}, {at}, {w})" for cid in sorted({k.cid for k in coded.KINDS}) for c, line in enumerate((TABLES[cid].luma, TABLES[cid].chroma)) for at, w in enumerate(line))
+_PLACES = ", ".join(map(str, frame_decode.ZIGZAG.tolist()))
+COMPONENTS = f"SELECT *, CASE WHEN is444 = 1 THEN block // 2 % 3 WHEN block // 2 % 2 = 1 THEN 1 + block % 2 ELSE 0 END AS component FROM ({coded.BLOCKS})"
+DC = f"SELECT *, CAST((1 << (depth + 2)) + sum(delta * CASE WHEN depth = 12 THEN 4 ELSE 1 END) OVER (PARTITION BY frame, unit, mb_row, component ORDER BY block) AS BIGINT) AS dc FROM ({COMPONENTS})"
+LEVELS = f"""SELECT frame, unit, mb_row, block, [{_PLACES}][CAST(s.spot + 1 AS BIGINT)] AS place, CASE WHEN minus <> unit THEN -1 ELSE 1 END * (((base + extra * 128) * scale * weight + (scale * weight >> 1) + CASE WHEN used < 32 OR weight <> used THEN used ELSE 0 END) >> moved) AS value
+FROM (SELECT b.*, CASE WHEN depth = 12 THEN CASE WHEN is444 = 1 THEN 32 ELSE 8 END ELSE t.bias END AS used, CASE WHEN depth = 12 THEN 4 ELSE t.shift END AS moved FROM ({COMPONENTS}) b JOIN (VALUES {_PARAMETERS}) t(table_cid, index_bits, bias, shift) ON table_cid = b.cid) b
+JOIN ({coded.SYMBOLS}) s ON l_partkey = p_partkey JOIN (VALUES {_WEIGHTS}) w(weight_cid, chroma, weight_at, weight) ON weight_cid = cid AND chroma = least(component, 1) AND weight_at = s.spot"""
+
+
+@query(
+    "entropy_decode",
+    f"""SELECT d.frame, d.unit, d.mb_row, d.block, dc, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(placed, 0) AS placed, mbaff = 1 AND d.mb_row % 2 = 1 AS crossed FROM ({DC}) d
+    LEFT JOIN (SELECT frame, unit, mb_row, block, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * place) AS BIGINT) AS placed FROM ({LEVELS}) GROUP BY ALL) USING (frame, unit, mb_row, block)""",
+)
+def entropy_decode(spark, sf_dir):
+    """Of each coded block of frames of thirteen kinds its constant term, and number and sums of its other coefficients, from the bits of its row."""
+    rows = frame_decode.coefficients(settled(coded.packets(spark, sf_dir)), "frame", TABLES).where("code = 0")
+    per = F.when(F.size("blocks") / F.size("crossed") == 12, 12).otherwise(8)  # what is coded stands in a row's first macroblock
+    blocks = rows.select("frame", "unit", F.col("row").alias("mb_row"), F.col("crossed")[0].alias("crossed"), F.posexplode(F.slice("blocks", F.lit(1), per)).alias("block", "b"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    placed = F.zip_with("b.places", "b.values", lambda p, v: p.cast("long") * v)
+    return blocks.select("frame", "unit", "mb_row", "block", F.col("b.dc").cast("long").alias("dc"), F.size("b.places").cast("long").alias("n"), total("b.values").alias("total"), total(placed).alias("placed"), "crossed")
 
 
 #: A code for synthetic frames: differences of a fixed four-bit length, blocks that end at once.
@@ -449,6 +485,30 @@ def frame_decode_query(spark, sf_dir):
     return rows.select("frame", F.when(ok, F.col("p.plane")).alias("plane"), F.when(ok, total).alias("total"), "status")
 
 
+_SIZES = ", ".join(f"({k}, {x.width})" for k, x in enumerate(coded.KINDS))
+#: Samples of the frames of one macroblock a row: the coefficients, and their transform by columns of a row and rows of a column.
+_COEFFICIENTS = f"SELECT frame, unit, mb_row, block, 0 AS place, dc AS value FROM ({DC}) UNION ALL SELECT frame, unit, mb_row, block, place, value FROM ({LEVELS})"
+_LINES = f"SELECT frame, unit, mb_row, block, place // 8 AS v, x, sum(CAST(value AS DOUBLE) * b ORDER BY u) AS s FROM ({_COEFFICIENTS}) JOIN (VALUES {_BASIS}) k(x, u, b) ON u = place % 8 WHERE frame % {len(coded.KINDS)} IN ({', '.join(str(k) for k, x in enumerate(coded.KINDS) if x.width == 16)}) GROUP BY ALL"
+_SAMPLES = f"SELECT frame, unit, mb_row, block, q.x, y, floor(sum(s * b ORDER BY v) / 4 + 0.5) AS sample FROM ({_LINES}) q JOIN (VALUES {_BASIS}) k(y, u, b) ON u = q.v GROUP BY ALL"
+_SUMS = f"SELECT frame, component, CAST(sum(least((1 << depth) - 1, greatest(0, sample))) AS BIGINT) AS total FROM ({_SAMPLES}) JOIN (SELECT frame, unit, mb_row, block, component, depth FROM ({COMPONENTS})) USING (frame, unit, mb_row, block) GROUP BY ALL"
+
+
+@query(
+    "frame_planes",
+    f"""SELECT frame, plane, 'ok' AS status, CAST(units * (24 // blocks) AS BIGINT) AS rows, CAST(units * (24 // blocks) * (w // 16) AS BIGINT) AS macroblocks, CAST(units * (24 // blocks) * 16 * w // CASE WHEN plane = 'y' OR is444 = 1 THEN 1 ELSE 2 END * CASE WHEN depth = 8 THEN 1 ELSE 2 END AS BIGINT) AS bytes, total
+    FROM (SELECT DISTINCT frame, kind, units, blocks, is444, depth FROM ({coded.BLOCKS})) JOIN (VALUES {_SIZES}) k(kind_number, w) ON kind_number = kind CROSS JOIN (VALUES ('y', 0), ('cb', 1), ('cr', 2)) p(plane, component) LEFT JOIN ({_SUMS}) USING (frame, component)""",
+)
+def frame_planes(spark, sf_dir):
+    """Size of each plane of frames of thirteen kinds, what was decoded, and of frames of one macroblock a row the sum of the samples."""
+    done = frame_decode.decode(settled(coded.packets(spark, sf_dir)), "frame", TABLES)
+    planes = F.explode(F.array(*(F.struct(F.lit(p).alias("plane"), F.col(p).alias("bytes")) for p in ("y", "cb", "cr"))))
+    rows = done.select("frame", "status", F.col("rows").cast("long").alias("rows"), F.col("macroblocks").cast("long").alias("macroblocks"), "width", "bit_depth", planes.alias("p"))
+    sample = F.when(F.col("bit_depth") == 8, 1).otherwise(2)
+    value = lambda i: F.conv(F.hex(F.substring("p.bytes", i + 1, F.lit(1))), 16, 10).cast("long") * F.when(i % sample == 0, 1).otherwise(256)
+    total = F.aggregate(F.sequence(F.lit(0), F.octet_length("p.bytes") - 1), F.lit(0).cast("long"), lambda s, i: s + value(i))
+    return rows.select("frame", "p.plane", "status", "rows", "macroblocks", F.octet_length("p.bytes").cast("long").alias("bytes"), F.when(F.col("width") == 16, total).alias("total"))
+
+
 @query(
     "plane_convert",
     """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 2 END AS bytes, CASE event_id % 3 WHEN 0 THEN a WHEN 1 THEN (a + b + 1) // 2 END AS first, CASE event_id % 3 WHEN 0 THEN b WHEN 1 THEN (a + b + 1) // 2 END AS last
