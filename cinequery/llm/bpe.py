@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def byte_letters() -> list[str]:
 
 
 LETTERS = byte_letters()
-#: Chunks and words, and pairs of tokens, that a task remembers.
-LIMIT, PAIRS = 450_000, 450_000
+#: Bytes of chunks and words, and pairs of tokens, that a worker remembers; an entry counts with its table's share, some OVERHEAD bytes.
+MEMORY, PAIRS, OVERHEAD = 128 << 20, 300_000, 200
 
 
 class WordBPE:
@@ -95,27 +96,41 @@ class WordBPE:
 
 
 class Walker:
-    """Encodes words for one task. What it remembers is bounded: it starts anew beyond ``limit`` chunks or words, or ``pairs`` of tokens."""
+    """Encodes words for one worker. What it remembers is bounded: it starts anew beyond ``memory`` bytes or ``limit`` chunks and words, or ``pairs`` of tokens."""
 
-    def __init__(self, bpe: WordBPE, limit: int = LIMIT, pairs: int = PAIRS):
+    def __init__(self, bpe: WordBPE, limit: int | None = None, pairs: int = PAIRS, memory: int = MEMORY):
         from tokenizers.normalizers import NFC, Lowercase, Replace, Sequence
         from tokenizers import Regex
 
-        self.bpe, self.limit, self.pairs = bpe, limit, pairs
+        self.bpe, self.limit, self.pairs, self.memory = bpe, limit, pairs, memory
         self.entry = {t: bpe.vocabulary[t[:-1] + bpe.end] if t.endswith(" ") else bpe.vocabulary[t] for t in bpe.whole()}
         self.fits: dict[int, bool] = {}  # by both tokens' ids
         self.alone: dict[str, bool] = {}
         self.split = regex.compile(bpe.pattern).findall
         self.apart = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")").split
         self.library = Sequence([NFC(), Replace(Regex(r"\s+"), " "), Lowercase()])
-        self.words: dict[str, tuple[list[int], str]] = {}
+        self.names = pa.array([bpe.names.get(i, "") for i in range(max(bpe.names) + 1)], pa.string())
         self.forget()
 
     def forget(self) -> None:
-        """Chunks are numbered anew: each has its ids' place and number in one array, and its decoded text."""
+        """Chunks and words are numbered anew, in one table: each has its ids' place and number in one array."""
         self.number: dict = {}
         self.ids, self.begin, self.size = array("i"), array("q"), array("q")
-        self.text: list[str] = []
+        self.held = 0
+
+    def full(self) -> bool:
+        return self.held > self.memory or (self.limit is not None and len(self.number) > self.limit)
+
+    def add(self, key: str | tuple, ids: Iterable[int]) -> None:
+        self.number[key] = len(self.begin)
+        self.begin.append(len(self.ids))
+        self.ids.extend(ids)
+        self.size.append(len(self.ids) - self.begin[-1])
+        self.held += OVERHEAD + len(key if isinstance(key, str) else key[0]) + 4 * self.size[-1]
+
+    def of(self, key: str | tuple) -> array:
+        n = self.number[key]
+        return self.ids[self.begin[n] : self.begin[n] + self.size[n]]
 
     def compatible(self, key: int, left: str, right: str) -> bool:
         """Whether BPE keeps the border between two tokens, which ``key`` stands for."""
@@ -130,8 +145,8 @@ class Walker:
             known = self.alone[token] = len(self.bpe.merge(self.bpe.symbols(token))) == 1
         return known
 
-    def learn(self, new: Iterable[str]) -> None:
-        """Walks the trie of ``new`` words in order: sorted words that follow each other share their longest common prefix, whose states stay on the stack."""
+    def learn(self, new: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word and its ids. Walks the trie of ``new`` words in order: sorted words that follow each other share their longest common prefix, whose states stay on the stack."""
         letters = {word if word.isascii() and word.isprintable() else "".join([LETTERS[b] for b in word.encode()]): word for word in new}
         entry, tails, fits = self.entry, self.bpe.tails, self.fits
         states, marks, path = [""], [0], ""  # states[i]: the last token of the encoding of the path's first i letters; marks: its id
@@ -167,7 +182,7 @@ class Walker:
                 ids.append(marks[i])
                 i -= len(states[i])
             ids.reverse()
-            self.words[letters[mapped]] = ids, self.decode(ids)
+            yield letters[mapped], ids
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -192,24 +207,20 @@ class Walker:
     def pieces(normal: str) -> list[str]:
         return normal.split() if not regex.search("[\x1c-\x1f]", normal) else regex.split(r"\s+", normal.strip(" "))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """ids of all texts in one array, their offsets, and the decoded texts."""
         parts = [self.chunks(t) for t in texts]
-        if len(self.number) > self.limit:
+        if self.full():
             self.forget()
-        if len(self.words) > self.limit:
-            self.words.clear()
         fresh = [c for c in dict.fromkeys(chain.from_iterable(parts)) if c not in self.number]
         split = {c: ([c] if c.isascii() and c.isalpha() else self.split(c)) if isinstance(c, str) else [] for c in fresh}
-        self.learn({w for ws in split.values() for w in ws if w not in self.words})
+        # A word is kept under its own text if it is split into itself alone, as then it is the chunk's encoding too.
+        keys = {w: w if (w.isascii() and w.isalpha()) or self.split(w) == [w] else (w, 0) for ws in split.values() for w in ws}
+        for word, ids in self.learn({w for w, key in keys.items() if key not in self.number}):
+            self.add(keys[word], ids)
         for c in fresh:
-            self.number[c] = len(self.text)
-            found = [self.words[w] for w in split[c]] if isinstance(c, str) else [([self.bpe.special[c[0]]], c[0])]
-            ids, text = found[0] if len(found) == 1 else ([i for f in found for i in f[0]], " ".join([f[1] for f in found]))
-            self.begin.append(len(self.ids))
-            self.size.append(len(ids))
-            self.ids.extend(ids)
-            self.text.append(text)
+            if c not in self.number:
+                self.add(c, list(chain.from_iterable([self.of(keys[w]) for w in split[c]])) if isinstance(c, str) else [self.bpe.special[c[0]]])
         get = self.number.__getitem__
         numbers = [list(map(get, p)) for p in parts]
         which = np.fromiter(chain.from_iterable(numbers), np.int64, sum(map(len, numbers)))
@@ -218,12 +229,12 @@ class Walker:
         first = np.frombuffer(self.begin, np.int64)[which] - ends + n if len(which) else which
         ids = np.frombuffer(self.ids, np.int32)[np.repeat(first, n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int32)
         borders = np.append(0, ends)[np.cumsum([0, *map(len, numbers)])]
-        name = self.text.__getitem__
-        return ids, borders, [" ".join(filter(None, map(name, p))) for p in numbers]
+        return ids, borders, self.decoded(ids, borders)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The vocabulary's strings joined by blanks: the file has no decoder of its own."""
-        return " ".join([self.bpe.names[i] for i in ids])
+    def decoded(self, ids: np.ndarray, borders: np.ndarray) -> pa.Array:
+        """The vocabulary's strings of each text joined by blanks: the file has no decoder of its own."""
+        names = pa.LargeListArray.from_arrays(pa.array(borders.astype(np.int64)), self.names.take(pa.array(ids)))
+        return pc.binary_join(names, " ")
 
 
 def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.RecordBatch]:
@@ -234,7 +245,7 @@ def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.Reco
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             ids, ends, decoded = walker.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists, decoded.cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
