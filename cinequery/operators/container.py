@@ -9,32 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cinequery.functions.binary import be_i64, be_u64, be_uint, column, cut, hex_lower, safe_integer, signed_byte, utf16be
-from cinequery.operators.klv import ESSENCE_PREFIXES, INDEX_KEY, PARTITION_PREFIX
+from cinequery.operators.klv import ESSENCE_PREFIXES, PARTITION_PREFIX, SET_TYPES
 from cinequery.operators.settle import settled
-from cinequery.operators.stats import running
-
-#: The keys of metadata sets and their types.
-SET_TYPES = {
-    "060e2b34025301010d01010101012f00": "Preface",
-    "060e2b34025301010d01010101013000": "Identification",
-    "060e2b34025301010d01010101011800": "ContentStorage",
-    "060e2b34025301010d01010101013700": "SourcePackage",
-    "060e2b34025301010d01010101013600": "MaterialPackage",
-    "060e2b34025301010d01010101010f00": "Sequence",
-    "060e2b34025301010d01010101011100": "SourceClip",
-    "060e2b34025301010d01010101014400": "MultipleDescriptor",
-    "060e2b34025301010d01010101014200": "GenericSoundDescriptor",
-    "060e2b34025301010d01010101012800": "CDCIDescriptor",
-    "060e2b34025301010d01010101012900": "RGBADescriptor",
-    "060e2b34025301010d01010101014800": "WaveAudioDescriptor",
-    "060e2b34025301010d01010101014700": "AES3AudioDescriptor",
-    "060e2b34025301010d01010101015100": "MpegVideoDescriptor",
-    "060e2b34025301010d01010101013a00": "StaticTrack",
-    "060e2b34025301010d01010101013b00": "Track",
-    "060e2b34025301010d01010101011400": "TimecodeComponent",
-    "060e2b34025301010d01010101012300": "EssenceContainerData",
-    INDEX_KEY: "IndexTableSegment",
-}
+from cinequery.operators.stats import carried, running
+
 #: The most rows of a container that are taken before it is refused.
 LIMITS = {"metadata_sets": 100_000, "klv_packets": 2_000_000, "tracks": 1_024, "packets": 2_000_000, "metadata_bytes": 64 << 20, "resync_bytes": 16 << 20}
 
@@ -186,10 +164,9 @@ def descriptor(items: Column | str) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
-def carry_body_sid(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Each row with the body_sid of the last partition at or before it in its file, 0 before the first."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("body_sid", F.coalesce(F.last("partition_body_sid", True).over(w), F.lit(0).cast("long")))
+def carry_body_sid(rows: DataFrame, by: list[str], order: str, bucket: int = 100_000) -> DataFrame:
+    """Each row with the body_sid of the last partition at or before it in its file, 0 before the first: looked up within buckets of ``order`` after the last of those before, so that a file of any length is carried through in many tasks."""
+    return carried(rows, by, [order], "partition_body_sid", "body_sid", bucket).withColumn("body_sid", F.coalesce("body_sid", F.lit(0).cast("long")))
 
 
 TRACK = ["body_sid", "number"]

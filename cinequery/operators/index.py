@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cinequery.functions.binary import column
+from cinequery.operators.stats import carried
 
 #: Positions of a bucket of the range join.
 BUCKET = 128
@@ -100,11 +101,10 @@ def variable_slices(entries: DataFrame) -> DataFrame:
     return rows.where("ok").select("id", F.col("pos").alias("slice"), F.col("o").alias("slice_offset"), (F.col("past") - F.col("o")).alias("slice_length"))
 
 
-def owners(segments: DataFrame, partitions: DataFrame, by: list[str]) -> DataFrame:
-    """Each segment (offset, ...) with the offset of the last partition at or before it in its file: one ordered pass over both."""
+def owners(segments: DataFrame, partitions: DataFrame, by: list[str], bucket: int = 1 << 26) -> DataFrame:
+    """Each segment (offset, ...) with the offset of the last partition at or before it in its file: both in one order, carried within buckets of ``bucket`` bytes and from one to the next."""
     both = segments.select(*by, "offset", F.lit(None).cast("long").alias("p"), F.lit(1).alias("side")).unionByName(partitions.select(*by, "offset", F.col("offset").alias("p"), F.lit(0).alias("side")))
-    w = Window.partitionBy(*by).orderBy("offset", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("owner", F.last("p", True).over(w)).where("side = 1").select(*by, "offset", "owner")
+    return carried(both, by, ["offset", "side"], "p", "owner", bucket).where("side = 1").select(*by, "offset", "owner")
 
 
 def slice_kind(unit: Column | str, value_length: Column | str, elements: Column | str, n_entries: Column | str) -> Column:

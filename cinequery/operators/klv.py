@@ -8,14 +8,35 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The first bytes of every key, and of essence, partition and metadata-set keys; the primer's and the random index's key.
+#: The first bytes of every key, and of essence and partition keys; the primer's and the random index's key.
 KEY_PREFIX = bytes.fromhex("060e2b34")
 ESSENCE_PREFIXES = ("060e2b34010201010d010301", "060e2b34010201010e040301", "060e2b340102010a0e0f0301")
 PARTITION_PREFIX = "060e2b34020501010d01020101"
-SET_PREFIX = "060e2b34025301010d010101010"
 PRIMER_KEY = "060e2b34020501010d01020101050100"
 RANDOM_INDEX_KEY = "060e2b34020501010d01020101110100"
 INDEX_KEY = "060e2b34025301010d01020101100100"
+#: The keys of metadata sets and their types.
+SET_TYPES = {
+    "060e2b34025301010d01010101012f00": "Preface",
+    "060e2b34025301010d01010101013000": "Identification",
+    "060e2b34025301010d01010101011800": "ContentStorage",
+    "060e2b34025301010d01010101013700": "SourcePackage",
+    "060e2b34025301010d01010101013600": "MaterialPackage",
+    "060e2b34025301010d01010101010f00": "Sequence",
+    "060e2b34025301010d01010101011100": "SourceClip",
+    "060e2b34025301010d01010101014400": "MultipleDescriptor",
+    "060e2b34025301010d01010101014200": "GenericSoundDescriptor",
+    "060e2b34025301010d01010101012800": "CDCIDescriptor",
+    "060e2b34025301010d01010101012900": "RGBADescriptor",
+    "060e2b34025301010d01010101014800": "WaveAudioDescriptor",
+    "060e2b34025301010d01010101014700": "AES3AudioDescriptor",
+    "060e2b34025301010d01010101015100": "MpegVideoDescriptor",
+    "060e2b34025301010d01010101013a00": "StaticTrack",
+    "060e2b34025301010d01010101013b00": "Track",
+    "060e2b34025301010d01010101011400": "TimecodeComponent",
+    "060e2b34025301010d01010101012300": "EssenceContainerData",
+    INDEX_KEY: "IndexTableSegment",
+}
 #: Bytes of a track's first element that are kept, as many as a frame header has, and of a metadata value that are read at most.
 HEAD, MAX_VALUE = 0x280, 64 << 20
 #: Bytes of values of a batch.
@@ -105,7 +126,8 @@ def is_partition(key: str) -> bool:
 def contents(source: Reader, max_resync: int = 16 << 20, max_value: int = MAX_VALUE) -> Iterator[tuple]:
     """The rows of ``walk`` with what a container's metadata says: values of packs, items of sets, and of essence the body and the ordinal in its track; of a track's first element its first HEAD bytes.
 
-    What cannot be read is an error on its row: a value over ``max_value`` or a set whose items don't fit.
+    What cannot be read is an error on its row: a value over ``max_value`` or a set whose items don't
+    fit. Keys that are neither packs nor in SET_TYPES are passed over unread.
     """
     body_sid, elements = 0, {}
     for offset, key, field, at, length, after, error in walk(source, max_resync):
@@ -118,7 +140,7 @@ def contents(source: Reader, max_resync: int = 16 << 20, max_value: int = MAX_VA
             elements[track] = element + 1
             if not element:
                 value = source.read(at, min(HEAD, length))
-        elif (pack := is_partition(key) or key in (PRIMER_KEY, RANDOM_INDEX_KEY)) or key.startswith(SET_PREFIX) or key == INDEX_KEY:
+        elif (pack := is_partition(key) or key in (PRIMER_KEY, RANDOM_INDEX_KEY)) or key in SET_TYPES:
             if length > max_value:
                 error = "metadata value over the limit"
             elif pack:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cinequery.functions import binary as B
 from cinequery.operators import container as C
 from cinequery.operators import index as I
-from cinequery.operators import klv, validate
+from cinequery.operators import klv, stats, validate
 from cinequery.plans.registry import query
 from cinequery.sources.tables import held, read
 
@@ -305,10 +305,14 @@ def limits_check(spark, sf_dir):
     return C.limit_failures(count("tracks", "events").unionByName(count("packets", "lineitem")).unionByName(count("metadata_sets", "lineitem")))
 
 
-@query("group_collect", f"SELECT body_sid, number, count(*) AS n, string_agg(CAST(value_length AS VARCHAR), ',' ORDER BY ord) AS lengths FROM ({ESS}) GROUP BY ALL")
+#: Elements of a list of a track's values.
+LISTED = 256
+
+
+@query("group_collect", f"SELECT body_sid, number, CAST((r - 1) // {LISTED} AS BIGINT) AS chunk, count(*) AS n, string_agg(CAST(value_length AS VARCHAR), ',' ORDER BY ord) AS lengths FROM (SELECT *, row_number() OVER (PARTITION BY body_sid, number ORDER BY ord) AS r FROM ({ESS})) GROUP BY ALL")
 def group_collect(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "value_length")))
-    return essence(spark, sf_dir).groupBy(*C.TRACK).agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda e: e["value_length"].cast("string")), ",").alias("lengths"))
+    lists = stats.listed(essence(spark, sf_dir), C.TRACK, "ord", "value_length", 100_000, LISTED)
+    return lists.select(*C.TRACK, "chunk", F.size("list").cast("long").alias("n"), F.array_join(F.col("list").cast("array<string>"), ",").alias("lengths"))
 
 
 @query("count_per_track", f"SELECT body_sid, number, count(*) AS n FROM ({ESS}) GROUP BY ALL")
@@ -334,11 +338,10 @@ def contiguous_duration(spark, sf_dir):
     return I.contiguous(segments(spark, sf_dir), "length")
 
 
-@query("contiguous_entries", "SELECT user_id AS body_sid, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS entries FROM events GROUP BY user_id")
+@query("contiguous_entries", f"SELECT user_id AS body_sid, CAST((r - 1) // {LISTED} AS BIGINT) AS chunk, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS entries FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY ALL")
 def contiguous_entries(spark, sf_dir):
-    parts = events(spark, sf_dir).groupBy("user_id", F.expr("event_id div 500").alias("segment")).agg(F.sort_array(F.collect_list("event_id")).alias("entries"))
-    joined = parts.groupBy(F.col("user_id").alias("body_sid")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment", "entries"))), lambda s: s["entries"])).alias("e"))
-    return joined.select("body_sid", F.size("e").cast("long").alias("n"), F.array_join(F.col("e").cast("array<string>"), ",").alias("entries"))
+    lists = stats.listed(events(spark, sf_dir).select(F.col("user_id").alias("body_sid"), "event_id"), ["body_sid"], "event_id", "event_id", 10_000, LISTED)
+    return lists.select("body_sid", "chunk", F.size("list").cast("long").alias("n"), F.array_join(F.col("list").cast("array<string>"), ",").alias("entries"))
 
 
 RATE = "CASE WHEN number % 3 = 0 THEN 30000 WHEN number % 3 = 1 THEN 25 ELSE 60 END"
