@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from cinequery.functions import binary as B
 from cinequery.functions import header as H
-from cinequery.operators import klv
+from cinequery.operators import frame_scan, klv, probe
 from cinequery.plans.registry import query
 from cinequery.sources import frames
 from cinequery.sources.tables import ESSENCE_KEY, document_files, read
@@ -165,16 +165,45 @@ def le_samples(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", B.le_uint(b, 0, 1).alias("s8"), B.le_uint(b, 1, 2).alias("s16"))
 
 
-@query("first_header", "SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN CAST(p_partkey % 9 AS INTEGER) END AS found FROM part")
+@query("first_header", "SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN CAST(p_partkey % 700 AS BIGINT) END AS found FROM part")
 def first_header(spark, sf_dir):
-    padded = F.concat(F.expr("unhex(repeat('07', CAST(p_partkey % 9 AS INT)))"), F.col("packet"))
-    return frames.headers(spark, sf_dir).select("p_partkey", H.first_header(padded, 16).alias("found"))
+    padded = F.concat(F.expr("unhex(repeat('07', CAST(p_partkey % 700 AS INT)))"), F.col("packet"))
+    files = frames.headers(spark, sf_dir).select(F.col("p_partkey").alias("file"), F.lit(None).cast("string").alias("name"), padded.alias("payload"))
+    return probe.searched(files).select(F.col("file").alias("p_partkey"), F.col("header_offset").alias("found"))
+
+
+#: Files of a filler, for every third an atom, for every fifth one or two sample entries, and a frame's header.
+_GOOD = "k % 13 <> 0 AND k % 17 <> 0"
+_ENTRY = "k % 700 + CASE WHEN k % 3 = 0 THEN 12 ELSE 0 END"
+_NAMED = "k % 4 IN (0, 3)"
+
+
+@query(
+    "probe",
+    f"""SELECT k AS p_partkey, CASE WHEN k % 3 = 0 THEN 'QuickTime/ISO BMFF' WHEN {_GOOD} THEN 'raw frame' END AS container, CASE WHEN k % 5 = 0 THEN CASE WHEN k % 10 = 0 THEN 'AVdn' ELSE 'AVdh' END WHEN {_GOOD} THEN CASE WHEN hcid BETWEEN 1270 AND 1274 THEN 'AVdh' ELSE 'AVdn' END END AS stream,
+    CAST(CASE WHEN k % 5 = 0 OR {_GOOD} THEN 0.95 WHEN k % 3 = 0 THEN 0.65 ELSE 0.35 END AS DOUBLE) AS confidence, CASE WHEN k % 5 = 0 THEN CAST({_ENTRY} AS BIGINT) END AS entry_offset, CASE WHEN {_GOOD} THEN CAST({_ENTRY} + CASE WHEN k % 10 = 0 THEN 8 WHEN k % 5 = 0 THEN 4 ELSE 0 END AS BIGINT) END AS header_offset
+    FROM (SELECT p_partkey AS k, {frames.cid_sql()} AS hcid FROM (SELECT p_partkey, {frames.FIELDS["profile_index"]} AS profile_index FROM part)) WHERE ({_NAMED}) OR k % 5 = 0 OR ({_GOOD})""",
+)
+def probe_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("a.b"), F.when(k % 4 == 0, ".MXF").when(k % 4 == 1, ".txt").when(k % 4 == 2, "").otherwise(".mov"))
+    text = F.concat(F.expr("repeat('.', CAST(p_partkey % 700 AS INT))"), F.when(k % 3 == 0, "ftypqt..free").otherwise(""), F.when(k % 10 == 0, "AVdnAVdh").when(k % 5 == 0, "AVdh").otherwise(""))
+    files = frames.headers(spark, sf_dir).select(k.alias("file"), name.alias("name"), F.concat(F.encode(text, "utf-8"), F.col("packet")).alias("payload"))
+    return probe.probe(files).select(F.col("file").alias("p_partkey"), "container", "stream", "confidence", F.get("entries", F.lit(0))["offset"].alias("entry_offset"), "header_offset")
 
 
 @query("raw_frame_scan", "SELECT file, CAST(k * 8192 + 3 * (k + 1) AS BIGINT) AS \"offset\", CAST(8192 AS BIGINT) AS byte_length FROM (SELECT p_partkey // 8 AS file, row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS k FROM part)")
 def raw_frame_scan(spark, sf_dir):
-    from cinequery.operators.frame_scan import scan
+    return frame_scan.scan(raw_files(spark, sf_dir)).select("file", "offset", "byte_length")
+
 
+def raw_files(spark, sf_dir):
+    """file, payload: eight parts' frames of 8,192 bytes, three other bytes before each."""
     head = "0000028003" + "00" * (0x18 - 5) + "00800280" + "00" * (0x21 - 0x1C) + "20" + "00" * (0x28 - 0x22) + f"{1274:08x}" + "00" * (8192 - 0x2C)
-    files = read(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 8").alias("file")).agg(F.unhex(F.array_join(F.collect_list(F.lit("ffffff" + head)), "")).alias("payload"))
-    return scan(files).select("file", "offset", "byte_length")
+    return read(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 8").alias("file")).agg(F.unhex(F.array_join(F.collect_list(F.lit("ffffff" + head)), "")).alias("payload"))
+
+
+@query("chunked_frame_scan", "SELECT file, CAST(k AS BIGINT) AS ord, CAST(k * 8192 + 3 * (k + 1) AS BIGINT) AS \"offset\", CAST(8192 AS BIGINT) AS byte_length FROM (SELECT p_partkey // 8 AS file, row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS k FROM part)")
+def chunked_frame_scan(spark, sf_dir):
+    """The same frames from chunks of 8,000 bytes, so that headers and frames lie across them."""
+    return frame_scan.scan_chunks(frame_scan.chunks(raw_files(spark, sf_dir), 8000), 8000, 16_000)
