@@ -66,7 +66,7 @@ def probe(files: DataFrame, head: int = HEAD, movie: int = MOVIE) -> DataFrame:
 
 
 def probe_path(spark: SparkSession, path: str) -> DataFrame:
-    """The same of files at a path that all workers see: they are listed by Spark, and of each only the first MOVIE bytes are read."""
+    """The same of files at a path that all workers see: they are listed by Spark, which leaves out empty ones, and of each only the first MOVIE bytes are read."""
     from cinequery.sources import media
 
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.lit(0).cast("long").alias("value_offset"), F.least("length", F.lit(MOVIE).cast("long")).alias("value_length"))

@@ -47,7 +47,7 @@ def test_probe_equals_looking_everywhere(spark):
 def test_probe_of_a_path(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "one.bin").write_bytes(b"abc" + head())
-    (tmp_path / "sub" / "two.mov").write_bytes(b"")
+    (tmp_path / "sub" / "two.mov").write_bytes(b"x")
     (tmp_path / "three.txt").write_bytes(b"nothing")
     got = {os.path.basename(r.name): (r.container, r.stream, r.confidence, r.header_offset) for r in probe.probe_path(spark, str(tmp_path)).collect()}
     assert got == {"one.bin": ("raw frame", "AVdh", 0.95, 3), "two.mov": (None, None, 0.35, None)}
