@@ -10,7 +10,7 @@ from cinequery.operators import frame_scan, probe
 NAMES = ["a.MOV", "b.mxf", "c.txt", None, "noext", "x.dnxhd"]
 
 
-def head(cid=1274, depth=1, kind=3, width=128, height=64, offset=0x280):
+def head(cid=1274, depth=1, kind=3, width=640, height=128, offset=0x280):
     h = bytearray(0x280)
     h[0:4], h[4] = offset.to_bytes(4, "big"), kind
     h[0x18:0x1C] = height.to_bytes(2, "big") + width.to_bytes(2, "big")
