@@ -94,9 +94,9 @@ def resync(source: Reader, offset: int, limit: int, chunk: int = 1 << 16) -> int
     return None
 
 
-def walk(source: Reader, max_resync: int = 16 << 20) -> Iterator[tuple]:
-    """Rows (offset, key, field length, value offset, value length, next offset, error) in order. What is no triplet gives an error row and a search for the next key; values are never read."""
-    offset = 0
+def walk(source: Reader, max_resync: int = 16 << 20, start: int = 0) -> Iterator[tuple]:
+    """Rows (offset, key, field length, value offset, value length, next offset, error) in order, from ``start`` on. What is no triplet gives an error row and a search for the next key; values are never read."""
+    offset = start
     while offset < source.size:
         if source.read(offset, 4) == KEY_PREFIX:
             found = triplet(source, offset)
@@ -123,14 +123,14 @@ def is_partition(key: str) -> bool:
     return key.startswith(PARTITION_PREFIX) and key[26:28] in ("02", "03", "04")
 
 
-def contents(source: Reader, max_resync: int = 16 << 20, max_value: int = MAX_VALUE) -> Iterator[tuple]:
+def contents(source: Reader, max_resync: int = 16 << 20, max_value: int = MAX_VALUE, start: int = 0) -> Iterator[tuple]:
     """The rows of ``walk`` with what a container's metadata says: values of packs, items of sets, and of essence the body and the ordinal in its track; of a track's first element its first HEAD bytes.
 
     What cannot be read is an error on its row: a value over ``max_value`` or a set whose items don't
     fit. Keys that are neither packs nor in SET_TYPES are passed over unread.
     """
     body_sid, elements = 0, {}
-    for offset, key, field, at, length, after, error in walk(source, max_resync):
+    for offset, key, field, at, length, after, error in walk(source, max_resync, start):
         value = items = element = None
         if key is None:
             pass

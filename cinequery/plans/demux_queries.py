@@ -6,6 +6,7 @@ The counterparts work out sizes, places and joins from customers and orders by w
 
 from pyspark.sql import functions as F
 
+from cinequery.operators import split_walk
 from cinequery.operators.demux import Container, open_container
 from cinequery.plans.registry import query
 from cinequery.sources import containers as S
@@ -156,3 +157,14 @@ def codec_select(spark, sf_dir):
 )
 def container_faults(spark, sf_dir):
     return opened(spark, sf_dir).faults
+
+
+@query(
+    "split_walk",
+    f"""SELECT k AS file, CAST(number AS BIGINT) AS number, CAST(i AS BIGINT) AS element, CAST(byte_offset AS BIGINT) AS value_offset, CAST(byte_length AS BIGINT) AS value_length FROM ({PLACED}) WHERE NOT (number = {S.VIDEO} AND ({ONE}))
+    UNION ALL SELECT k, {S.VIDEO}, 0, CAST(at_essence + 20 AS BIGINT), CAST(v_all AS BIGINT) FROM ({FRAMES}) WHERE i = 0 AND ({ONE})""",
+)
+def split_walk_query(spark, sf_dir):
+    """The essence elements of each track, from parts of the files walked apart."""
+    rows = split_walk.scan(split_walk.parts(S.containers(spark, sf_dir))).where("element IS NOT NULL")
+    return rows.select("file", F.conv(F.substring("key_hex", 25, 8), 16, 10).cast("long").alias("number"), "element", "value_offset", "value_length")
