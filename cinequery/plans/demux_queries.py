@@ -6,7 +6,7 @@ The counterparts work out sizes, places and joins from customers and orders by w
 
 from pyspark.sql import functions as F
 
-from cinequery.operators import split_walk
+from cinequery.operators import seek, split_walk
 from cinequery.operators.demux import Container, open_container
 from cinequery.plans.registry import query
 from cinequery.sources import containers as S
@@ -168,3 +168,14 @@ def split_walk_query(spark, sf_dir):
     """The essence elements of each track, from parts of the files walked apart."""
     rows = split_walk.scan(split_walk.parts(S.containers(spark, sf_dir))).where("element IS NOT NULL")
     return rows.select("file", F.conv(F.substring("key_hex", 25, 8), 16, 10).cast("long").alias("number"), "element", "value_offset", "value_length")
+
+
+@query(
+    "seek_packets",
+    f"""SELECT k AS file, CAST(i AS BIGINT) AS position, CAST(number AS BIGINT) AS number, CAST(byte_offset AS BIGINT) AS value_offset, CAST(byte_length AS BIGINT) AS value_length, CASE WHEN NOT ({S.UNIT}) THEN i % 5 = 0 END AS keyframe
+    FROM ({PLACED}) WHERE number = {S.VIDEO} AND n > 1 AND ({ONE}) AND i >= k % 7 AND i < k % 7 + 3""",
+)
+def seek_packets(spark, sf_dir):
+    """Three packets of each file whose essence is one element, by its index alone."""
+    files = S.containers(spark, sf_dir).where("file % 6 < 2").withColumns({"first": F.col("file") % 7, "past": F.col("file") % 7 + 3})
+    return seek.packets(files).where("body_sid = 1").select("file", "position", "number", "value_offset", "value_length", "keyframe")

@@ -37,6 +37,8 @@ LABEL = {"op1a": "060e2b34040101010d01020101010900", "opatom": "060e2b3404010102
 VIDEO_KIND, AUDIO_KIND, TIMECODE_KIND = (f"060e2b3404010101{tail}" for tail in ("0103020201000000", "0103020202000000", "0103020101000000"))
 #: Bytes of a partition pack's triplet with one essence container.
 PACK_BYTES = 20 + 104
+#: Bytes of the random index's triplet, which are also its last number.
+RIP_BYTES = 20 + 3 * 12 + 4
 
 
 def expr(sql: str) -> Column:
@@ -187,6 +189,6 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     at_footer = at_body + PACK_BYTES + F.octet_length("body")
     files = files.withColumns({"at_body": at_body.cast("long"), "at_footer": at_footer.cast("long")})
     wrong = F.when(expr(WRONG_THIS), 1).otherwise(0)
-    rip = F.concat(*(F.concat(be_bytes(sid, 4), be_bytes(at, 8)) for sid, at in ((F.lit(0), F.lit(0)), (F.when(expr(WRONG_RIP), 9).otherwise(1), F.col("at_body")), (F.lit(0), F.col("at_footer")))), be_bytes(F.lit(0), 4))
+    rip = F.concat(*(F.concat(be_bytes(sid, 4), be_bytes(at, 8)) for sid, at in ((F.lit(0), F.lit(0)), (F.when(expr(WRONG_RIP), 9).otherwise(1), F.col("at_body")), (F.lit(0), F.col("at_footer")))), be_bytes(F.lit(RIP_BYTES), 4))
     payload = F.concat(partition(2, F.lit(0), F.lit(0), F.col("at_footer"), 0, 0), "head", partition(3, F.col("at_body") + wrong, F.lit(0), F.col("at_footer"), 1, 2), "body", partition(4, F.col("at_footer"), F.col("at_body"), F.col("at_footer"), 0, 0), klv(rip, RANDOM_INDEX_KEY))
     return files.select(F.col("k").alias("file"), payload.alias("payload"))
