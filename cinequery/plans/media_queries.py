@@ -111,7 +111,14 @@ def stop_at_first_error(spark, sf_dir):
     return P.until_first_error(events(spark, sf_dir).selectExpr("user_id AS stream", "event_id AS ord", "event_id % 41 = 0 AS failed")).select("ord", "stream")
 
 
-@query("decode_events")
+_KEPT = "SELECT user_id AS stream, event_id AS ord, event_id % 41 = 0 AS failed, min(CASE WHEN event_id % 41 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS first FROM events"
+
+
+@query(
+    "decode_events",
+    f"""SELECT DISTINCT user_id AS stream, CAST(-1 AS BIGINT) AS ord, 'log' AS type FROM events UNION ALL SELECT stream, ord, CASE WHEN failed THEN 'error' ELSE 'frame' END FROM ({_KEPT}) WHERE first IS NULL OR ord <= first
+    UNION ALL SELECT stream, max(ord) + 1, 'done' FROM ({_KEPT}) WHERE first IS NULL GROUP BY stream""",
+)
 def decode_events(spark, sf_dir):
     return P.decode_events(events(spark, sf_dir).selectExpr("user_id AS stream", "event_id AS ord", "event_id % 41 = 0 AS failed"))
 
