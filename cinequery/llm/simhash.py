@@ -51,6 +51,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 HALVES = ("(print & 4294967295L)", "shiftrightunsigned(print, 32)")
 
 
+#: The half that a variant's key doesn't hold.
+OTHER = f"(CASE WHEN key < {1 << 40}L THEN {HALVES[1]} ELSE {HALVES[0]} END)"
+
+
 def _far(bits: int) -> Column:
     return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
 
@@ -70,19 +74,47 @@ def variants(prints: DataFrame) -> DataFrame:
     return prints.selectExpr("print", f"explode(concat({', '.join(parts)})) AS v").select("print", "v.key", "v.bit")
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """a, b: the pairs of distinct prints that differ in at most ``bits`` (3) bits, each at least once."""
+def _met(prints: DataFrame) -> DataFrame:
+    """print, key, bit, part: the variants that several prints share, cut into parts where they are a crowd."""
     shared = Window.partitionBy("key")
-    met = variants(prints).withColumn("n", F.count("*").over(shared)).where("n > 1")
+    # A number of partitions is given, as a print is a few bytes and its variants are many.
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    met = variants(dealt).withColumn("n", F.count("*").over(shared)).where("n > 1")
     # A crowd shares a half; the other half differs in three bits at most, so of its four bytes one is equal.
     parts = F.expr(f"""CASE WHEN n <= {CROWD} THEN array(-1L) ELSE transform(sequence(0, 3), i ->
-        256L * i + (shiftrightunsigned(CASE WHEN key < {1 << 40}L THEN {HALVES[1]} ELSE {HALVES[0]} END, 8 * i) & 255)) END""")
-    met = cut(met.select("print", "key", "bit", F.explode(parts).alias("part")))
-    equal = met.where("bit IS NULL")
-    left, right = (equal.select("key", "part", F.col("print").alias(name)) for name in "ab")
-    pairs = left.join(right, ["key", "part"]).where((F.col("a") < F.col("b")) & _far(bits)).select("a", "b")
-    left, right = (met.where(F.col("bit") == k).select("key", "part", F.col("print").alias(name)) for k, name in ((0, "a"), (1, "b")))
-    return pairs.unionByName(left.join(right, ["key", "part"]).where(_far(bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+        256L * i + (shiftrightunsigned({OTHER}, 8 * i) & 255)) END""")
+    return cut(met.select("print", "key", "bit", F.explode(parts).alias("part")))
+
+
+def _pairs(met: DataFrame, bits: int, apart: Column) -> DataFrame:
+    """a, b and what else stands beside them (name a, name b) of the pairs of prints within ``bits`` for which ``apart`` holds: of equal halves, and of halves without the bit in which they differ."""
+    side = lambda rows, end: rows.select("key", "part", *(F.col(c).alias(end if c == "print" else f"{c} {end}") for c in rows.columns if c not in ("key", "part", "bit")))
+    pick = lambda bit: met.where(F.col("bit").isNull() if bit is None else F.col("bit") == bit)
+    equal = side(pick(None), "a").join(side(pick(None), "b"), ["key", "part"]).where((F.col("a") < F.col("b")) & _far(bits) & apart)
+    return equal.unionByName(side(pick(0), "a").join(side(pick(1), "b"), ["key", "part"]).where(_far(bits) & apart)).drop("key", "part")
+
+
+def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """a, b: the pairs of distinct prints that differ in at most ``bits`` (3) bits, each once."""
+    return _pairs(_met(prints), bits, F.lit(True)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """node, component of the prints that are linked: the smallest print each reaches.
+
+    Not all pairs are formed. First each print is linked to those that differ in one bit, and within
+    each shared half to the print before it and to the first, where these are near: as many links
+    as there are rows. Of the other pairs only those between prints that these links leave apart
+    count, and of them one for each two classes.
+    """
+    met = _met(prints)
+    single = met.where("bit IS NOT NULL").groupBy("key", F.expr(OTHER).alias("other")).agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a < b").select("a", "b")
+    group = Window.partitionBy("key", "part").orderBy("print")
+    near = met.where("bit IS NULL").select(F.col("print").alias("b"), F.lag("print").over(group).alias("before"), F.first("print").over(group).alias("first")).select("b", F.explode(F.array("before", "first")).alias("a"))
+    first = cut(components(single.unionByName(near.where("a < b").where(_far(bits)).select("a", "b"))))
+    named = met.join(first.withColumnRenamed("node", "print"), "print", "left").withColumn("class", F.coalesce("component", "print")).drop("component")
+    further = _pairs(named, bits, F.col("class a") != F.col("class b")).select(F.greatest("class a", "class b").alias("a"), F.least("class a", "class b").alias("b")).distinct()
+    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further))
 
 
 def groups(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
@@ -94,7 +126,7 @@ def groups(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
     """
     prints = cut(fingerprints(docs, width))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    joined = components(links(nodes.select("print"), bits)).withColumnRenamed("node", "print")
+    joined = classes(nodes.select("print"), bits).withColumnRenamed("node", "print")
     named = nodes.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("print", "component_id")
@@ -107,7 +139,7 @@ def one_each(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
     row = ["doc_id", "hash of its text"]
     prints = cut(fingerprints(named.select(F.struct("doc_id", F.col(row[1]).alias("text_hash")).alias("doc_id"), "text"), width))
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    joined = components(links(nodes.select("print"), bits)).withColumnRenamed("node", "print")
+    joined = classes(nodes.select("print"), bits).withColumnRenamed("node", "print")
     keep = nodes.join(joined, "print", "left").groupBy(F.coalesce("component", "print")).agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.text_hash").alias(row[1]))
     turn = F.row_number().over(Window.partitionBy(*row).orderBy(F.xxhash64(*docs.columns)))
     kept = named.join(keep, row, "left_semi").withColumn("turn of its text", turn).where(F.col("turn of its text") == 1)

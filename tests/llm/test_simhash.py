@@ -93,3 +93,31 @@ def test_one_each_goes_by_row_where_ids_repeat(spark):
     want = sorted({g: row for g, row in zip(reversed(groups), reversed(rows), strict=True)}.values())
     kept = simhash.one_each(spark.createDataFrame(rows, SCHEMA).repartition(4))
     assert len(want) == 13 and sorted(map(tuple, kept.collect())) == want
+
+
+def test_classes_equal_those_of_all_pairs_in_crowds(spark, monkeypatch):
+    rng = random.Random(21)
+    prints = set()
+    for spread in (1, 2, 3):
+        centre = rng.getrandbits(64)
+        for _ in range(80):
+            p = centre
+            for b in rng.sample(range(64), spread):
+                p ^= 1 << b
+            prints.add(p)
+    chain = rng.getrandbits(64)
+    for _ in range(60):
+        for b in rng.sample(range(64), 3):
+            chain ^= 1 << b
+        prints.add(chain)
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    groups = plain_groups(prints)
+    least = {}
+    for s, g in zip(signed, groups, strict=True):
+        least[g] = min(least.get(g, s), s)
+    for crowd in (4, 64):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        rows = simhash.classes(spark.createDataFrame([(p,) for p in signed], "print long")).collect()
+        found = {r.node: r.component for r in rows}
+        assert [found.get(s, s) for s in signed] == [least[g] for g in groups] and len(found) == len(rows) > 200
