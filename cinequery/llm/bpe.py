@@ -58,12 +58,16 @@ class WordBPE:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_walker": None}
 
-    def walker(self) -> Walker:
+    def walker(self, memory: int = 0) -> Walker:
         """One for each process, so that a task starts with what earlier ones of the same worker have learned; its memory is bounded."""
         if self._walker is None:
-            self._walker = Walker(self)
+            self._walker = Walker(self, memory=memory or MEMORY)
         return self._walker
 
+    def release(self) -> None:
+        """Forgets the walker and gives its memory back."""
+        self._walker = None
+
     def whole(self) -> Iterable[str]:
         """Entries as the walk sees them: the word end is one sign, a blank, which no letter is."""
         return (t[: -len(self.end)] + " " if t.endswith(self.end) else t for t in self.vocabulary)
@@ -237,8 +241,8 @@ class Walker:
         return pc.binary_join(names, " ")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.RecordBatch]:
-    walker = bpe.walker()
+def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE, memory: int, keep: bool) -> Iterator[pa.RecordBatch]:
+    walker = bpe.walker(memory)
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, 1 << 20):
             raw = data.tobytes()
@@ -246,13 +250,16 @@ def _encode(batches: Iterator[pa.RecordBatch], bpe: WordBPE) -> Iterator[pa.Reco
             ids, ends, decoded = walker.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([rows.column(0), lists, decoded.cast(pa.string())], names=["doc_id", "ids", "decoded"])
+    if not keep:
+        del walker
+        bpe.release()
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, decoded of each row of ``docs`` under the vocabulary file ``path``: no special tokens are added, those in the text count as themselves. Null texts are empty, repeated rows stay, an empty table gives an empty result. A text is held whole with its tokens, however long."""
+def encode(docs: DataFrame, path: str, memory: int = MEMORY, keep: bool = True) -> DataFrame:
+    """doc_id, ids, decoded of each row of ``docs`` under the vocabulary file ``path``: no special tokens are added, those in the text count as themselves. Null texts are empty, repeated rows stay, an empty table gives an empty result. A text is held whole with its tokens, however long. A worker remembers ``memory`` bytes of words, and for its next tasks too if ``keep``."""
     bpe = docs.sparkSession.sparkContext.broadcast(WordBPE(path))  # of the vocabulary's fixed size
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_encode(batches, bpe.value)), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(_encode(batches, bpe.value, memory, keep)), schema)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
