@@ -31,8 +31,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the decoded text's hash of each document."""
-    tokens = bpe.encode(docs, WORD_BPE)
+    """doc_id, n_tokens, ids and the decoded text's hash of each document. Workers remember little and nothing for later tasks, as other stages share their memory."""
+    tokens = bpe.encode(docs, WORD_BPE, memory=64 << 20, keep=False)
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
