@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -315,6 +316,23 @@ def decode(frames: DataFrame, key: str, tables: dict[int, RowTables], packet: st
     return whole.select(key, status.alias("status"), *(F.when(good, F.col(p)).alias(p) for p in ("y", "cb", "cr")), "bit_depth", "is444", "width", "height", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("macroblocks", F.lit(0)).alias("macroblocks"))
 
 
+def fields(frames: DataFrame, key: str, tables: dict[int, RowTables], packet: str = "packet") -> DataFrame:
+    """key, status and the sixteen fields of each decoded frame (data, coded and visible size, formats, colour, aspect, scan, header, layout), null where decoding gave none, and filled: whether all are there."""
+    done = decode(frames, key, tables, packet).select(key, "status", F.when(F.col("y").isNotNull(), F.struct("y", "cb", "cr")).alias("data"))
+    h = H.parse(frames.select(key, packet), packet).where("ok").withColumn("l", H.layout("width", "height", "is444", "bit_depth"))
+    codes = H.color_codes("color_space")
+    head = h.select(
+        key, F.col("l.coded_width").alias("coded_width"), F.col("l.coded_height").alias("coded_height"), F.col("width").alias("visible_width"), F.col("height").alias("visible_height"), "pixel_format", F.col("pixel_format").alias("original_pixel_format"), "color_space",
+        F.struct("par_num", "par_den").alias("pixel_aspect_ratio"), *(codes[c].alias(f"color_{c}") for c in ("primaries", "transfer", "matrix")), F.lit(False).alias("color_range_full"), H.scan_type("interlaced", "field_parity").alias("scan_type"),
+        F.struct("header_cid", "kind", "fourcc", "bit_depth", "is444", "mbaff", "interlaced").alias("header"), F.col("l").alias("layout"),
+    )
+    rows = done.join(head, key, "left")
+    names = ["data", *head.columns[1:]]
+    decoded = F.col("status") == "ok"
+    kept = rows.select(key, "status", *(F.when(decoded, F.col(c)).alias(c) for c in names))
+    return kept.withColumn("filled", reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in names)))
+
+
 def _converted(y: np.ndarray, cb: np.ndarray, cr: np.ndarray, source: str, target: str, matrix: str) -> list[np.ndarray] | None:
     depth = S.FORMAT_DEPTHS.get(target)
     if source == target:

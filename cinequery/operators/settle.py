@@ -11,12 +11,17 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder, without the plan that led to them: a lost executor costs no recomputation.
 
     The folder is the one the cluster names in spark.checkpoint.dir or the session has set. Where
-    there is none, a local session takes a temporary folder, and any other one below the warehouse,
-    which its executors share.
+    there is none, a local session takes a temporary folder, and any other one below the warehouse if
+    its path names a store that executors share; a folder of the driver alone is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        local = context.master.split("[")[0] == "local"
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if context.master.split("[")[0] == "local":
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        elif "://" in warehouse and not warehouse.startswith("file:"):
+            context.setCheckpointDir(f"{warehouse}/checkpoints")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint(eager=True)

@@ -509,6 +509,20 @@ def frame_planes(spark, sf_dir):
     return rows.select("frame", "p.plane", "status", "rows", "macroblocks", F.octet_length("p.bytes").cast("long").alias("bytes"), F.when(F.col("width") == 16, total).alias("total"))
 
 
+_MADE = "CASE WHEN frame % 11 <> 0 THEN {} END"
+
+
+@query(
+    "frame_fields",
+    f"""SELECT frame, {", ".join(f"{_MADE.format(v)} AS {c}" for c, v in (("coded_width", "CAST(16 AS BIGINT)"), ("coded_height", "CAST(32 AS BIGINT)"), ("visible_width", "16"), ("visible_height", "32"), ("pixel_format", "'yuv422p8'"), ("color_space", "'bt709'"), ("color_primaries", "1"), ("scan_type", "'progressive'"), ("bytes", "CAST(1024 AS BIGINT)")))},
+    frame % 11 <> 0 AS filled FROM (SELECT DISTINCT frame FROM ({WHOLE}))""",
+)
+def frame_fields(spark, sf_dir):
+    """Fields of decoded frames, and whether all sixteen are there: those of cut frames aren't."""
+    rows = frame_decode.fields(coded_frames(spark, sf_dir), "frame", {1274: FLAT})
+    return rows.select("frame", "coded_width", "coded_height", "visible_width", "visible_height", "pixel_format", "color_space", "color_primaries", "scan_type", F.col("layout.byte_length").alias("bytes"), "filled")
+
+
 @query(
     "plane_convert",
     """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 2 END AS bytes, CASE event_id % 3 WHEN 0 THEN a WHEN 1 THEN (a + b + 1) // 2 END AS first, CASE event_id % 3 WHEN 0 THEN b WHEN 1 THEN (a + b + 1) // 2 END AS last

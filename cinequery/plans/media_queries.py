@@ -123,7 +123,14 @@ def decode_events(spark, sf_dir):
     return P.decode_events(events(spark, sf_dir).selectExpr("user_id AS stream", "event_id AS ord", "event_id % 41 = 0 AS failed"))
 
 
-@query("lru_sim")
+_READS = "SELECT user_id AS session, event_id AS ord, event_id * 7 % 11 AS key FROM events"
+
+
+@query(
+    "lru_sim",
+    f"""SELECT session, ord, coalesce((SELECT count(DISTINCT m.key) FROM ({_READS}) m WHERE m.session = r.session AND m.ord > r.last AND m.ord < r.ord) < 4, false) AND last IS NOT NULL AS hit
+    FROM (SELECT *, lag(ord) OVER (PARTITION BY session, key ORDER BY ord) AS last FROM ({_READS})) r""",
+)
 def lru_sim(spark, sf_dir):
     return P.lru(events(spark, sf_dir).selectExpr("user_id AS session", "event_id AS ord", "event_id * 7 % 11 AS key"), 4)
 
