@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import DataFrame, SparkSession
+
 from cinequery.operators.frame_decode import RowTables
 
 #: Fixed values. Codes of each length from 1 bit on, of the symbols of further coefficients.
@@ -180,6 +182,12 @@ def complete(codes: list[tuple[int, int]]) -> bool:
     return at == 1 << 16
 
 
+def spans(spark: SparkSession, codes: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """code_id, symbol, first, past, length: the values of sixteen bits that begin with each symbol's code, a few hundred rows a code."""
+    rows = [(k, symbol, bits << (16 - length), (bits + 1) << (16 - length), length) for k, c in codes.items() for symbol, (bits, length) in enumerate(c)]
+    return spark.createDataFrame(rows, "code_id int, symbol int, first int, past int, length int")
+
+
 def _ahead(series: list[int], after: int, moved: list[int]) -> list[int]:
     rest = [x for x in series if x not in moved]
     at = rest.index(after) + 1

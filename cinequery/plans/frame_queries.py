@@ -7,7 +7,7 @@ from cinequery.functions import binary as B
 from cinequery.functions import header as H
 from cinequery.functions import media as M
 from cinequery.functions import signal as S
-from cinequery.operators import decode, frame_decode
+from cinequery.operators import code_tables, decode, frame_decode
 from cinequery.operators.code_tables import TABLES
 from cinequery.operators.settle import settled
 from cinequery.plans.registry import query
@@ -364,10 +364,9 @@ def select_format(spark, sf_dir):
     return parsed(spark, sf_dir).select("p_partkey", S.select_format("pixel_format", allowed).alias("chosen"))
 
 
-@query("format_dim", "SELECT * FROM (VALUES ('yuv420p8', 8), ('yuv420p10', 10), ('yuv420p12', 12), ('yuv422p8', 8), ('yuv422p10', 10), ('yuv422p12', 12), ('yuv444p8', 8), ('yuv444p10', 10), ('yuv444p12', 12), ('gbrp10', NULL), ('gbrp12', NULL)) t(format, depth)")
+@query("format_dim", f"SELECT p_partkey, pixfmt AS format, CAST(CASE WHEN pixfmt LIKE 'yuv%' THEN depth END AS INTEGER) AS depth FROM ({SIZED})")
 def format_dim(spark, sf_dir):
-    formats = spark.createDataFrame([(f,) for f in [*S.FORMAT_DEPTHS, "gbrp10", "gbrp12"]], "format string")
-    return formats.select("format", S.format_depth("format").alias("depth"))
+    return parsed(spark, sf_dir).select("p_partkey", F.col("pixel_format").alias("format"), S.format_depth("pixel_format").alias("depth"))
 
 
 @query("chroma_dims", f"SELECT p_partkey, CAST(CASE WHEN pixfmt LIKE 'yuv444%' OR pixfmt LIKE 'gbrp%' THEN width ELSE (width + 1) // 2 END AS BIGINT) AS chroma_width, CAST(height AS BIGINT) AS chroma_height FROM ({SIZED})")
@@ -391,13 +390,15 @@ def render_supported(spark, sf_dir):
     return parsed(spark, sf_dir).select("p_partkey", ((F.col("pixel_format") != "unknown") & (F.col("color_space") != "bt2020-cl") & fits).alias("ok"))
 
 
-@query("huffman_lut", "SELECT CAST(i AS INTEGER) AS prefix, CASE WHEN i < 32768 THEN 0 WHEN i < 49152 THEN 1 WHEN i < 57344 THEN 2 WHEN i < 61440 THEN 3 ELSE -1 END AS symbol, CASE WHEN i < 32768 THEN 1 WHEN i < 49152 THEN 2 WHEN i < 57344 THEN 3 WHEN i < 61440 THEN 4 ELSE 0 END AS length FROM unnest(range(0, 65536)) t(i)")
+_SPANS = ", ".join(f"({cid}, {symbol}, {code << (16 - length)}, {(code + 1) << (16 - length)}, {length})" for cid, t in sorted(TABLES.items()) for symbol, (code, length) in enumerate(t.ac))
+
+
+@query("huffman_lut", f"SELECT event_id, symbol, length FROM (SELECT event_id, event_id * 7919 % 65536 AS bits, user_id % 20 AS k FROM events) JOIN (SELECT *, dense_rank() OVER (ORDER BY cid) - 1 AS rank FROM (VALUES {_SPANS}) s(cid, symbol, first, past, length)) ON rank = k AND bits >= first AND bits < past")
 def huffman_lut(spark, sf_dir):
-    codes = spark.createDataFrame([(0, 0, 1), (1, 2, 2), (2, 6, 3), (3, 14, 4)], "symbol int, code int, length int")
-    first = F.call_function("shiftleft", F.col("code"), 16 - F.col("length"))
-    spans = codes.select("symbol", "length", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1), 16 - F.col("length")) - 1)).alias("prefix"))
-    best = spans.groupBy("prefix").agg(F.min_by("symbol", "length").alias("symbol"), F.min("length").alias("length"))
-    return spark.range(65536).select(F.col("id").cast("int").alias("prefix")).join(best, "prefix", "left").fillna(-1, ["symbol"]).fillna(0, ["length"])
+    """The coefficient symbol that sixteen bits begin with in the code of one of twenty profiles, and its length."""
+    spans = code_tables.spans(spark, {k: TABLES[cid].ac for k, cid in enumerate(sorted(TABLES))})
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "event_id * 7919 % 65536 AS bits", "CAST(user_id % 20 AS INT) AS code_id")
+    return e.join(F.broadcast(spans), "code_id").where("bits >= first AND bits < past").select("event_id", "symbol", "length")
 
 
 _PARAMETERS = ", ".join(f"({cid}, {t.index_bits}, {t.bias}, {t.shift})" for cid, t in sorted(TABLES.items()))

@@ -169,14 +169,24 @@ def error_classify(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", M.error_class(name, F.expr(_ERR)).alias("class"))
 
 
-@query("native_error_dim", "SELECT CAST(i AS INTEGER) AS code, i = 0 AS ok FROM unnest(range(0, 11)) t(i)")
+_NAMES = f"(VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in RESULTS.items())}) t(code, name)"
+
+
+@query("native_error_dim", f"SELECT name, count(*) AS n, bool_and(code = 0) AS ok FROM events JOIN {_NAMES} ON code = event_id % 13 GROUP BY name")
 def native_error_dim(spark, sf_dir):
-    return native_errors(spark).select("code", (F.col("name") == "ok").alias("ok"))
+    """How many results of each name, and whether it stands for success."""
+    return named(spark, sf_dir).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.bool_and(F.col("code") == 0).alias("ok"))
+
+
+@query("native_error_names", f"SELECT event_id, CAST(event_id % 13 AS INTEGER) AS code, name FROM events LEFT JOIN {_NAMES} ON code = event_id % 13")
+def native_error_names(spark, sf_dir):
+    return named(spark, sf_dir)
 
 
-@query("native_error_names", f"SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in RESULTS.items())}) t(code, name)")
-def native_errors(spark, sf_dir=None):
-    return spark.createDataFrame(list(RESULTS.items()), "code int, name string")
+def named(spark, sf_dir):
+    """event_id, code, name of results; null of codes that the decoder doesn't give."""
+    code = (F.col("event_id") % 13).cast("int")
+    return events(spark, sf_dir).select("event_id", code.alias("code"), F.element_at(F.create_map(*(F.lit(x) for pair in RESULTS.items() for x in pair)), code).alias("name"))
 
 
 @query("fourcc_norm", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'AVdn' WHEN 1 THEN 'AVdh' END AS fourcc FROM events")
