@@ -438,7 +438,7 @@ def entropy_decode(spark, sf_dir):
     blocks = rows.select("frame", "unit", F.col("row").alias("mb_row"), F.col("crossed")[0].alias("crossed"), F.posexplode(F.slice("blocks", F.lit(1), per)).alias("block", "b"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
     placed = F.zip_with("b.places", "b.values", lambda p, v: p.cast("long") * v)
-    return blocks.select("frame", "unit", "mb_row", "block", F.col("b.dc").cast("long").alias("dc"), F.size("b.places").cast("long").alias("n"), total("b.values").alias("total"), total(placed).alias("placed"), "crossed")
+    return blocks.select("frame", "unit", F.col("mb_row").cast("long").alias("mb_row"), F.col("block").cast("long").alias("block"), F.col("b.dc").cast("long").alias("dc"), F.size("b.places").cast("long").alias("n"), total("b.values").alias("total"), total(placed).alias("placed"), "crossed")
 
 
 #: A code for synthetic frames: differences of a fixed four-bit length, blocks that end at once.
