@@ -329,8 +329,8 @@ def packet_count(spark, sf_dir):
 
 @query("distinct_conflict", "SELECT user_id, count(DISTINCT nullif(event_id % 3, 0)) AS sizes, count(DISTINCT nullif(event_id % 3, 0)) > 1 AS conflict FROM events GROUP BY user_id")
 def distinct_conflict(spark, sf_dir):
-    sizes = F.count_distinct(F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3))
-    return events(spark, sf_dir).groupBy("user_id").agg(sizes.alias("sizes"), (sizes > 1).alias("conflict"))
+    sizes = I.unit_sizes(events(spark, sf_dir).selectExpr("user_id AS body_sid", "event_id % 3 AS unit_bytes"))
+    return sizes.select(F.col("body_sid").alias("user_id"), "sizes", "conflict")
 
 
 @query("contiguous_duration", f"SELECT body_sid, CAST(sum(length) AS BIGINT) AS total, bool_and(coalesce(before = start, true)) AS ok FROM (SELECT *, lag(start + length) OVER (PARTITION BY body_sid ORDER BY start, segment) AS before FROM ({SEG}) WHERE length > 0) GROUP BY body_sid")

@@ -201,10 +201,15 @@ def zigzag_position(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", pos.alias("pos"), (pos > 63).alias("error"))
 
 
-@query("qscale_weights", "SELECT event_id, i AS pos, (event_id % 1024) * (32 + i * 3) AS weight FROM events, unnest(range(0, 8)) t(i)")
+_LUMA = ", ".join(f"({k}, {at}, {t.luma[at]})" for k, (_, t) in enumerate(sorted(TABLES.items())) for at in range(0, 64, 9))
+
+
+@query("qscale_weights", f"SELECT event_id, CAST(place AS BIGINT) AS pos, event_id % 1024 * weight AS weight FROM events JOIN (VALUES {_LUMA}) w(k, place, weight) ON k = user_id % 20")
 def qscale_weights(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("pos"))
-    return e.select("event_id", "pos", (F.col("event_id") % 1024 * (32 + F.col("pos") * 3)).alias("weight"))
+    """The scale times the luma weights of each of twenty profiles, at every ninth place."""
+    luma = F.array(*(F.array(*(F.lit(t.luma[at]) for at in range(0, 64, 9))) for _, t in sorted(TABLES.items())))
+    e = read(spark, sf_dir, "events").select("event_id", F.posexplode(F.get(luma, (F.col("user_id") % 20).cast("int"))).alias("i", "w"))
+    return e.select("event_id", (F.col("i") * 9).cast("long").alias("pos"), (F.col("event_id") % 1024 * F.col("w")).alias("weight"))
 
 
 @query("dc_delta", "SELECT event_id, CASE WHEN n = 0 THEN 0 WHEN v < (1 << (n - 1)) THEN v - ((1 << n) - 1) ELSE v END AS delta FROM (SELECT event_id, CAST(user_id % 12 AS INTEGER) AS n, event_id % (1 << CAST(user_id % 12 AS INTEGER)) AS v FROM events WHERE user_id % 12 > 0 UNION ALL SELECT event_id, 0, 0 FROM events WHERE user_id % 12 = 0)")
