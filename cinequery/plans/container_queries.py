@@ -305,14 +305,17 @@ def limits_check(spark, sf_dir):
     return C.limit_failures(count("tracks", "events").unionByName(count("packets", "lineitem")).unionByName(count("metadata_sets", "lineitem")))
 
 
-#: Elements of a list of a track's values.
+#: Elements of a chunk of a track's values.
 LISTED = 256
 
 
-@query("group_collect", f"SELECT body_sid, number, CAST((r - 1) // {LISTED} AS BIGINT) AS chunk, count(*) AS n, string_agg(CAST(value_length AS VARCHAR), ',' ORDER BY ord) AS lengths FROM (SELECT *, row_number() OVER (PARTITION BY body_sid, number ORDER BY ord) AS r FROM ({ESS})) GROUP BY ALL")
+@query("group_collect", f"SELECT body_sid, number, count(*) AS n, string_agg(CAST(value_length AS VARCHAR), ',' ORDER BY ord) AS lengths FROM ({ESS}) GROUP BY ALL")
 def group_collect(spark, sf_dir):
+    """The whole list of each track: its values are ordered in chunks, and only the chunks' texts meet in its row."""
     lists = stats.listed(essence(spark, sf_dir), C.TRACK, "ord", "value_length", 100_000, LISTED)
-    return lists.select(*C.TRACK, "chunk", F.size("list").cast("long").alias("n"), F.array_join(F.col("list").cast("array<string>"), ",").alias("lengths"))
+    texts = lists.select(*C.TRACK, "chunk", F.size("list").cast("long").alias("n"), F.array_join(F.col("list").cast("array<string>"), ",").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    return texts.groupBy(*C.TRACK).agg(F.sum("n").alias("n"), F.array_join(F.transform(parts, lambda p: p["text"]), ",").alias("lengths"))
 
 
 @query("count_per_track", f"SELECT body_sid, number, count(*) AS n FROM ({ESS}) GROUP BY ALL")

@@ -57,3 +57,15 @@ def test_sets_of_unknown_type_are_passed_over():
     known = bytes.fromhex("060e2b34025301010d01010101013b00") + b"\x05\xff\xff\xff\xff\xff"
     errors = [(row[0], row[6]) for row in klv.contents(klv.Bytes(broken + known))]
     assert errors == [(0, None), (len(broken), "set items don't fit")]
+
+
+def test_a_track_is_collected_whole(spark, tmp_path):
+    """One row a track, however many values it has."""
+    from cinequery.plans import container_queries as Q
+
+    many = 3 * Q.LISTED + 5
+    rows = spark.range(many).selectExpr("id AS event_id", "'a' AS event_type", "CAST(id % 2 * 16 AS BIGINT) AS user_id", "CAST(id AS DOUBLE) / 100 AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.number: (r.n, r.lengths) for r in Q.group_collect(spark, str(tmp_path)).collect()}
+    want = [str(r.v) for r in rows.orderBy("event_id").selectExpr("CAST(floor(abs(value) * 100) AS BIGINT) AS v").collect()]
+    assert got == {0: (many, ",".join(want))}
