@@ -205,12 +205,14 @@ def _count(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
     for name, counts in grams.items():
         used = np.flatnonzero(counts)
         own = np.flatnonzero(scripts[name])
-        yield pa.RecordBatch.from_pydict({"lang": [name] * (len(used) + len(own)), "bucket": np.concatenate([used, -1 - own]), "n": np.concatenate([counts[used], scripts[name][own]]).astype(np.float64)})
+        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(name, pa.string()), len(used) + len(own)), "bucket": np.concatenate([used, -1 - own]), "n": np.concatenate([counts[used], scripts[name][own]]).astype(np.float64)})
 
 
-def fit(labelled: DataFrame, fit_rows: int = 20_000) -> Model:
-    """Learns from (text, lang) of about ``fit_rows`` of the rows at most, chosen by a hash of doc_id; their counts are summed by Spark, and what reaches the driver is BUCKETS numbers a language."""
-    rows = bounded_sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", fit_rows)
+def fit(labelled: DataFrame, fit_rows: int | None = None) -> Model:
+    """Learns from (text, lang) of all rows, or of about ``fit_rows`` at most, chosen by a hash of doc_id; their counts are summed by Spark, and what reaches the driver is BUCKETS numbers a language."""
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    if fit_rows is not None:
+        rows = bounded_sample(rows, "doc_id", fit_rows)
     table = labelled.sparkSession.sparkContext.broadcast(letter_table())
     counts = rows.mapInArrow(lambda batches: released(_count(batches, table.value)), "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())

@@ -66,3 +66,23 @@ def test_empty_tables_and_clashing_columns(spark):
     assert toxicity.score(docs, few).count() == docs.count()
     none = toxicity.fit(docs.limit(0), labels, language.fit(docs))
     assert all(r.score < 1e-6 for r in toxicity.score(docs, none).collect())
+
+
+def test_all_labelled_rows_are_learned_from_in_shards(spark, monkeypatch):
+    """A word that one labelled row of many holds is learned, and several shards tell the classes apart as one does."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    docs = spark.createDataFrame([(k, f"calm river w{k} stone" if k % 2 else f"vile awful w{k} rage", "en") for k in range(500)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(500)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "begun", lambda s, t, share, begun=toxicity.begun: seen.append(s) or begun(s, t, share))
+    model = toxicity.fit(docs, labels, language.fit(docs))
+    learned = sum(r.n for r in docs.selectExpr("pmod(xxhash64('aside', doc_id), 4294967296) >= 1073741824 AS n").selectExpr("CAST(n AS INT) AS n").collect())
+    assert seen[0][: toxicity.BUCKETS].max() >= learned // 2 - 40 and seen[0][: toxicity.BUCKETS].sum() >= 3.9 * learned
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in toxicity.score(docs, model).collect())
+
+
+def test_defaults_bound_no_rows():
+    import inspect
+
+    assert inspect.signature(toxicity.fit).parameters["fit_rows"].default is None and inspect.signature(toxicity.fit).parameters["fit_bytes"].default is None
+    assert inspect.signature(language.fit).parameters["fit_rows"].default is None
