@@ -63,11 +63,23 @@ def parts(files: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, file in enumerate(batch.column(0).to_pylist()):
-                if batch.column(1)[k].is_valid:
-                    data = batch.column(1)[k].as_py()
-                    for part, (a, b) in enumerate(pairwise([*starts(klv.Bytes(data)), len(data)])):
-                        yield pa.RecordBatch.from_arrays([pa.array([file], batch.schema.field(0).type), *(pa.array([x], pa.int64()) for x in (part, a, b)), pa.array([data[a:b]], pa.binary())], names=["file", "part", "start", "past", "bytes"])
+            rows, held = [], 0
+            for file, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not payload.is_valid:
+                    continue
+                data = payload.as_py()
+                for part, (a, b) in enumerate(pairwise([*starts(klv.Bytes(data)), len(data)])):
+                    rows.append((file, part, a, b, data[a:b]))
+                    held += b - a
+                    if held > klv.BATCH_BYTES:
+                        yield made(rows, batch.schema.field(0).type)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows, batch.schema.field(0).type)
+
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "part", "start", "past", "bytes"])
 
     return files.select("file", "payload").mapInArrow(cut, PARTS.format(file=files.schema["file"].dataType.simpleString()))
 
@@ -94,18 +106,20 @@ def path_parts(listed: DataFrame) -> DataFrame:
 def _walked(batches: Iterator[pa.RecordBatch], max_resync: int) -> Iterator[pa.RecordBatch]:
     from cinequery.sources.media import File
 
-    for batch in batches:
+    def walked(batch: pa.RecordBatch) -> Iterator[tuple]:
         for k, (file, part, start, past) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
             held = batch.column(4)[k]
             source = Piece(held.as_py(), start) if held.is_valid else File(file)
             try:
-                rows = klv.contents(source if held.is_valid else Until(source, past), max_resync, start=start)
-                for out in klv.rows_to_batches(file, rows, batch.schema.field(0).type):
-                    yield out.append_column("part", pa.array([part] * out.num_rows, pa.int64())).append_column("past", pa.array([past] * out.num_rows, pa.int64()))
+                for ordinal, row in enumerate(klv.contents(source if held.is_valid else Until(source, past), max_resync, start=start)):
+                    yield file, ordinal, *row, part, past
             finally:
                 if not held.is_valid:
                     source.close()
 
+    for batch in batches:
+        yield from klv.batches_of(walked(batch), batch.schema.field(0).type, ("part", "past"))
+
 
 def scan(cuts: DataFrame, max_resync: int = 16 << 20) -> DataFrame:
     """The rows of ``klv.scan`` with contents, of files given in parts (``parts``, ``path_parts``): each part is a row of its own, so that the parts of one file go to many tasks."""

@@ -7,13 +7,15 @@ that these can tell sizes and places without a look at the bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinequery.functions.binary import be_bytes
 from cinequery.operators.container import SET_TYPES
-from cinequery.operators.klv import INDEX_KEY, PRIMER_KEY, RANDOM_INDEX_KEY
-from cinequery.sources.tables import klv, read
+from cinequery.operators.klv import BATCH_BYTES, INDEX_KEY, PRIMER_KEY, RANDOM_INDEX_KEY
+from cinequery.sources.tables import read
 
 KEYS = {name: key for key, name in SET_TYPES.items()}
 PARTITION = "060e2b34020501010d01020101{:02x}0400"
@@ -45,34 +47,35 @@ def expr(sql: str) -> Column:
     return F.expr(sql.replace("//", "div"))
 
 
-def uid(kind: int) -> str:
-    """SQL of Spark, as of all values: a set's or package's own 16 bytes."""
-    return f"unhex(concat('{kind:02x}', lpad(hex(k), 30, '0')))"
+#: Parts of a value: bytes, or a number as SQL with its bytes; NAME stands for the customer's name.
+Parts = tuple[bytes | str | tuple[str, int], ...]
+NAME = "name"
 
 
-def uid_sql(kind: int) -> str:
-    """The same as hex, in either SQL."""
-    return f"concat('{kind:02x}', lpad(lower(hex(k)), 30, '0'))"
+def uid(kind: int | str, k: str = "k") -> Parts:
+    """A set's or package's own 16 bytes."""
+    return number(str(kind), 1) + number(k, 15)
 
 
-def number(sql: str, size: int) -> str:
-    return f"unhex(right(lpad(hex(CAST({sql} AS BIGINT)), 16, '0'), {2 * size}))"
+def uid_sql(kind: int) -> str:
+    """A set's or package's own bytes as hex, in either SQL."""
+    return f"concat('{kind:02x}', lpad(lower(hex(k)), 30, '0'))"
 
 
-def joined(*values: str) -> str:
-    return f"concat({', '.join(values)})"
+def number(sql: str, size: int) -> Parts:
+    return (int(sql).to_bytes(size, "big"),) if sql.isdigit() else ((sql, size),)
 
 
-def references(*kinds: int) -> str:
-    return joined(number(str(len(kinds)), 4), number("16", 4), *map(uid, kinds))
+def references(*kinds: int) -> Parts:
+    return sum((uid(kind) for kind in kinds), number(str(len(kinds)), 4) + number("16", 4))
 
 
-def rational(num: str, den: str) -> str:
-    return joined(number(num, 4), number(den, 4))
+def rational(num: str, den: str) -> Parts:
+    return number(num, 4) + number(den, 4)
 
 
 RATE = rational(f"CASE WHEN {NTSC} THEN 30000 ELSE 25 END", f"CASE WHEN {NTSC} THEN 1001 ELSE 1 END")
-Item = tuple[int, str, str]
+Item = tuple[int, Parts, str]
 
 
 def sets() -> list[tuple[str, str, list[Item]]]:
@@ -82,8 +85,8 @@ def sets() -> list[tuple[str, str, list[Item]]]:
     refs = lambda tag, *kinds: (tag, references(*kinds), str(8 + 16 * len(kinds)))
     u32 = lambda tag, sql: (tag, number(sql, 4), "4")
     i64 = lambda tag, sql: (tag, number(sql, 8), "8")
-    label = lambda tag, hexes: (tag, f"unhex('{hexes}')", "16")
-    name = lambda tag: (tag, "encode(c_name, 'UTF-16BE')", "2 * length(c_name)")
+    label = lambda tag, hexes: (tag, (bytes.fromhex(hexes),), "16")
+    name = lambda tag: (tag, (NAME,), "2 * length(c_name)")
     rate = (0x4B01, RATE, "8")
     audio_rate = (0x4B01, rational("48000", "1"), "8")
     return [
@@ -93,12 +96,12 @@ def sets() -> list[tuple[str, str, list[Item]]]:
         ("Sequence", f"NOT ({NESTED})", [own(0x05), label(0x0201, VIDEO_KIND), i64(0x0202, "n"), refs(0x1001, 0x07)]),
         ("Sequence", NESTED, [own(0x05), label(0x0201, VIDEO_KIND), i64(0x0202, "n"), refs(0x1001, 0x06)]),
         ("Sequence", NESTED, [own(0x06), label(0x0201, VIDEO_KIND), i64(0x0202, "n"), refs(0x1001, 0x07, 0x08)]),
-        ("SourceClip", "true", [own(0x07), label(0x0201, VIDEO_KIND), i64(0x0202, "n"), i64(0x1201, "k % 10"), (0x1101, f"CASE WHEN {NO_SOURCE} THEN unhex(repeat('00', 16)) ELSE {uid(0x73)} END", "16"), u32(0x1102, "2")]),
+        ("SourceClip", "true", [own(0x07), label(0x0201, VIDEO_KIND), i64(0x0202, "n"), i64(0x1201, "k % 10"), (0x1101, uid(f"CASE WHEN {NO_SOURCE} THEN 0 ELSE {0x73} END", f"CASE WHEN {NO_SOURCE} THEN 0 ELSE k END"), "16"), u32(0x1102, "2")]),
         ("SourceClip", NESTED, [own(0x08), label(0x0201, AUDIO_KIND), i64(0x0202, "n"), ref(0x1101, 0x73), u32(0x1102, "3")]),
         ("Track", "true", [own(0x04), u32(0x4801, "9"), u32(0x4804, "0"), rate, ref(0x4803, 0x09)]),
         ("Sequence", "true", [own(0x09), label(0x0201, TIMECODE_KIND), i64(0x0202, "n"), refs(0x1001, 0x0F, 0x0A)]),
         ("TimecodeComponent", "true", [own(0x0A), i64(0x1501, "k * 25"), (0x1502, number(f"CASE WHEN {NTSC} THEN 30 ELSE 25 END", 2), "2"), (0x1503, number(f"CASE WHEN {NTSC} THEN 1 ELSE 0 END", 1), "1")]),
-        ("SourcePackage", "true", [own(0x10), ref(0x4401, 0x73), refs(0x4403, 0x11, 0x12), (0x4701, f"CASE WHEN {ONE_DESCRIPTOR} THEN {uid(0x14)} ELSE {uid(0x13)} END", "16")]),
+        ("SourcePackage", "true", [own(0x10), ref(0x4401, 0x73), refs(0x4403, 0x11, 0x12), (0x4701, uid(f"CASE WHEN {ONE_DESCRIPTOR} THEN {0x14} ELSE {0x13} END"), "16")]),
         ("Track", "true", [own(0x11), u32(0x4801, "2"), u32(0x4804, str(VIDEO)), rate, i64(0x4B02, "k % 4"), name(0x4802), ref(0x4803, 0x15)]),
         ("Track", "true", [own(0x12), u32(0x4801, "3"), u32(0x4804, str(AUDIO)), audio_rate, ref(0x4803, 0x15)]),
         ("Sequence", "true", [own(0x15), label(0x0201, VIDEO_KIND), i64(0x0202, "n")]),
@@ -125,25 +128,20 @@ def index_bytes() -> str:
     return f"CASE WHEN {UNIT} THEN {fixed} ELSE 2 * ({fixed} + 12) + 11 * n END"
 
 
-def local_set(key: str, items: list[tuple]) -> Column:
-    value = lambda v: expr(v) if isinstance(v, str) else v
-    return klv(F.concat(*(F.concat(be_bytes(F.lit(tag), 2), be_bytes(F.octet_length(value(v)).cast("long"), 2), value(v)) for tag, v, _ in items)), key)
+def _item(tag: int, value: bytes) -> bytes:
+    return tag.to_bytes(2, "big") + len(value).to_bytes(2, "big") + value
 
 
-def partition(kind: int, this: Column, before: Column, footer: Column, body_sid: int, index_sid: int) -> Column:
-    label = F.unhex(F.when(expr("k % 5 = 0"), LABEL["other"]).when(expr("k % 5 = 1"), LABEL["opatom"]).otherwise(LABEL["op1a"]))
-    long = lambda c: be_bytes(c.cast("long"), 8)
-    fixed = lambda v, n: be_bytes(F.lit(v), n)
-    value = F.concat(fixed(1, 2), fixed(2, 2), fixed(1, 4), long(this), long(before), long(footer), fixed(0, 8), fixed(0, 8), fixed(index_sid, 4), fixed(0, 8), fixed(body_sid, 4), label, fixed(1, 4), fixed(16, 4), label)
-    return klv(value, PARTITION.format(kind))
+def _triplet(key: bytes, value: bytes) -> bytes:
+    return key + b"\x83" + len(value).to_bytes(3, "big") + value
 
 
-def index_segment(kind: int, start: Column, duration: Column, unit: Column, entries: Column | None) -> Column:
-    long, small = (lambda c: be_bytes(c.cast("long"), 8)), (lambda c: be_bytes(c.cast("long"), 4))
-    items = [(0x3C0A, uid(kind), "16"), (0x3F0B, RATE, "8"), (0x3F0C, long(start), "8"), (0x3F0D, long(duration), "8"), (0x3F05, small(unit), "4"), (0x3F06, small(F.lit(2)), "4"), (0x3F07, small(F.lit(1)), "4")]
+def _segment(kind: int, k: int, rate: bytes, start: int, duration: int, unit: int, entries: bytes | None) -> bytes:
+    small, long = (lambda v: v.to_bytes(4, "big")), (lambda v: v.to_bytes(8, "big"))
+    items = [(0x3C0A, bytes([kind]) + k.to_bytes(15, "big")), (0x3F0B, rate), (0x3F0C, long(start)), (0x3F0D, long(duration)), (0x3F05, small(unit)), (0x3F06, small(2)), (0x3F07, small(1))]
     if entries is not None:
-        items.append((0x3F0A, F.concat(small(F.size(entries)), small(F.lit(11)), F.unhex(F.array_join(entries, ""))), ""))
-    return local_set(INDEX_KEY, items)
+        items.append((0x3F0A, small(len(entries) // 11) + small(11) + entries))
+    return _triplet(bytes.fromhex(INDEX_KEY), b"".join(_item(*i) for i in items))
 
 
 def frame_header() -> str:
@@ -157,38 +155,111 @@ def frame_header() -> str:
     return head.hex()
 
 
+def numbers() -> list[str]:
+    """The numbers in the sets' values and the sets' conditions that are not constant, as SQL that Spark works out for each file."""
+    values = [p[0] for _, _, items in sets() for _, parts, _ in items for p in parts if isinstance(p, tuple)]
+    return sorted({*values, *(p[0] for p in RATE if isinstance(p, tuple)), *(when for _, when, _ in sets() if when != "true")})
+
+
+class Metadata:
+    """Writes a file's primer and sets from the values of ``numbers``."""
+
+    def __init__(self):
+        place = {sql: i for i, sql in enumerate(numbers())}
+        located = lambda parts: [(place[p[0]], p[1]) if isinstance(p, tuple) else p for p in parts]
+        entries = b"".join(t.to_bytes(2, "big") + t.to_bytes(16, "big") for t in TAGS)
+        self.primer = _triplet(bytes.fromhex(PRIMER_KEY), len(TAGS).to_bytes(4, "big") + (18).to_bytes(4, "big") + entries)
+        self.rate = located(RATE)
+        self.sets = [(bytes.fromhex(KEYS[kind]), place.get(when), [(tag, located(parts)) for tag, parts, _ in items]) for kind, when, items in sets()]
+
+    def head(self, values: list[int], name: bytes) -> tuple[bytes, bytes]:
+        """Primer and sets, and the edit rate's bytes."""
+        known: dict[tuple[int, int] | bytes | str, bytes] = {NAME: name}
+
+        def put(parts: list) -> bytes:
+            for p in parts:
+                if p not in known:
+                    known[p] = values[p[0]].to_bytes(p[1], "big") if isinstance(p, tuple) else p
+            return b"".join([known[p] for p in parts])
+
+        out = [self.primer]
+        for key, when, items in self.sets:
+            if when is None or values[when]:
+                out.append(_triplet(key, b"".join([_item(tag, put(parts)) for tag, parts in items])))
+        return b"".join(out), put(self.rate)
+
+
+#: The conditions on k that Spark works out for each file.
+FLAGS = {"unit": UNIT, "clip": CLIP, "no_frame": NO_FRAME, "audio": HAS_AUDIO, "data": HAS_DATA, "wrong_this": WRONG_THIS, "wrong_rip": WRONG_RIP}
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of their key, name, numbers and lists: metadata, index and essence, put between packs at their places."""
+    metadata = Metadata()
+    whole, blank = bytes.fromhex(frame_header()), b"\x5a" * 64
+    video, audio, data = (bytes.fromhex(ESSENCE.format(x)) for x in (VIDEO, AUDIO, DATA))
+    pack_keys = {kind: bytes.fromhex(PARTITION.format(kind)) for kind in (2, 3, 4)}
+    labels = {name: bytes.fromhex(x) for name, x in LABEL.items()}
+
+    def pack(k: int, kind: int, this: int, before: int, footer: int, body_sid: int, index_sid: int) -> bytes:
+        label = labels["other" if k % 5 == 0 else "opatom" if k % 5 == 1 else "op1a"]
+        places = b"".join(x.to_bytes(8, "big") for x in (this, before, footer, 0, 0))
+        return _triplet(pack_keys[kind], bytes.fromhex("0001000200000001") + places + index_sid.to_bytes(4, "big") + bytes(8) + body_sid.to_bytes(4, "big") + label + (1).to_bytes(4, "big") + (16).to_bytes(4, "big") + label)
+
+    def made(k: int, name: str | None, values: list[int], size: list[int], sound: list[int], has: dict[str, bool]) -> bytes | None:
+        if name is None:
+            return None
+        n = len(size)
+        head, rate = metadata.head(values, name.encode("utf-16-be"))
+        frames = [(blank if has["no_frame"] else whole).ljust(x, b"\x5a")[:x] for x in size]
+        if has["unit"]:
+            index = _segment(0x30, k, rate, 0, n, 700, None)
+        else:
+            at, entries = 0, []
+            for i, x in enumerate(size):
+                entries.append((b"\0\0\0" if i % 5 else b"\0\0\x80") + at.to_bytes(8, "big"))
+                at += x
+            half = n // 2
+            index = _segment(0x31, k, rate, 0, half, 0, b"".join(entries[:half])) + _segment(0x32, k, rate, half, n - half, 0, b"".join(entries[half:]))
+        sounds = [_triplet(audio, b"\1\2\3\4" * (x // 4)) if has["audio"] else b"" for x in sound]
+        if has["unit"] or has["clip"]:
+            essence = [_triplet(video, b"".join(frames)) if n else b"", *sounds]
+        else:
+            essence = [part for f, a in zip(frames, sounds, strict=True) for part in (_triplet(video, f), a)]
+        if has["data"] and n:
+            essence.append(_triplet(data, b"\xff"))
+        body = b"".join([index, *essence])
+        at_body = PACK_BYTES + len(head)
+        at_footer = at_body + PACK_BYTES + len(body)
+        rip = b"".join(sid.to_bytes(4, "big") + at.to_bytes(8, "big") for sid, at in ((0, 0), (9 if has["wrong_rip"] else 1, at_body), (0, at_footer))) + RIP_BYTES.to_bytes(4, "big")
+        last = pack(k, 4, at_footer, at_body, at_footer, 0, 0)
+        return b"".join([pack(k, 2, 0, 0, at_footer, 0, 0), head, pack(k, 3, at_body + has["wrong_this"], 0, at_footer, 1, 2), body, last, _triplet(bytes.fromhex(RANDOM_INDEX_KEY), rip)])
+
+    for batch in batches:
+        files, payloads, held = [], [], 0
+        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        keys = columns["k"].to_pylist()
+        flags = {name: columns[name].to_pylist() for name in FLAGS}
+        lists = [columns[name].to_pylist() for name in ("c_name", "numbers", "size", "sound")]
+        for i, k in enumerate(keys):
+            files.append(k)
+            payloads.append(made(k, *(x[i] for x in lists), {name: flags[name][i] for name in FLAGS}))
+            held += len(payloads[-1] or b"")
+            if held > BATCH_BYTES or i == len(keys) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(payloads, pa.binary())], names=["file", "payload"])
+                files, payloads, held = [], [], 0
+
+
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, payload: a container for each customer; one without orders has no essence."""
+    """file, payload: a container for each customer; one without orders has no essence.
+
+    The files are dealt over all of the session's shuffle partitions: their keys and orders are small,
+    so that partitions merged by size would leave the writing of much larger files to a few tasks.
+    """
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
     listed = orders.groupBy("k").agg(F.sort_array(F.collect_list("o")).alias("os"))
     files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name").join(listed, "k", "left").withColumn("os", F.coalesce("os", F.array().cast("array<bigint>"))).withColumn("n", F.size("os").cast("long"))
-    unit, clip, no_frame = expr(UNIT), expr(CLIP), expr(NO_FRAME)
-    length = lambda o: F.when(unit, 700).when(no_frame, 64 + o % 50).otherwise(640 + o % 50).cast("int")
-    start = F.when(no_frame, F.lit("5a" * 64)).otherwise(F.lit(frame_header()))
-    frame = lambda o: F.rpad(start, length(o) * 2, "5a")
-    files = files.withColumn("frames", F.transform("os", frame)).withColumn("sizes", F.transform("os", lambda o: length(o).cast("long")))
-    before = F.aggregate("sizes", F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("long").alias("sum")), lambda s, x: F.struct(F.array_append(s["at"], s["sum"]).alias("at"), (s["sum"] + x).alias("sum")), lambda s: s["at"])
-    files = files.withColumn("places", before)
-    entry = lambda at, i: F.concat(F.lit("0000"), F.when(i % 5 == 0, "80").otherwise("00"), F.lpad(F.hex(at), 16, "0"))
-    files = files.withColumn("entries", F.transform("places", entry))
-    head = F.concat(klv(F.concat(be_bytes(F.lit(len(TAGS)), 4), be_bytes(F.lit(18), 4), *(F.concat(be_bytes(F.lit(t), 2), F.unhex(F.lit(f"{t:032x}"))) for t in TAGS)), PRIMER_KEY), *(F.when(expr(when), local_set(KEYS[kind], items)).otherwise(F.unhex(F.lit(""))) for kind, when, items in sets()))
-    half = F.floor(F.col("n") / 2).cast("int")
-    no = F.lit(0).cast("long")
-    units = index_segment(0x30, no, F.col("n"), F.lit(700), None)
-    split = F.concat(index_segment(0x31, no, half, no, F.slice("entries", F.lit(1), half)), index_segment(0x32, half, F.col("n") - half, no, F.slice("entries", half + 1, F.col("n").cast("int") - half)))
-    index = F.when(unit, units).otherwise(split)
-    files = files.select("k", "n", "os", "frames", head.alias("head"), index.alias("index"))
-    triplet = lambda number, hexes: F.concat(F.lit(ESSENCE.format(number) + "83"), F.lpad(F.hex((F.length(hexes) / 2).cast("long")), 6, "0"), hexes)
-    audio = lambda o: F.when(expr(HAS_AUDIO), triplet(AUDIO, F.repeat(F.lit("01020304"), (o % 20 + 1).cast("int")))).otherwise("")
-    data = F.when(expr(f"({HAS_DATA}) AND n > 0"), triplet(DATA, F.lit("ff"))).otherwise("")
-    one = F.concat(F.when(F.col("n") > 0, triplet(VIDEO, F.array_join("frames", ""))).otherwise(""), F.array_join(F.transform("os", audio), ""))
-    each = F.array_join(F.transform("os", lambda o, i: F.concat(triplet(VIDEO, F.get("frames", i)), audio(o))), "")
-    essence = F.unhex(F.concat(F.when(unit | clip, one).otherwise(each), data))
-    files = files.select("k", "n", "head", F.concat("index", essence).alias("body"))
-    at_body = F.octet_length("head") + PACK_BYTES
-    at_footer = at_body + PACK_BYTES + F.octet_length("body")
-    files = files.withColumns({"at_body": at_body.cast("long"), "at_footer": at_footer.cast("long")})
-    wrong = F.when(expr(WRONG_THIS), 1).otherwise(0)
-    rip = F.concat(*(F.concat(be_bytes(sid, 4), be_bytes(at, 8)) for sid, at in ((F.lit(0), F.lit(0)), (F.when(expr(WRONG_RIP), 9).otherwise(1), F.col("at_body")), (F.lit(0), F.col("at_footer")))), be_bytes(F.lit(RIP_BYTES), 4))
-    payload = F.concat(partition(2, F.lit(0), F.lit(0), F.col("at_footer"), 0, 0), "head", partition(3, F.col("at_body") + wrong, F.lit(0), F.col("at_footer"), 1, 2), "body", partition(4, F.col("at_footer"), F.col("at_body"), F.col("at_footer"), 0, 0), klv(rip, RANDOM_INDEX_KEY))
-    return files.select(F.col("k").alias("file"), payload.alias("payload"))
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    each = lambda sql: expr(f"transform(os, o -> CAST({sql} AS BIGINT))")
+    rows = files.select("k", "c_name", F.array(*(expr(f"CAST({sql} AS BIGINT)") for sql in numbers())).alias("numbers"), each(FRAME_BYTES).alias("size"), each(AUDIO_BYTES).alias("sound"), *(expr(sql).alias(name) for name, sql in FLAGS.items()))
+    return rows.mapInArrow(_written, "file long, payload binary")
