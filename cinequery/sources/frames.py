@@ -34,10 +34,12 @@ def cid_sql(column: str = "profile_index") -> str:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, packet: a header for each part, one in thirteen with a broken prefix, one in seventeen cut short."""
-    part = read(spark, sf_dir, "part").selectExpr("p_partkey", *(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in FIELDS.items())).withColumn("hcid", F.expr(f"CAST({cid_sql()} AS BIGINT)"))
+    # Dealt over all tasks: a few bytes of a part make a packet, so that parts of a file's size would be few.
+    dealt = read(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    part = dealt.selectExpr("p_partkey", *(f"CAST({sql} AS BIGINT) AS {name}" for name, sql in FIELDS.items())).withColumn("hcid", F.expr(f"CAST({cid_sql()} AS BIGINT)"))
     zero = lambda n: F.unhex(F.lit("00" * n))
     one = lambda sql: be_bytes(F.expr(sql), 1)
-    scan = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(67)), lambda i: F.lpad(F.hex((i * 3).cast("long")), 8, "0")), ""))
+    scan = F.unhex(F.lit("".join(f"{3 * i:08x}" for i in range(68))))
     parts = [
         be_bytes(F.lit(0x280), 4), one("hkind"), one("hinterlaced * 2 + hparity"), one("hmbaff * 32"), one("halpha"),
         zero(0x18 - 8), be_bytes(F.col("hfield"), 2), be_bytes(F.col("hwidth"), 2), zero(0x21 - 0x1C), one("depth_code * 32"),
