@@ -129,4 +129,6 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = "array<struct<spot:long,run:long,base:long,extra:long,minus:long>>"
     whole = blocks.join(lists, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("symbols", F.coalesce(F.col("symbols").cast(long), F.array().cast(long)))
     frames = whole.groupBy(F.col("frame").cast("long").alias("frame")).agg(F.collect_list(F.struct("unit", "mb_row", "block", F.col("scale").cast("long").alias("scale"), F.col("delta").cast("long").alias("delta"), "symbols")).alias("blocks"))
+    # Dealt over all tasks: partitions merged by the size of their symbols would be few.
+    frames = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
     return frames.mapInArrow(_written, "frame long, packet binary")
