@@ -18,7 +18,7 @@ from cinequery.functions.binary import be_uint, cut
 from cinequery.operators import container as C
 from cinequery.operators import index as I
 from cinequery.operators import klv, validate
-from cinequery.operators.settle import settled
+from cinequery.operators.settle import kept
 
 FILE = ("file",)
 TRACK_TYPES = ("Track", "StaticTrack")
@@ -51,7 +51,7 @@ class Container:
     """Relations over all files scanned; each has a column ``file``."""
 
     def __init__(self, triplets: DataFrame):
-        self.triplets = settled(triplets)
+        self.triplets = kept(triplets)
 
     @cached_property
     def partitions(self) -> DataFrame:
@@ -103,7 +103,7 @@ class Container:
             "clip_package": C.item_hex(i, 0x1101), "clip_track": C.item_u32(i, 0x1102), "clip_start": C.item_i64(i, 0x1201),
             "start_timecode": C.item_i64(i, 0x1501), "timecode_base": C.item_u16(i, 0x1502), "drop_frame": be_uint(C.item(i, 0x1503), 0, 1) != 0,
         }
-        return settled(self.sets.select("file", "offset", "type", "instance_uid", *(c.alias(n) for n, c in fields.items())))
+        return kept(self.sets.select("file", "offset", "type", "instance_uid", *(c.alias(n) for n, c in fields.items())))
 
     @cached_property
     def _by_uid(self) -> DataFrame:
@@ -142,7 +142,7 @@ class Container:
         }
         rows = self.sets.where("type = 'IndexTableSegment'").select("file", "offset", *(c.alias(n) for n, c in fields.items()))
         rows = rows.withColumn("n_entries", F.coalesce(F.size("entries"), F.lit(0)).cast("long"))
-        return settled(rows.withColumn("length", I.segment_length()))
+        return kept(rows.withColumn("length", I.segment_length()))
 
     @cached_property
     def random_index(self) -> DataFrame:
@@ -189,7 +189,7 @@ class Container:
         rows = found.unionByName(rest, allowMissingColumns=True).withColumn("kind", C.essence_kind("item_type"))
         order = Window.partitionBy("file").orderBy("synthetic", "place", "first_ord")
         columns = ["track_id", "number", "kind", "name", "rate_num", "rate_den", "origin", "duration", "sequence_uid", "descriptor_offset", "packet_count", "package_uid", "package_instance_uid", "synthetic"]
-        return settled(rows.select("file", F.row_number().over(order).alias("track_ord"), "body_sid", *columns))
+        return kept(rows.select("file", F.row_number().over(order).alias("track_ord"), "body_sid", *columns))
 
     @cached_property
     def composition_tracks(self) -> DataFrame:
@@ -212,7 +212,7 @@ class Container:
         graph = graph.select(key("instance_uid").alias("parent"), "pos", key("c_uid").alias("child"), (F.col("c_type") == "SourceClip").alias("is_leaf"))
         roots = self.composition_tracks.select("file", "sequence_uid").distinct().withColumn("root", key("sequence_uid"))
         flat = C.flatten(graph, roots.select("root")).join(roots, "root")
-        return settled(flat.select("file", "sequence_uid", F.element_at(F.split("leaf", "/"), -1).alias("clip_uid"), "path"))
+        return kept(flat.select("file", "sequence_uid", F.element_at(F.split("leaf", "/"), -1).alias("clip_uid"), "path"))
 
     @cached_property
     def source_clips(self) -> DataFrame:
@@ -262,7 +262,7 @@ class Container:
         counts = C.track_groups(self.essence, FILE).select("file", *C.TRACK, F.col("packet_count").alias("elements"))
         rows = self.essence.select("file", "ord", *C.TRACK, "value_offset", "value_length").join(counts, ["file", *C.TRACK]).join(self.bodies, ["file", "body_sid"], "left")
         how = I.slice_kind(F.coalesce("unit", F.lit(0)), "value_length", "elements", F.coalesce("n_entries", F.lit(0)))
-        return I.element_slices(settled(rows.withColumn("how", how)), I.body_entries(self.index_segments, FILE), FILE)
+        return I.element_slices(kept(rows.withColumn("how", how)), I.body_entries(self.index_segments, FILE), FILE)
 
     @cached_property
     def _reach(self) -> DataFrame:
@@ -276,7 +276,7 @@ class Container:
         """The packets of all tracks: place in the track, times, keyframe (null where no entry says), and where the bytes are."""
         order = Window.partitionBy("file", *C.TRACK).orderBy("ord", "slice")
         rows = self.slices.withColumn("packet_index", F.row_number().over(order).cast("long") - 1)
-        rows = settled(rows.join(self.tracks.select("file", "track_ord", *C.TRACK, "rate_num", "rate_den", "origin"), ["file", *C.TRACK]))
+        rows = kept(rows.join(self.tracks.select("file", "track_ord", *C.TRACK, "rate_num", "rate_den", "origin"), ["file", *C.TRACK]))
         position = rows.select("file", "body_sid", F.col("packet_index").alias("position")).distinct().withColumn("id", F.col("position"))
         at = I.at_position(position, self._reach, by=FILE)
         entries = self.index_segments.select("file", F.col("offset").alias("segment"), "start", F.posexplode("entries").alias("pos", "e")).select("file", "segment", F.expr("try_add(start, CAST(pos AS BIGINT))").alias("position"), "e.flags")

@@ -25,3 +25,12 @@ def settled(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Settled rows that grow with the input, which the next join sorts and merges.
+
+    What Spark takes for their size stems from the few bytes of the tables that they were made from,
+    so it would send whole relations through the driver to all executors.
+    """
+    return settled(df).hint("merge")
