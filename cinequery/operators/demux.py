@@ -167,7 +167,7 @@ class Container:
         roots = self.properties.where("type = 'SourcePackage' AND descriptor_uid IS NOT NULL").select("file", "descriptor_uid").distinct()
         parts = self._referred("descriptors", types=("MultipleDescriptor",), prefix="").withColumnRenamed("uid", "descriptor_uid")
         root = F.array("descriptor_uid")
-        return roots.join(parts, ["file", "descriptor_uid"], "left").select("file", "descriptor_uid", F.array_union(root, F.coalesce("descriptors", F.array().cast("array<string>"))).alias("allowed"))
+        return roots.join(parts, ["file", "descriptor_uid"], "left").select("file", "descriptor_uid", F.array_union(root, F.coalesce("descriptors", F.array().cast("array<string>"))).alias("allowed")).hint("merge")
 
     @cached_property
     def track_sets(self) -> DataFrame:
@@ -175,11 +175,11 @@ class Container:
         sets = self.properties.where(F.col("type").isin(*TRACK_TYPES)).where("track_id IS NOT NULL AND number IS NOT NULL AND rate IS NOT NULL")
         sets = sets.select("file", F.col("offset").alias("set_ord"), "instance_uid", "track_id", "number", "rate", F.coalesce("origin", F.lit(0).cast("long")).alias("origin"), "name", "sequence_uid")
         sequences = _last(["file", "instance_uid"], self.properties.where("type = 'Sequence'")).select("file", F.col("instance_uid").alias("sequence_uid"), "duration")
-        linked = sets.join(self.track_links, ["file", "instance_uid"], "left").join(sequences, ["file", "sequence_uid"], "left")
+        linked = kept(sets.join(self.track_links, ["file", "instance_uid"], "left").join(sequences, ["file", "sequence_uid"], "left"))
         d = self.descriptors.where("linked_track_id IS NOT NULL").select("file", F.col("linked_track_id").alias("track_id"), F.col("offset").alias("d_at"), F.col("instance_uid").alias("d_uid"))
         may = F.col("allowed").isNull() | F.array_contains("allowed", F.col("d_uid"))
         described = linked.select("file", "set_ord", "track_id", "allowed").join(d, ["file", "track_id"]).where(may).groupBy("file", "set_ord").agg(F.min("d_at").alias("descriptor_offset"))
-        return linked.join(described, ["file", "set_ord"], "left").withColumn("has_descriptor", F.col("descriptor_offset").isNotNull())
+        return kept(linked.join(described, ["file", "set_ord"], "left").withColumn("has_descriptor", F.col("descriptor_offset").isNotNull()))
 
     @cached_property
     def tracks(self) -> DataFrame:
