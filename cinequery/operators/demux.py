@@ -92,8 +92,8 @@ class Container:
         return own.unionByName(given).withColumn("label", F.last("named", True).over(w)).where("side = 1").select("file", "offset", "pos", "tag", "label", "value")
 
     @cached_property
-    def properties(self) -> DataFrame:
-        """One row a set with the items that the relations below are joined by, without other values."""
+    def _properties(self) -> DataFrame:
+        """``properties``, and whether a set is the last of those with its instance_uid."""
         i = "items"
         fields = {
             "package_uid": C.item_hex(i, 0x4401), "package_name": C.item_string(i, 0x4402), "tracks": C.item_references(i, 0x4403), "descriptor_uid": C.item_uid(i, 0x4701), "descriptors": C.item_references(i, 0x3F01),
@@ -103,12 +103,19 @@ class Container:
             "clip_package": C.item_hex(i, 0x1101), "clip_track": C.item_u32(i, 0x1102), "clip_start": C.item_i64(i, 0x1201),
             "start_timecode": C.item_i64(i, 0x1501), "timecode_base": C.item_u16(i, 0x1502), "drop_frame": be_uint(C.item(i, 0x1503), 0, 1) != 0,
         }
-        return kept(self.sets.select("file", "offset", "type", "instance_uid", *(c.alias(n) for n, c in fields.items())))
+        rows = self.sets.select("file", "offset", "type", "instance_uid", *(c.alias(n) for n, c in fields.items()))
+        turn = F.row_number().over(Window.partitionBy("file", "instance_uid").orderBy(F.desc("offset")))
+        return kept(rows.withColumn("is_last", F.col("instance_uid").isNotNull() & (turn == 1)))
+
+    @cached_property
+    def properties(self) -> DataFrame:
+        """One row a set with the items that the relations below are joined by, without other values."""
+        return self._properties.drop("is_last")
 
     @cached_property
     def _by_uid(self) -> DataFrame:
         """Of sets with one instance_uid the last."""
-        return _last(["file", "instance_uid"], self.properties)
+        return self._properties.where("is_last").drop("is_last")
 
     def _referred(self, *columns: str, types: tuple[str, ...], prefix: str) -> DataFrame:
         """Sets by their instance_uid as ``<prefix>uid``, their columns with the prefix."""
@@ -198,10 +205,11 @@ class Container:
         tracks = self._referred("track_id", "number", "rate", "origin", "name", "sequence_uid", types=TRACK_TYPES, prefix="t_").where("t_track_id IS NOT NULL AND t_rate IS NOT NULL")
         sequences = self._referred("data_definition", "duration", types=("Sequence",), prefix="s_")
         rows = packages.join(tracks, ["file", "t_uid"]).join(sequences.withColumnRenamed("s_uid", "t_sequence_uid"), ["file", "t_sequence_uid"])
-        return rows.select(
+        rows = rows.select(
             "file", "package_at", "package_uid", "package_instance_uid", "package_name", "track_pos", F.col("t_track_id").alias("track_id"), F.col("t_number").alias("number"), F.col("t_name").alias("name"), F.col("t_rate.num").alias("rate_num"), F.col("t_rate.den").alias("rate_den"),
             F.coalesce("t_origin", F.lit(0).cast("long")).alias("origin"), F.col("s_duration").alias("duration"), F.col("t_sequence_uid").alias("sequence_uid"), F.col("s_data_definition").alias("data_definition"),
         )
+        return kept(rows)
 
     @cached_property
     def _flat(self) -> DataFrame:
@@ -244,7 +252,7 @@ class Container:
         tracks = self._referred("track_id", "rate", "origin", "name", "sequence_uid", types=TRACK_TYPES, prefix="t_").where("t_track_id IS NOT NULL AND t_rate IS NOT NULL").withColumnRenamed("t_sequence_uid", "s_uid")
         sequences = self._by_uid.where("type = 'Sequence'").select("file", F.col("instance_uid").alias("s_uid"), F.col("duration").alias("s_duration"), F.posexplode("components").alias("pos", "c_uid"))
         parts = self._referred("duration", "start_timecode", "timecode_base", "drop_frame", types=("TimecodeComponent",), prefix="c_")
-        rows = packages.join(tracks, ["file", "t_uid"]).join(sequences.join(parts, ["file", "c_uid"]), ["file", "s_uid"])
+        rows = packages.join(tracks, ["file", "t_uid"]).join(sequences.join(parts, ["file", "c_uid"]).hint("merge"), ["file", "s_uid"])
         first = _first(["file", "package_at", "track_pos"], ["pos"], rows).where("c_start_timecode IS NOT NULL AND c_timecode_base IS NOT NULL AND c_drop_frame IS NOT NULL")
         return first.select(
             "file", "package_at", "track_pos", "package_kind", "package_uid", F.col("t_track_id").alias("track_id"), F.col("t_name").alias("name"), F.col("t_rate.num").alias("rate_num"), F.col("t_rate.den").alias("rate_den"), F.coalesce("t_origin", F.lit(0).cast("long")).alias("origin"),
