@@ -219,7 +219,7 @@ class Container:
         graph = self._by_uid.where("type = 'Sequence'").select("file", "instance_uid", F.posexplode("components").alias("pos", "c_uid")).join(children, ["file", "c_uid"])
         graph = graph.select(key("instance_uid").alias("parent"), "pos", key("c_uid").alias("child"), (F.col("c_type") == "SourceClip").alias("is_leaf"))
         roots = self.composition_tracks.select("file", "sequence_uid").distinct().withColumn("root", key("sequence_uid"))
-        flat = C.flatten(graph, roots.select("root")).join(roots, "root")
+        flat = C.flatten(graph.hint("merge"), roots.select("root")).join(roots, "root")
         return kept(flat.select("file", "sequence_uid", F.element_at(F.split("leaf", "/"), -1).alias("clip_uid"), "path"))
 
     @cached_property
