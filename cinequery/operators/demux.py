@@ -262,7 +262,7 @@ class Container:
     @cached_property
     def bodies(self) -> DataFrame:
         """What the index says of each body: its one unit size, the positions indexed, entries, and whether its segments follow on each other."""
-        return I.bodies(self.index_segments, FILE)
+        return I.bodies(self.index_segments, FILE).hint("merge")
 
     @cached_property
     def slices(self) -> DataFrame:
