@@ -302,8 +302,8 @@ class Container:
         heads = self.essence.where("element = 0").select("file", *C.TRACK, "head")
         video = self.tracks.where("kind = 'video'").join(first, ["file", "track_ord"]).join(heads, ["file", *C.TRACK]).select("file", "track_ord", "track_id", "byte_length", cut("head", 0, F.least("byte_length", F.lit(H.HEADER_BYTES))).alias("packet"))
         parsed = H.parse(video, declared_length="byte_length").where("ok").select("file", "track_ord", "track_id", "profile", "supported")
-        shown = self.source_clips.where("source_track IS NOT NULL").select("file", F.col("source_track").alias("track_ord")).distinct().withColumn("shown", F.lit(True))
-        chosen = _first(["file"], ["track_ord"], parsed).join(shown, ["file", "track_ord"], "left")
+        shown = self.source_clips.where("source_track IS NOT NULL").select("file", F.col("source_track").alias("track_ord")).distinct().withColumn("shown", F.lit(True)).hint("merge")
+        chosen = _first(["file"], ["track_ord"], parsed).join(shown, ["file", "track_ord"], "left").hint("merge")
         rows = self.triplets.select("file").distinct().join(self.patterns, "file", "left").join(tracks, "file", "left").join(made, "file", "left").join(chosen, "file", "left")
         outcome = (
             F.when(F.col("pattern").isNull(), "unsupported pattern").when((F.col("pattern") == "opatom") & (F.coalesce("n_tracks", F.lit(0)) != 1), "track count").when(F.col("composed").isNull(), "no composition")
