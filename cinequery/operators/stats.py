@@ -86,7 +86,7 @@ def carried(rows: DataFrame, by: list[str], order: list[str], value: str, name:
     earlier = Window.partitionBy(*by).orderBy("in bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = last.select(*by, "in bucket", F.last("last of it", True).over(earlier).alias("before it"))
     within = Window.partitionBy(*by, "in bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(before, [*by, "in bucket"]).withColumn(name, F.coalesce(F.last(value, True).over(within), "before it")).select(*rows.columns, *([name] if name not in rows.columns else []))
+    return dealt.join(before.hint("merge"), [*by, "in bucket"]).withColumn(name, F.coalesce(F.last(value, True).over(within), "before it")).select(*rows.columns, *([name] if name not in rows.columns else []))
 
 
 def listed(rows: DataFrame, by: list[str], order: str, value: str, bucket: int, size: int) -> DataFrame:

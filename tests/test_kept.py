@@ -8,7 +8,7 @@ from cinequery.operators.demux import open_container
 from cinequery.plans import demux_queries
 from cinequery.sources import containers as S
 
-NAMES = ["set_items", "tracks", "composition_tracks", "source_clips", "packet_build", "codec_select"]
+NAMES = ["set_items", "tracks", "composition_tracks", "source_clips", "packet_build", "codec_select", "container_faults"]
 #: Of tables alone, whose size Spark knows, and of the 20 profiles.
 SMALL = ("[k#", "[header_cid#")
 OPENED = []
